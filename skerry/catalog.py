@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import queries as pipeline
+
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict:
-    return {}
+    return pipeline.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return pipeline.oracle_sql()
