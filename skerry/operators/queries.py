@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import change_feed, incremental
+from . import change_feed, incremental, schema_drift
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +21,23 @@ def p3_state(spark: SparkSession, folder: str) -> DataFrame:
     return state.select("index_name", "document_id", F.col("seq").alias("sequence_number"), change_feed.source_of(F.col("payload")).alias("source"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(index_name, mapping_version, change_kind, field_name, old_name): the top-level changes of each version against the one before."""
+    found = schema_drift.changes(table(spark, folder, "segment_documents")).where("depth = 1")
+    return found.select("index_name", F.col("version").alias("mapping_version"), "change_kind", "field_name", "old_name")
+
+
+def p4_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """All changes, those within objects included, with the types before and after."""
+    return schema_drift.changes(table(spark, folder, "segment_documents"))
+
+
+def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in one table of one set of columns."""
+    docs = table(spark, folder, "segment_documents")
+    return schema_drift.unify(docs, schema_drift.changes(docs))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """(index_name, sequence_number) of the entries no run has processed."""
     return incremental.next_run(table(spark, folder, "wal_entries"), table(spark, folder, "flush_runs")).select("index_name", "sequence_number")
@@ -33,7 +50,7 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_state, p6_found, p6_items)}
+    return {f.__name__: f for f in (p3_found, p3_state, p4_found, p4_changes, p4_unified, p6_found, p6_items)}
 
 
 #: Rows whose record is a complete JSON object, with what it does and to which document.
@@ -43,6 +60,37 @@ changes AS (SELECT index_name, sequence_number, entry_id, j,
   CASE WHEN (j->>'$.type') = 'index_document' OR (j->'$.index') IS NOT NULL OR (j->'$.IndexDocument') IS NOT NULL THEN 'index'
        WHEN (j->>'$.type') = 'delete_document' OR (j->'$.delete') IS NOT NULL OR (j->'$.DeleteDocument') IS NOT NULL THEN 'delete' END AS op
   FROM good WHERE j IS NOT NULL)"""
+_DRIFT = r"""WITH seg AS (SELECT index_name, segment_number, max(mapping_version) AS v FROM segment_documents GROUP BY ALL),
+d AS (SELECT DISTINCT s.index_name, coalesce(s.mapping_version, g.v) AS version, s.document_id, CASE WHEN json_valid(s.source) THEN CAST(s.source AS JSON) END AS j
+  FROM segment_documents s LEFT JOIN seg g ON s.index_name = g.index_name AND s.segment_number = g.segment_number),
+k AS (SELECT index_name, version, document_id, j, unnest(json_keys(j)) AS field FROM d WHERE version IS NOT NULL AND json_type(j) = 'OBJECT'),
+v AS (SELECT index_name, version, document_id, field, json_extract(j, '$."' || field || '"') AS value FROM k),
+t AS (SELECT *, CASE json_type(value)
+    WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(value->>'$', '\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})') AND try_cast(value->>'$' AS TIMESTAMPTZ) IS NOT NULL THEN 'Timestamp' ELSE 'Keyword' END
+    WHEN 'BIGINT' THEN CASE WHEN try_cast(value AS INTEGER) IS NULL THEN 'Long' ELSE 'Integer' END
+    WHEN 'UBIGINT' THEN CASE WHEN try_cast(value AS INTEGER) IS NOT NULL THEN 'Integer' WHEN try_cast(value AS BIGINT) IS NOT NULL THEN 'Long' ELSE 'Double' END
+    WHEN 'BOOLEAN' THEN 'Boolean' WHEN 'OBJECT' THEN 'Object' WHEN 'ARRAY' THEN 'Array' ELSE 'Double' END AS type
+  FROM v WHERE json_type(value) <> 'NULL'),
+n AS (SELECT index_name, version, field, type, count(*) AS c FROM t GROUP BY ALL),
+f AS (SELECT index_name, version, field, arg_max(type, (c, type)) AS type FROM n GROUP BY ALL),
+ver AS (SELECT DISTINCT index_name, version FROM d WHERE version IS NOT NULL),
+step AS (SELECT * FROM (SELECT index_name, version, lag(version) OVER (PARTITION BY index_name ORDER BY version) AS previous FROM ver) WHERE previous IS NOT NULL),
+cur AS (SELECT s.index_name, s.version, f.field, f.type FROM step s JOIN f ON f.index_name = s.index_name AND f.version = s.version),
+old AS (SELECT s.index_name, s.version, f.field, f.type FROM step s JOIN f ON f.index_name = s.index_name AND f.version = s.previous),
+gone AS (SELECT o.* FROM old o ANTI JOIN cur c ON o.index_name = c.index_name AND o.version = c.version AND o.field = c.field),
+come AS (SELECT c.* FROM cur c ANTI JOIN old o ON o.index_name = c.index_name AND o.version = c.version AND o.field = c.field),
+held AS (SELECT g.index_name, g.version, g.field, t.document_id, t.value FROM gone g JOIN step s ON g.index_name = s.index_name AND g.version = s.version
+  JOIN t ON t.index_name = s.index_name AND t.version = s.previous AND t.field = g.field
+  SEMI JOIN d ON d.index_name = s.index_name AND d.version = s.version AND d.document_id = t.document_id),
+total AS (SELECT index_name, version, field, count(DISTINCT document_id) AS docs FROM held GROUP BY ALL),
+same AS (SELECT h.index_name, h.version, h.field AS old_name, c.field AS field_name, count(DISTINCT h.document_id) AS docs
+  FROM held h JOIN t ON t.index_name = h.index_name AND t.version = h.version AND t.document_id = h.document_id AND CAST(t.value AS VARCHAR) = CAST(h.value AS VARCHAR)
+  JOIN come c ON c.index_name = t.index_name AND c.version = t.version AND c.field = t.field GROUP BY ALL),
+renamed AS (SELECT s.index_name, s.version, s.field_name, s.old_name FROM same s JOIN total t ON t.index_name = s.index_name AND t.version = s.version AND t.field = s.old_name WHERE 2 * s.docs >= t.docs)
+SELECT index_name, version AS mapping_version, 'renamed' AS change_kind, field_name, old_name FROM renamed
+UNION ALL SELECT g.index_name, g.version, 'removed', g.field, '' FROM gone g ANTI JOIN renamed r ON r.index_name = g.index_name AND r.version = g.version AND r.old_name = g.field
+UNION ALL SELECT c.index_name, c.version, 'added', c.field, '' FROM come c ANTI JOIN renamed r ON r.index_name = c.index_name AND r.version = c.version AND r.field_name = c.field
+UNION ALL SELECT c.index_name, c.version, 'type_changed', c.field, '' FROM cur c JOIN old o ON o.index_name = c.index_name AND o.version = c.version AND o.field = c.field WHERE o.type <> c.type"""
 _UNPROCESSED = """WITH good AS (SELECT index_name, generation, sequence_number, received_at FROM wal_entries WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
 runs AS (SELECT run_id, any_value(index_name) AS index_name, any_value(generation) AS generation, min(started_at) AS started_at,
   max(CASE WHEN lower(status) = 'committed' THEN last_sequence_number END) AS reach
@@ -63,6 +111,7 @@ WHERE op IS NOT NULL AND document_id IS NOT NULL GROUP BY index_name, document_i
   FROM changes WHERE op IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL)
 SELECT index_name, document_id, c.seq AS sequence_number, CAST(coalesce(c.j->'$.document.source', c.j->'$.index.source', c.j->'$.IndexDocument.document.source') AS VARCHAR) AS source
 FROM last WHERE c.op = 'index'""",
+        "p4_found": _DRIFT,
         "p6_found": f"{_UNPROCESSED} SELECT index_name, sequence_number FROM open",
         "p6_items": f"""{_UNPROCESSED}, named AS (SELECT *, index_name || '_' || coalesce(generation::VARCHAR, 'none') || '_' || printf('%012d', CAST(floor(sequence_number / 10000) AS BIGINT)) AS item FROM open)
 SELECT item, index_name, count(*) AS entries, min(sequence_number) AS first_number, max(sequence_number) AS last_number FROM named GROUP BY ALL""",
