@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import change_feed, incremental, schema_drift
+from . import change_feed, consolidate, incremental, schema_drift
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +38,25 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.unify(docs, schema_drift.changes(docs))
 
 
+def _consolidated(spark: SparkSession, folder: str) -> consolidate.Consolidated:
+    return consolidate.consolidate(table(spark, folder, "segment_documents"), table(spark, folder, "index_metadata"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(index_name, segment_number) of the segments that were too small and have been merged."""
+    return consolidate.replaced(_consolidated(spark, folder))
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The new segments with their key ranges and sizes."""
+    return _consolidated(spark, folder).segments
+
+
+def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document once, as the new segments hold it."""
+    return _consolidated(spark, folder).documents.select("index_name", "document_id", "sequence_number", "source")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """(index_name, sequence_number) of the entries no run has processed."""
     return incremental.next_run(table(spark, folder, "wal_entries"), table(spark, folder, "flush_runs")).select("index_name", "sequence_number")
@@ -50,7 +69,7 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_state, p4_found, p4_changes, p4_unified, p6_found, p6_items)}
+    return {f.__name__: f for f in (p3_found, p3_state, p4_found, p4_changes, p4_unified, p5_found, p5_segments, p5_documents, p6_found, p6_items)}
 
 
 #: Rows whose record is a complete JSON object, with what it does and to which document.
@@ -112,6 +131,13 @@ WHERE op IS NOT NULL AND document_id IS NOT NULL GROUP BY index_name, document_i
 SELECT index_name, document_id, c.seq AS sequence_number, CAST(coalesce(c.j->'$.document.source', c.j->'$.index.source', c.j->'$.IndexDocument.document.source') AS VARCHAR) AS source
 FROM last WHERE c.op = 'index'""",
         "p4_found": _DRIFT,
+        "p5_found": """WITH sizes AS (SELECT index_name, segment_number, count(DISTINCT document_id) AS size FROM segment_documents GROUP BY ALL),
+limits AS (SELECT index_name, max(merge_threshold_docs) AS threshold FROM index_metadata GROUP BY ALL),
+small AS (SELECT index_name, segment_number FROM sizes LEFT JOIN limits USING (index_name) WHERE size >= 1 AND size < coalesce(threshold, 8))
+SELECT index_name, segment_number FROM small WHERE index_name IN (SELECT index_name FROM small GROUP BY ALL HAVING count(*) >= 2)""",
+        "p5_documents": """SELECT index_name, document_id, v.sequence_number AS sequence_number, v.source AS source FROM (
+SELECT index_name, document_id, max({'sequence_number': sequence_number, 'written_at': written_at, 'segment_number': segment_number, 'mapping_version': coalesce(mapping_version, -1), 'source': source}) AS v
+FROM segment_documents GROUP BY ALL)""",
         "p6_found": f"{_UNPROCESSED} SELECT index_name, sequence_number FROM open",
         "p6_items": f"""{_UNPROCESSED}, named AS (SELECT *, index_name || '_' || coalesce(generation::VARCHAR, 'none') || '_' || printf('%012d', CAST(floor(sequence_number / 10000) AS BIGINT)) AS item FROM open)
 SELECT item, index_name, count(*) AS entries, min(sequence_number) AS first_number, max(sequence_number) AS last_number FROM named GROUP BY ALL""",
