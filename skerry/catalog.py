@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
+from . import search_queries
 from .operators import queries as pipeline
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+from .search_queries import flagship  # noqa: F401
 
 
 def queries() -> dict:
-    return pipeline.queries()
+    return search_queries.queries() | pipeline.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return pipeline.oracle_sql()
+    return search_queries.oracle_sql() | pipeline.oracle_sql()
