@@ -17,6 +17,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import change_records as cr
 from ..functions.kway import last_of_each, merge_blocks
@@ -35,6 +36,7 @@ class LogStructuredTable:
         self.buckets = state["buckets"] if state else (buckets or partitions(spark))
         self.runs: list[str] = state["runs"] if state else []
         self.number = state["number"] if state else 0
+        self.schema = T.StructType.fromJson(state["schema"]) if state and state["schema"] else None
 
     # -- manifest ---------------------------------------------------------------------------
 
@@ -52,7 +54,7 @@ class LogStructuredTable:
         """The new list of runs becomes visible by one rename; a lost driver leaves the old one."""
         fs, new = hadoop_path(self.spark, f"{self.path}/{MANIFEST}.new")
         stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs, "number": self.number}).encode()))
+        stream.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs, "number": self.number, "schema": self.schema.jsonValue() if self.schema else None}).encode()))
         stream.close()
         _, to = hadoop_path(self.spark, f"{self.path}/{MANIFEST}")
         fs.delete(to, False)
@@ -70,6 +72,7 @@ class LogStructuredTable:
         value = F.struct("seq", "tie", "deleted", "payload")
         known = changes.where(" and ".join(f"`{k}` is not null" for k in [*self.keys, "seq"]))
         last = known.groupBy(*self.keys).agg(F.max(value).alias("v")).select(*self.keys, "v.*")
+        self.schema = last.schema
         # Spark's own hash of the keys: with as many buckets as shuffle partitions (or a multiple) a bucket lies in one task
         bucket = F.pmod(F.hash(*self.keys), F.lit(self.buckets))
         self.number += 1
@@ -112,16 +115,15 @@ class LogStructuredTable:
 
     def read(self, columns: list[str] | None = None, tombstones: bool = False) -> DataFrame:
         """The last change of each key, without deleted keys unless ``tombstones``; one task per bucket."""
-        keys = self.keys
-        if not self.runs:
+        keys, schema = self.keys, self.schema
+        if schema is None:
             raise ValueError("no run has been appended")
-        schema = self.spark.read.parquet(f"{self.path}/{self.runs[-1]}").drop("bucket").schema
         want = columns or schema.names
         need = list(dict.fromkeys([*keys, "seq", "tie", "deleted", *want]))
         files = list(self.files().items())
-        plan = self.spark.createDataFrame([(b, names) for b, names in files], "bucket int, files array<string>") if files else None
-        if plan is None:
+        if not files:
             return self.spark.createDataFrame([], schema).select(*want)
+        plan = self.spark.createDataFrame(files, "bucket int, files array<string>")
 
         def merge(batches):
             for batch in batches:

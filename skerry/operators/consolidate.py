@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 DEFAULT_THRESHOLD = 8
+#: Columns the operator knows; any others go along in one struct, so their names can't clash with its own.
+COLUMNS = ["index_name", "segment_number", "document_id", "sequence_number", "written_at", "source"]
 #: Bytes of documents at which a segment is closed, and of a written file.
 SEGMENT_BYTES, FILE_BYTES = 32 << 20, 128 << 20
 #: Rows of the segments' metadata up to which it is broadcast (a few MB); beyond, it is joined by shuffle.
@@ -53,7 +55,7 @@ def newest(docs: DataFrame) -> DataFrame:
     equal ones come out once, different ones all.
     """
     order = ["sequence_number", "written_at", "segment_number"]
-    rest = [c for c in docs.columns if c not in ("index_name", "document_id", *order)]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("index_name", "document_id", *order)]
     apart = F.when(F.col("index_name").isNull() | F.col("document_id").isNull(), F.to_json(F.struct(*docs.columns)))
     best = docs.groupBy("index_name", "document_id", apart.alias("_apart")).agg(F.max(F.struct(*order, *rest)).alias("_v"))
     return best.select("index_name", "document_id", "_v.*")
@@ -75,7 +77,9 @@ def consolidate(docs: DataFrame, settings: DataFrame, path: str | None = None, s
     plan = spark.read.parquet(plan_path)
     total = docs.agg(F.sum(F.octet_length("source"))).first()[0] or 0
     files = max(1, math.ceil(total / file_bytes), min(spark.sparkContext.defaultParallelism, math.ceil(total / (4 << 20))))
-    merged = newest(docs).repartitionByRange(files, "index_name", "document_id").sortWithinPartitions("index_name", "document_id")
+    others = [c for c in docs.columns if c not in COLUMNS]
+    packed = docs.select(*COLUMNS, F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")) if others else docs.select(*COLUMNS)
+    merged = newest(packed).repartitionByRange(files, "index_name", "document_id").sortWithinPartitions("index_name", "document_id")
     merged = merged.withColumnRenamed("segment_number", "old_segment").withColumn("part", F.spark_partition_id())
     names = merged.columns
 
@@ -127,7 +131,7 @@ def consolidate(docs: DataFrame, settings: DataFrame, path: str | None = None, s
     )
     at = numbered.select("part", "piece", "segment_number")
     at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
-    documents = data.join(at, ["part", "piece"]).drop("part", "piece", "old_segment")
+    documents = data.join(at, ["part", "piece"]).select(*COLUMNS, *(["others.*"] if others else []))
     return Consolidated(plan, segments, documents)
 
 

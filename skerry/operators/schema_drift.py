@@ -32,8 +32,8 @@ def versioned(docs: DataFrame) -> DataFrame:
     Only rows of null version are joined; a segment that shows none keeps null.
     """
     cols = ["index_name", "document_id", F.col("sequence_number").alias("seq"), "source"]
-    known = docs.where("mapping_version is not null").select(F.col("mapping_version").alias("version"), *cols)
-    shown = docs.where("mapping_version is not null").groupBy("index_name", "segment_number").agg(F.max("mapping_version").alias("version"))
+    known = docs.where("mapping_version is not null").select(F.col("mapping_version").cast("int").alias("version"), *cols)
+    shown = docs.where("mapping_version is not null").groupBy("index_name", "segment_number").agg(F.max("mapping_version").cast("int").alias("version"))
     lost = docs.where("mapping_version is null").drop("mapping_version").join(shown, ["index_name", "segment_number"], "left").select("version", *cols)
     return known.unionByName(lost)
 
