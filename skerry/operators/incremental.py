@@ -184,10 +184,10 @@ def unprocessed(wal: DataFrame, states: DataFrame, slice_seconds: int = SLICE_SE
     its own. That running maximum is taken in two steps: by time slice over the runs alone, then within
     each slice over its rows and runs, with the later slices' maximum carried in as one more
     run. A log of any size is thus spread over its slices. A row of null arrival is processed
-    by no run; null log names or numbers name no entry and are left out.
+    by no run, nor is one whose generation is null; null log names or numbers name no entry and are left out.
     """
     slice_of = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / slice_seconds)
-    done = states.where(F.col("state") == DONE).where("last_sequence_number is not null and started_at is not null")
+    done = states.where(F.col("state") == DONE).where("last_sequence_number is not null and started_at is not null and index_name is not null and generation is not null")
     runs = done.select("index_name", "generation", slice_of(F.col("started_at")).alias("slice"), F.col("started_at").alias("at"), F.col("last_sequence_number").alias("reach"))
     named = wal.where("index_name is not null and sequence_number is not null")
     slices = named.select("index_name", "generation", slice_of(F.col("received_at")).alias("slice")).distinct()

@@ -31,6 +31,7 @@ def versioned(docs: DataFrame) -> DataFrame:
 
     Only rows of null version are joined; a segment that shows none keeps null.
     """
+    docs = docs.select("index_name", "segment_number", "mapping_version", "document_id", "sequence_number", "source")
     cols = ["index_name", "document_id", F.col("sequence_number").alias("seq"), "source"]
     known = docs.where("mapping_version is not null").select(F.col("mapping_version").cast("int").alias("version"), *cols)
     shown = docs.where("mapping_version is not null").groupBy("index_name", "segment_number").agg(F.max("mapping_version").cast("int").alias("version"))
