@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
+#: Spark doesn't let a running session set its own key; a folder made here is noted under this one.
+OWN_DIR_KEY = "skerry.shared.dir"
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "12g", app: str = "skerry") -> SparkSession:
@@ -31,12 +33,15 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
     Where the setting is absent (tests, a single machine) a temporary folder is
-    created and set on the session, so later calls agree.
+    created and noted on the session, so later calls agree; on a cluster that is an error,
+    because executors wouldn't share it.
     """
-    root = spark.conf.get(SHARED_DIR_KEY, None)
+    root = spark.conf.get(SHARED_DIR_KEY, None) or spark.conf.get(OWN_DIR_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skerry-")
-        spark.conf.set(SHARED_DIR_KEY, root)
+        spark.conf.set(OWN_DIR_KEY, root)
     return root.rstrip("/")
 
 
