@@ -35,9 +35,9 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    """N-grams of up to three words of all texts that at least two documents hold."""
-    occurrences = term_counts.text_occurrences(table(spark, folder, "documents"), "doc_id", "text")
-    counts = term_counts.ngram_counts(occurrences, 3).filter("records >= 2")
+    """N-grams of up to three words over all texts, those that at least two documents hold."""
+    suffixes = term_counts.text_suffixes(table(spark, folder, "documents"), "doc_id", "text", 3)
+    counts = term_counts.count_suffixes(suffixes, 3).filter("records >= 2")
     return counts.select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), "n", "occurrences", "records")
 
 
@@ -94,6 +94,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_terms": f"""{_BANDS}, sug AS (SELECT index_name, {_TERM} AS term, max(doc_freq) AS suggested_doc_freq FROM suggest_entries WHERE term IS NOT NULL GROUP BY ALL)
 SELECT index_name, term, coalesce(occurrences, 0) AS occurrences, coalesce(doc_freq, 0) AS doc_freq, coalesce(band, 'rare') AS band, suggested_doc_freq
 FROM banded FULL JOIN sug USING (index_name, term)""",
+        "p1_ngrams": f"""WITH w AS (SELECT doc_id, list_filter(string_split(translate(text, '{term_counts._UPPER + term_counts._BLANKS}', '{term_counts._LOWER + " " * len(term_counts._BLANKS)}'), ' '), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
+SELECT ngram, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2""",
         "p2_found": f"""WITH {_OCCURRENCES},
 tf AS (SELECT index_name, doc_id, term, count(p) AS tf FROM occ GROUP BY ALL),
 df AS (SELECT index_name, term, count(*) AS df FROM tf GROUP BY ALL)

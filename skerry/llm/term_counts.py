@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Unicode white space.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Records of a term are routed to so many tasks, so that a term that every record holds is not one task's work.
 SALTS = 8
@@ -29,11 +31,16 @@ def posting_occurrences(postings: DataFrame, group: str = "index_name", record:
     return rows.filter("t is not null and r is not null").select("g", "r", "s", "t", F.explode_outer("ps").alias("p"))
 
 
-def text_occurrences(df: DataFrame, key: str, text: str, group: Column | None = None) -> DataFrame:
-    """(g, r, s, p, t): the blank-separated words of each text with their places."""
-    words = F.filter(F.split(F.translate(df[text].cast("string"), _UPPER, _LOWER), r"(?U)\s+"), lambda w: w != "")
-    rows = df.select((F.lit("") if group is None else group).alias("g"), df[key].alias("r"), F.lit("").alias("s"), words.alias("w"))
-    return rows.filter("r is not null").select("g", "r", "s", F.posexplode("w").alias("p", "t"))
+def text_suffixes(df: DataFrame, key: str, text: str, max_n: int, group: Column | None = None) -> DataFrame:
+    """(g, r, s, p, t1..tn): each blank-separated word of each text with the ``max_n`` - 1 that follow it.
+
+    The words are ASCII-lowered. Null and empty texts have none; rows of null key are left out.
+    """
+    words = F.array_remove(F.split(F.translate(df[text].cast("string"), _UPPER + _BLANKS, _LOWER + " " * len(_BLANKS)), " "), "")
+    rows = df.select((F.lit("") if group is None else group).alias("g"), df[key].alias("r"), F.lit("").alias("s"), words.alias("w")).filter("r is not null")
+    shifted = [F.slice("w", j, F.greatest(F.size("w"), F.lit(1))).alias(f"t{j}") for j in range(1, max_n + 1)]
+    zipped = rows.select("g", "r", "s", F.posexplode(F.arrays_zip(*shifted)).alias("p", "x"))
+    return zipped.select("g", "r", "s", "p", *[F.col(f"x.t{j}") for j in range(1, max_n + 1)])
 
 
 def suffixes(occurrences: DataFrame, max_n: int) -> DataFrame:
@@ -147,7 +154,12 @@ def _nulls(column: pa.Array) -> np.ndarray:
 
 
 def ngram_counts(occurrences: DataFrame, max_n: int = 1, salts: int = SALTS) -> DataFrame:
-    """(g, t1..tn, n, occurrences, records) of every n-gram of 1 to ``max_n`` terms of each group.
+    """(g, t1..tn, n, occurrences, records) of every n-gram of 1 to ``max_n`` terms of each group; see ``count_suffixes``."""
+    return count_suffixes(suffixes(occurrences, max_n), max_n, salts)
+
+
+def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS) -> DataFrame:
+    """(g, t1..tn, n, occurrences, records) from suffixes (g, r, s, p, t1..tn).
 
     Suffix-sorted counting: each occurrence gives one suffix of at most ``max_n`` terms; the
     suffixes are routed by group and first term, salted by record (record sets of different
@@ -157,7 +169,7 @@ def ngram_counts(occurrences: DataFrame, max_n: int = 1, salts: int = SALTS) ->
     as no occurrence of known place. Groups may be null and are then their own group.
     """
     terms = [f"t{j}" for j in range(1, max_n + 1)]
-    rows = suffixes(occurrences, max_n).withColumn("salt", F.pmod(F.hash("r"), F.lit(salts)))
+    rows = rows.withColumn("salt", F.pmod(F.hash("r"), F.lit(salts)))
     kinds = dict(rows.dtypes)
     columns = ["g", *terms, "r", "s", "p"]
     schema = f"g {kinds['g']}, " + "".join(f"{t} string, " for t in terms) + "n int, occurrences bigint, records bigint"

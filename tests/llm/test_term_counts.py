@@ -75,5 +75,5 @@ def test_bands(spark):
 
 def test_texts(spark):
     df = spark.createDataFrame([(1, "The  merge\nThe"), (2, None), (3, ""), (None, "x")], "doc_id bigint, text string")
-    got = {(r["t1"], r["t2"]): (r["occurrences"], r["records"]) for r in tc.ngram_counts(tc.text_occurrences(df, "doc_id", "text"), 2).collect()}
+    got = {(r["t1"], r["t2"]): (r["occurrences"], r["records"]) for r in tc.count_suffixes(tc.text_suffixes(df, "doc_id", "text", 2), 2).collect()}
     assert got == {("the", None): (2, 1), ("merge", None): (1, 1), ("the", "merge"): (1, 1), ("merge", "the"): (1, 1)}
