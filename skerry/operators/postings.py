@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from ..plans import ast
+from ..plans import ast, compile as cp
+from ..plans import mapping as mp
 from ..plans.errors import InvalidRequest
 from ..session import partitions, scratch_path
-from .index import SearchIndex
-
-K1, B = tx.K1, tx.B
+from . import mlt
+from .index import SearchIndex, Statistics
 
 
 @dataclass
 class Postings:
     """Three tables: postings (term, field, _id, tf, dl) range-partitioned and sorted by term, so a query's
-    few terms skip all other row groups; frequencies (term, df) likewise; lengths (field, docs, average)."""
+    few terms skip all other row groups; frequencies (term, df) likewise; lengths, one row of mean lengths per field."""
 
+    index: SearchIndex
     postings: DataFrame
     frequencies: DataFrame
     lengths: DataFrame
@@ -42,40 +42,58 @@ class Postings:
         df.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
         lengths = source.select(*[F.avg(F.when(F.col(f"`_tok_{f}`").isNotNull(), F.size(f"`_tok_{f}`")).cast("double")).alias(f) for f in index.text_fields], F.count(F.lit(1)).alias("_n"))
         lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        return Postings.read(spark, path)
+        return Postings.read(index, path)
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> "Postings":
+    def read(index: SearchIndex, path: str) -> "Postings":
+        spark = index.df.sparkSession
         lengths = spark.read.parquet(f"{path}/lengths")
-        return Postings(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), lengths, lengths.first()["_n"])
+        return Postings(index, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), lengths, lengths.first()["_n"])
 
     def search(self, query: ast.Query) -> DataFrame:
-        """(_id, _score) of a match, term on a text, terms or multi_match (best or most fields); others are refused."""
-        if isinstance(query, ast.MultiMatch) and query.type in (ast.BEST_FIELDS, ast.MOST_FIELDS):
-            words, fields = tx.tokenize(query.query), dict(query.fields)
-        elif isinstance(query, ast.Match):
-            words, fields = tx.tokenize(query.value), {query.field: 1.0}
-        elif isinstance(query, ast.Term) and isinstance(query.value, str) and query.fuzziness is None:
-            words, fields = [query.value.lower()], {query.field: query.boost}
-        elif isinstance(query, ast.Terms):
-            words, fields = sorted({v.lower() for v in query.values if isinstance(v, str)}), {query.field: 1.0}
-        else:
-            raise InvalidRequest("postings answer word queries only")
-        wanted = sorted(set(words))
-        df = {r["term"]: r["df"] for r in self.frequencies.where(F.col("term").isin(wanted)).collect()}
-        average = self.lengths.first().asDict()
-        known = {f: w for f, w in fields.items() if f in average and f != "_n"}
-        hits = self.postings.where(F.col("term").isin(wanted) & F.col("field").isin(list(known)))
-        times = F.create_map(*[x for w in wanted for x in (F.lit(w), F.lit(float(words.count(w)) * tx.idf(df.get(w, 0), self.n)))]) if wanted else F.create_map(F.lit(""), F.lit(0.0))
-        mean = F.create_map(*[x for f in known for x in (F.lit(f), F.lit(max(average[f] or 1.0, 1.0)))]) if known else F.create_map(F.lit(""), F.lit(1.0))
-        weight = F.create_map(*[x for f, w in known.items() for x in (F.lit(f), F.lit(float(w)))]) if known else F.create_map(F.lit(""), F.lit(0.0))
-        one = times[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean[F.col("field")]))
-        join = F.max if isinstance(query, ast.Terms) else F.sum
-        by_field = hits.groupBy("_id", "field").agg(join(one).alias("s")).select("_id", (F.col("s") * weight[F.col("field")]).alias("s"))
-        total, best = F.sum("s"), F.max("s")
-        if isinstance(query, ast.MultiMatch) and query.type == ast.BEST_FIELDS:
-            score = best + F.lit(query.tie_breaker) * (total - best)
-        else:
-            score = total
-        out = by_field.groupBy("_id").agg(F.round(score, 6).alias("_score"))
-        return out.where("_score > 0") if isinstance(query, ast.Terms) else out
+        """(_id, _score) of the matches of a query made of words (term, terms, match, multi_match, bool over them) and typed clauses.
+
+        Row groups without a word of the query are skipped and texts aren't read. Documents are joined
+        only where typed clauses need their values, or where a match needs no word. Queries that need more of a
+        text (patterns, phrases, fuzzy terms) are refused.
+        """
+        index, mapping = self.index, self.index.mapping
+        exclude = None
+        if isinstance(query, ast.MoreLikeThis):
+            exclude, query = query.doc_id, mlt.rewrite(index, query)
+            if query is None:
+                return index.df.where("false").select("_id", F.lit(0.0).alias("_score"))
+        wanted = cp.words_by_field(query, mapping)
+        if wanted is None:
+            raise InvalidRequest("posting lists answer word queries and typed clauses only")
+        mp.validate_query(query, mapping)
+        terms = sorted({w for _, w in wanted} | cp.query_terms(query))
+        df = {r["term"]: r["df"] for r in self.frequencies.where(F.col("term").isin(terms)).collect()} if terms else {}
+        average = {k: v or 1.0 for k, v in self.lengths.first().asDict().items() if k != "_n"}
+        stats = Statistics(self.n, {t: df.get(t, 0) for t in terms}, average, index.profile == "unflushed")
+        given, columns = {}, []
+        for i, (f, w) in enumerate(sorted(wanted)):
+            given[("tf", f, w)] = f"_tf{i}"
+            columns.append(F.max(F.when((F.col("field") == f) & (F.col("term") == w), F.col("tf"))).alias(f"_tf{i}"))
+        for i, f in enumerate(sorted({f for f, _ in wanted})):
+            given[("length", f)] = f"_dl{i}"
+            columns.append(F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"_dl{i}"))
+        typed, must = cp.plain_fields(query, mapping), cp.needs_word(query, mapping)
+        rows = None
+        if columns:
+            inside = F.col("term").isin(terms) & F.col("field").isin(sorted({f for f, _ in wanted}))
+            rows = self.postings.where(inside).groupBy("_id").agg(*columns)
+        if rows is None or typed or not must:
+            docs = index.df.select("_id", *[F.col(f"`{f}`") for f in sorted(typed)])
+            if (plain := cp.pushable(query, {k: v for k, v in mapping.items() if k in typed})) is not None:
+                docs = docs.where(plain)
+            rows = docs if rows is None else docs.join(rows, "_id", "inner" if must else "left")
+        if exclude is not None:
+            rows = rows.where(F.col("_id") != exclude)
+        scored = cp.Compiler(mapping, stats, given).score(rows, query)
+        return scored.where("_score is not null").select("_id", F.round("_score", 6).alias("_score"))
+
+    def page(self, query: ast.Query, size: int, start: int = 0) -> DataFrame:
+        """The best hits with all columns; only their rows of the documents are kept, by a broadcast of at most ``MAX_SIZE`` ids."""
+        best = self.search(query).orderBy(F.desc("_score"), "_id").offset(start).limit(min(size, mp.MAX_SIZE))
+        return self.index.df.join(F.broadcast(best), "_id").orderBy(F.desc("_score"), "_id")

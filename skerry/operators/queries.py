@@ -34,8 +34,7 @@ def p4_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in one table of one set of columns."""
-    docs = table(spark, folder, "segment_documents")
-    return schema_drift.unify(docs, schema_drift.changes(docs))
+    return schema_drift.unify(schema_drift.drift(table(spark, folder, "segment_documents")))
 
 
 def _consolidated(spark: SparkSession, folder: str) -> consolidate.Consolidated:

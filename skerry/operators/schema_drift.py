@@ -9,6 +9,8 @@ projection for all documents.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -211,8 +213,24 @@ def tree(rows: list) -> Node:
     return root
 
 
+@dataclass
+class Drift:
+    """``rows``: the documents with versions; ``types``: the fields of each version; ``changes``: what each step changed."""
+
+    rows: DataFrame
+    types: DataFrame
+    changes: DataFrame
+
+
 def changes(docs: DataFrame) -> DataFrame:
-    """(index_name, version, previous, change_kind, field_name, old_name, old_type, new_type, depth): every change of each step.
+    """The changes of ``drift``."""
+    return drift(docs).changes
+
+
+def drift(docs: DataFrame) -> Drift:
+    """The documents' fields by version, and what each step changes.
+
+    ``changes``: (index_name, version, previous, change_kind, field_name, old_name, old_type, new_type, depth): every change of each step.
 
     ``field_name`` of a nested field is its path with dots. A step without changes gives no
     row; an index of one version has no step. Rows whose version can't be told take no part.
@@ -253,7 +271,8 @@ def changes(docs: DataFrame) -> DataFrame:
                     out.append((r.index_name, r.version, r.previous, *x))
             yield pd.DataFrame(out, columns=["index_name", "version", "previous", "change_kind", "field_name", "old_name", "old_type", "new_type", "depth"])
 
-    return work.mapInPandas(run, "index_name string, version int, previous int, change_kind string, field_name string, old_name string, old_type string, new_type string, depth int")
+    found = work.mapInPandas(run, "index_name string, version int, previous int, change_kind string, field_name string, old_name string, old_type string, new_type string, depth int")
+    return Drift(rows, types, found)
 
 
 # -- one table --------------------------------------------------------------------------------
@@ -276,32 +295,31 @@ def final_names(change: DataFrame) -> DataFrame:
     return renamed.groupBy("index_name").applyInPandas(run, "index_name string, version int, names map<string, string>")
 
 
-def unify(docs: DataFrame, change: DataFrame, max_columns: int = 1000) -> DataFrame:
+def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
     """All documents with one set of columns: index_name, document_id, version, seq, f_<field>…, strays, rest.
 
     A document of a version before a rename has its value under the last name. Columns are the final names (a prefix keeps them
     from clashing) up to ``max_columns`` by name; their type is the one that holds every field's type: Integer and Long give bigint,
     with Double double, one type alone itself, any mixture string. A value that the type can't
-    take is in ``strays`` (name -> JSON), fields beyond the columns in ``rest``; so no value is lost.
+    take is in ``strays`` (name -> JSON), fields beyond the columns in ``rest``; so no value is lost. Where a document holds
+    several fields that end under one name, each keeps its own (its column, or ``rest`` where it has none).
     """
-    spark = docs.sparkSession
-    rows = versioned(docs)
-    names = final_names(change)
+    rows, spark = found.rows, found.rows.sparkSession
+    names = final_names(found.changes)
     # a version has the renames of the steps after it
     later = rows.select("index_name", "version").where("version is not null").distinct().alias("v").join(names.alias("n"), F.expr("v.index_name = n.index_name and n.version > v.version"))
     maps = later.groupBy("v.index_name", "v.version").agg(F.min_by("n.names", "n.version").alias("names"))
     path = scratch_path(spark, "final-names")
     maps.write.parquet(path)
     maps = spark.read.parquet(path)
-    types = field_types(rows).where("child is null")
-    named = types.join(maps, ["index_name", "version"], "left").select(F.coalesce(F.expr("names[field]"), "field").alias("field"), "type")
-    found = {r["field"]: r["types"] for r in named.groupBy("field").agg(F.collect_set("type").alias("types")).orderBy("field").limit(max_columns).collect()}
+    named = found.types.where("child is null").join(maps, ["index_name", "version"], "left").select(F.coalesce(F.expr("names[field]"), "field").alias("field"), "type")
+    kinds_of = {r["field"]: r["types"] for r in named.groupBy("field").agg(F.collect_set("type").alias("types")).orderBy("field").limit(max_columns).collect()}
     small = maps.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(maps) if small else maps, ["index_name", "version"], "left")
     doc = joined.withColumn("_v", F.expr("try_parse_json(source)")).withColumn("_m", F.expr("CASE WHEN schema_of_variant(_v) LIKE 'OBJECT%' THEN cast(_v as map<string, variant>) END"))
-    doc = doc.withColumn("_n", F.expr("map_from_entries(transform(map_entries(_m), e -> struct(CASE WHEN names[e.key] IS NOT NULL AND NOT map_contains_key(_m, names[e.key]) THEN names[e.key] ELSE e.key END as key, e.value as value)))"))
+    doc = doc.withColumn("_n", F.expr("map_from_entries(transform(map_entries(_m), e -> struct(CASE WHEN names[e.key] IS NOT NULL AND NOT map_contains_key(_m, names[e.key]) AND size(filter(map_keys(_m), k -> names[k] = names[e.key])) = 1 THEN names[e.key] ELSE e.key END as key, e.value as value)))"))
     columns, strays = [], []
-    for name, kinds in found.items():
+    for name, kinds in kinds_of.items():
         sql = _column_type(set(kinds))
         quoted = "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
         value = f"_n[{quoted}]"
@@ -309,7 +327,7 @@ def unify(docs: DataFrame, change: DataFrame, max_columns: int = 1000) -> DataFr
         got = f"CASE WHEN schema_of_variant({value}) = 'STRING' THEN variant_get({value}, '$', 'string') WHEN schema_of_variant({value}) <> 'VOID' THEN to_json({value}) END" if sql == "string" else got
         columns.append(F.expr(got).alias(f"f_{name}"))
         strays.append(f"CASE WHEN {value} IS NOT NULL AND schema_of_variant({value}) <> 'VOID' AND ({got}) IS NULL THEN map({quoted}, to_json({value})) END")
-    known = "array(" + ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in found) + ")" if found else "cast(array() as array<string>)"
+    known = "array(" + ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in kinds_of) + ")" if kinds_of else "cast(array() as array<string>)"
     empty = "cast(map() as map<string, string>)"
     stray = F.expr(f"map_concat({', '.join(f'coalesce({s}, {empty})' for s in strays)})") if strays else F.expr(empty)
     rest = F.expr(f"transform_values(map_filter(_n, (k, v) -> NOT array_contains({known}, k)), (k, v) -> to_json(v))")

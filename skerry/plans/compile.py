@@ -58,6 +58,42 @@ def token_fields(q: ast.Query, mapping: mp.Mapping) -> set[str]:
     return {f for f in names if mapping.get(f) == mp.KEYWORD}
 
 
+def words_by_field(q: ast.Query, mapping: mp.Mapping) -> set[tuple[str, str]] | None:
+    """(field, word) of all frequencies the query's score is made of; None if it needs more of a text than those."""
+    text = lambda f: mapping.get(f) == mp.KEYWORD
+    if isinstance(q, ast.Bool):
+        parts = [words_by_field(c, mapping) for c in ast.clauses(q)]
+        return None if any(p is None for p in parts) else set().union(*parts)
+    if isinstance(q, ast.MultiMatch):
+        return {(f, w) for f, _ in q.fields if text(f) for w in tx.tokenize(q.query)} if q.type in (ast.BEST_FIELDS, ast.MOST_FIELDS) else None
+    if isinstance(q, (ast.MatchAll, ast.Range)) or not text(getattr(q, "field", None)):
+        return None if isinstance(q, ast.MoreLikeThis) else set()
+    if isinstance(q, ast.Match):
+        return {(q.field, w) for w in tx.tokenize(q.value)}
+    if isinstance(q, ast.Term):
+        return None if q.fuzziness is not None else {(q.field, q.value.lower())} if isinstance(q.value, str) else set()
+    if isinstance(q, ast.Terms):
+        return {(q.field, v.lower()) for v in q.values if isinstance(v, str)}
+    return None
+
+
+def needs_word(q: ast.Query, mapping: mp.Mapping) -> bool:
+    """Every match holds at least one of the query's words."""
+    if isinstance(q, ast.Bool):
+        return any(needs_word(c, mapping) for c in q.must + q.filter) or _least(q) >= 1 and all(needs_word(c, mapping) for c in q.should)
+    if isinstance(q, ast.MultiMatch):
+        return True
+    return isinstance(q, (ast.Match, ast.Term, ast.Terms)) and mapping.get(q.field) == mp.KEYWORD
+
+
+def plain_fields(q: ast.Query, mapping: mp.Mapping) -> set[str]:
+    """Fields whose values, and not words, the query looks at."""
+    if isinstance(q, ast.Bool):
+        return set().union(*(plain_fields(c, mapping) for c in ast.clauses(q)))
+    name = getattr(q, "field", None)
+    return {name} if name in mapping and mapping[name] != mp.KEYWORD else set()
+
+
 # -- pushdown ---------------------------------------------------------------------------------
 
 
@@ -135,10 +171,15 @@ def _least(q: ast.Bool) -> int:
 
 @dataclass
 class Compiler:
-    """Scores of one query. ``stats`` has ``idf(term)`` and ``average``."""
+    """Scores of one query. ``stats`` has ``idf(term)`` and ``average``.
+
+    ``given`` names columns that hold frequencies ("tf", field, word) and lengths ("length", field)
+    already; without it they are taken from the token columns.
+    """
 
     mapping: mp.Mapping
     stats: Any
+    given: dict[tuple, str] | None = None
     layers: list[dict[str, Column]] = field(default_factory=list)
     made: dict[tuple, str] = field(default_factory=dict)
 
@@ -214,6 +255,8 @@ class Compiler:
 
     def _once(self, key: tuple, make) -> Column:
         """A column of the first layer, made once however many clauses use it."""
+        if self.given is not None:
+            return F.coalesce(F.col(f"`{self.given[key]}`"), F.lit(0))
         if key not in self.made:
             self.made[key] = f"_f{len(self.made)}"
             self.layers[0][self.made[key]] = make()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import mlt, suggest
 from .operators.index import SearchIndex
+from .operators.postings import Postings
 from .operators.search import aggregate, fragments, matches, page, search, sort_values
 from .plans import ast, dsl, qstring
 from .sources.tables import table
@@ -222,10 +223,20 @@ def _unflushed(spark: SparkSession, folder: str) -> DataFrame:
     return matches(docs(spark, folder, "unflushed"), dsl.query({"match": {"text": "merge planner lease"}})).select("_id", "_score")
 
 
-def _fast(spark: SparkSession, folder: str, query: ast.Query) -> DataFrame:
-    from .operators.postings import Postings
+_BUILT: dict[tuple[str, str], Postings] = {}
 
-    return Postings.build(docs(spark, folder)).search(query).select("_id", "_score")
+
+def posting_lists(spark: SparkSession, folder: str) -> Postings:
+    """The posting lists of the documents, built once per session and folder, as an index's are once per flush."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _BUILT:
+        _BUILT[key] = Postings.build(docs(spark, folder))
+    return _BUILT[key]
+
+
+def by_postings(body: dict) -> Q:
+    query = dsl.query(body)
+    return lambda spark, folder: posting_lists(spark, folder).search(query)
 
 
 def _dsl_flagship(size: int = 20) -> dict:
@@ -237,6 +248,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _W = ["merge", "planner", "lease"]
+_MIXED = {"bool": {"must": [{"match": {"text": "merge planner"}}], "should": [{"term": {"lang": "en"}}], "filter": [{"range": {"n_chars": {"gte": 500}}}], "must_not": [{"term": {"text": "lease"}}]}}
 _MM = {"text": 1.0, "title": 2.0}
 
 
@@ -304,8 +316,10 @@ def queries() -> dict[str, Q]:
         "query_string": _query_string("event_type:error AND value:>50"),
         "query_string_or_not": _query_string("(event_type:error OR event_type:view) NOT value:10..40"),
         "msearch": _msearch,
-        "postings_match": lambda spark, folder: _fast(spark, folder, dsl.query({"match": {"text": "merge planner lease"}})),
-        "postings_multi_match": lambda spark, folder: _fast(spark, folder, dsl.query({"multi_match": {"query": "merge planner", "fields": _MM, "tie_breaker": 0.3}})),
+        "postings_match": by_postings({"match": {"text": "merge planner lease"}}),
+        "postings_multi_match": by_postings({"multi_match": {"query": "merge planner", "fields": _MM, "tie_breaker": 0.3}}),
+        "postings_bool": by_postings(_MIXED),
+        "postings_topk": lambda spark, folder: posting_lists(spark, folder).page(dsl.query({"match": {"text": "merge planner lease"}}), 25).select("_id", "_score", "title"),
     }
 
 
@@ -406,6 +420,8 @@ WHERE (e.score IS NOT NULL OR v.score IS NOT NULL) AND NOT coalesce(e.value BETW
         "msearch": f"""SELECT * FROM (SELECT 0 AS item, 200 AS status, _id, round(score, 6) AS _score FROM {_TERM_EVENT.format(w='click')} WHERE score IS NOT NULL ORDER BY value DESC NULLS LAST, _id LIMIT 20)
 UNION ALL SELECT * FROM (SELECT 1, 200, CAST(o_orderkey AS VARCHAR) AS _id, 1.0 FROM orders WHERE o_totalprice >= 1000 ORDER BY o_totalprice, _id LIMIT 20)
 UNION ALL SELECT 2, 404, NULL, NULL UNION ALL SELECT 3, 400, NULL, NULL""",
+        "postings_bool": doc_sql(["merge", "planner", "lease", "en"], f"SELECT _id, round((m + coalesce(a, 0)) / (1 + (a IS NOT NULL)::INT), 6) AS _score FROM (SELECT _id, n_chars, {must} AS m, {s1} AS a, {s2} AS b FROM d, st) WHERE m IS NOT NULL AND b IS NULL AND n_chars >= 500"),
+        "postings_topk": doc_sql(_W, f"SELECT _id, round(score, 6) AS _score, title FROM (SELECT d.*, {some(_W)} AS score FROM d, st) WHERE score IS NOT NULL ORDER BY _score DESC, _id LIMIT 25"),
         "postings_match": doc_sql(_W, hits_sql(some(_W))),
         "postings_multi_match": doc_sql(["merge", "planner"], f"SELECT _id, round(greatest(a, b) + 0.3 * (coalesce(a, 0) + coalesce(b, 0) - greatest(a, b)), 6) AS _score FROM (SELECT _id, {a} AS a, {b} AS b FROM d, st) WHERE a IS NOT NULL OR b IS NOT NULL"),
     }

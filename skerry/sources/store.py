@@ -19,6 +19,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.json_types import type_sql
 from ..operators.index import SearchIndex
 from ..plans import ast
@@ -301,28 +302,25 @@ class Index:
                 columns[name] = F.to_json(F.expr(value % "variant"))
             else:
                 columns[name] = F.expr(value % mp.SPARK_TYPES[kind])
-        return doc.withColumns(columns).drop("_v")
+        typed = doc.withColumns(columns).drop("_v")
+        # the words are stored with a segment, so that searches don't split texts
+        words = {f"_tok_{name}": tx.tokens(F.col(f"`{name}`")) for name, kind in _columns(mapping).items() if kind == mp.KEYWORD}
+        return typed.withColumns(words) if words else typed
 
-    def _segments(self, manifest: dict) -> DataFrame | None:
-        out = None
-        for s in manifest["segments"]:
-            one = self.spark.read.parquet(f"{self.path}/segments/{s['number']:08d}")
-            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-        return out
+    def _segments(self, manifest: dict) -> list[DataFrame]:
+        return [self.spark.read.parquet(f"{self.path}/segments/{s['number']:08d}") for s in manifest["segments"]]
 
     def _state(self, manifest: dict, upto: int | None) -> DataFrame:
-        """The last change of every id, deletes included."""
-        mapping = self.mapping
-        log, stored = self._log(manifest, upto), self._segments(manifest)
-        tail = None if log is None else self._typed(_last(log), mapping)
-        if stored is None:
-            return tail if tail is not None else self._typed(self.spark.createDataFrame([], _LOG), mapping)
-        if len(manifest["segments"]) > 1:
-            stored = _last(stored)
-        if tail is None:
-            return stored
-        # the tail is newer than any segment
-        return stored.join(tail.select("_id"), "_id", "left_anti").unionByName(tail, allowMissingColumns=True)
+        """The last change of every id, deletes included.
+
+        Each part is read without the rows that a newer change in another part overtakes. Only ids and numbers take
+        part in that, so columns a search doesn't use aren't read, and a small newer part is broadcast.
+        """
+        mapping, log = self.mapping, self._log(manifest, upto)
+        parts = self._segments(manifest) + ([] if log is None else [self._typed(_last(log), mapping)])
+        if not parts:
+            return self._typed(self.spark.createDataFrame([], _LOG), mapping)
+        return _union([_not_overtaken(p, parts[:i] + parts[i + 1:]) for i, p in enumerate(parts)])
 
     def searchable(self) -> DataFrame:
         manifest = self.manifest
@@ -331,7 +329,7 @@ class Index:
     def get_document(self, doc_id: str) -> dict | None:
         """The newest form, refreshed or not."""
         manifest = self.manifest
-        parts = [d.where(F.col("_id") == doc_id).select("_seq", "_deleted", "_source") for d in (self._log(manifest, None), self._segments(manifest)) if d is not None]
+        parts = [d.where(F.col("_id") == doc_id).select("_seq", "_deleted", "_source") for d in (self._log(manifest, None), *self._segments(manifest)) if d is not None]
         rows = [r for p in parts for r in p.orderBy(F.desc("_seq")).limit(1).collect()]
         newest = max(rows, key=lambda r: r["_seq"], default=None)
         return None if newest is None or newest["_deleted"] else json.loads(newest["_source"])
@@ -409,7 +407,8 @@ class Index:
             return 0
         number = manifest["number"] + 1
         path = f"{self.path}/segments/{number:08d}"
-        rows = _last(self._segments(manifest | {"segments": chosen}))
+        parts = self._segments(manifest | {"segments": chosen})
+        rows = _union([_not_overtaken(p, parts[:i] + parts[i + 1:]) for i, p in enumerate(parts)])
         if len(chosen) == len(manifest["segments"]):  # no older segment is left that a tombstone could be for
             rows = rows.where("not _deleted")
         rows.write.mode("overwrite").parquet(path)
@@ -536,6 +535,20 @@ def _last(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_id").agg(F.max_by(F.struct("_seq", *[F.col(f"`{c}`") for c in rest]), "_seq").alias("_m")).select("_id", "_m.*")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _not_overtaken(part: DataFrame, others: list[DataFrame]) -> DataFrame:
+    if not others:
+        return part
+    newer = _union([o.select(F.col("_id").alias("_i"), F.col("_seq").alias("_s")) for o in others])
+    return part.join(newer, (F.col("_id") == F.col("_i")) & (F.col("_seq") < F.col("_s")), "left_anti")
+
+
 def _columns(mapping: mp.Mapping) -> mp.Mapping:
     out: dict[str, str] = {}
     seen: set[str] = set()

@@ -101,12 +101,24 @@ def test_one_table(spark):
     rows += [("i", 3, 3, str(k), 20 + k, {"a": "stray" if k == 0 else 1, "bean": f"x{k}"}) for k in range(4)]
     rows += [("j", 1, None, "z", 1, None)]
     df = docs(spark, rows)
-    got = sd.unify(df, sd.changes(df))
+    found = sd.drift(df)
+    got = sd.unify(found)
     assert got.count() == len(rows) and {"f_a", "f_bean", "f_s"} <= set(got.columns) and "f_b" not in got.columns
     assert {r["f_bean"] for r in got.where("index_name = 'i'").collect()} == {"x0", "x1", "x2", "x3"}
     # types of a: Integer, Double, Integer: all are numbers, the stray text is kept beside them
     assert dict(got.dtypes)["f_a"] == "double"
     assert [r["strays"] for r in got.where("f_a is null and index_name = 'i'").collect()] == [{"a": '"stray"'}]
-    narrow = sd.unify(df, sd.changes(df), max_columns=1)
+    narrow = sd.unify(found, max_columns=1)
     assert narrow.where("version = 1").first()["rest"].keys() >= {"s"}
-    assert sd.unify(df.where("false"), sd.changes(df.where("false"))).collect() == []
+    assert sd.unify(sd.drift(df.where("false"))).collect() == []
+
+
+def test_two_fields_that_end_under_one_name(spark):
+    rows = [("i", 1, 1, str(k), k, {"a": f"x{k}", "b": f"y{k}"}) for k in range(3)]
+    rows += [("i", 2, 2, str(k), 10 + k, {"p": f"x{k}", "b": f"y{k}"}) for k in range(3)]
+    rows += [("i", 3, 3, str(k), 20 + k, {"b": f"y{k}"}) for k in range(3)]
+    rows += [("i", 4, 4, str(k), 30 + k, {"p": f"y{k}"}) for k in range(3)]
+    got = sd.unify(sd.drift(docs(spark, rows)))
+    first = got.where("version = 1 and document_id = '1'").first()
+    assert first["f_p"] is None and first["rest"] == {"a": '"x1"', "b": '"y1"'}
+    assert got.where("version = 3 and document_id = '1'").first()["f_p"] == "y1"

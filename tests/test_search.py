@@ -5,8 +5,9 @@ import pytest
 from skerry.operators import suggest
 from skerry.operators.index import SearchIndex
 from skerry.operators.postings import Postings
-from skerry.operators.search import matches, page, search
-from skerry.plans import ast, dsl
+from skerry.operators.search import matches
+from skerry.plans import dsl
+from skerry.plans.errors import InvalidRequest
 from skerry.plans.response import search_response
 from skerry.sources.store import Store
 
@@ -185,17 +186,28 @@ def test_term_in_most_documents(spark):
 
 def test_postings_equal_the_scan(spark):
     texts = ["merge planner lease", "merge merge", None, "", "lease the planner", "other words", "Merge"]
-    df = spark.createDataFrame([(str(i), t, t and t[::-1]) for i, t in enumerate(texts)], "_id string, a string, b string")
-    index = SearchIndex(df, {"a": "Keyword", "b": "Keyword"})
+    df = spark.createDataFrame([(str(i), t, t and t[::-1], i) for i, t in enumerate(texts)], "_id string, a string, b string, n int")
+    index = SearchIndex(df, {"a": "Keyword", "b": "Keyword", "n": "Integer"})
     fast = Postings.build(index)
     for body in [
         {"match": {"a": "merge planner merge"}}, {"term": {"a": "LEASE"}}, {"terms": {"a": ["lease", "other"]}}, {"match": {"a": "nowhere"}}, {"match": {"nothing": "x"}},
         {"multi_match": {"query": "merge egrem", "fields": {"a": 1, "b": 2.5}, "tie_breaker": 0.3}}, {"multi_match": {"query": "merge egrem", "fields": {"a": 1, "b": 2}, "type": "most_fields"}},
+        {"match_all": {}}, {"range": {"n": {"gte": 3}}}, {"bool": {"must_not": [{"term": {"a": "merge"}}]}}, {"bool": {"must": [{"range": {"n": {"lt": 5}}}], "should": [{"match": {"a": "merge lease"}}]}},
+        {"bool": {"must": [{"match": {"a": "merge"}}], "filter": [{"range": {"n": {"lt": 5}}}], "must_not": [{"term": {"b": "esael"}}]}}, {"bool": {"should": [{"term": {"a": "lease"}}, {"term": {"n": 5}}]}}, {"mlt": {"doc_id": "0", "min_term_freq": 1}},
     ]:
         q = dsl.query(body)
         assert sorted((r["_id"], r["_score"]) for r in fast.search(q).collect()) == sorted((r["_id"], r["_score"]) for r in matches(index, q).collect()), body
 
 
+def test_postings_refuse_what_they_lack(spark):
+    index = SearchIndex(spark.createDataFrame([("1", "a b")], "_id string, a string"), {"a": "Keyword"})
+    fast = Postings.build(index)
+    for body in ({"phrase": {"a": "a b"}}, {"prefix": {"a": "a"}}, {"wildcard": {"a": "*"}}, {"term": {"field": "a", "value": "a", "fuzziness": 1}}):
+        with pytest.raises(InvalidRequest):
+            fast.search(dsl.query(body))
+    assert [r["a"] for r in fast.page(dsl.query({"match": {"a": "b"}}), 5).collect()] == ["a b"]
+
+
 def test_phrase_takes_the_closest_start(spark):
     far = "alpha " + "x " * 30 + "alpha beta"
     df = spark.createDataFrame([("1", far), ("2", "alpha " + "y " * 30 + "beta"), ("3", "beta alpha"), ("4", "z"), ("5", "z"), ("6", "z"), ("7", "z")], "_id string, t string")
