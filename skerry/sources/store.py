@@ -203,6 +203,7 @@ class Index:
 
     def bulk(self, operations: list[dict]) -> dict:
         """Operations in order, each by itself: one that fails doesn't stop the others. An index always says ``created``."""
+        began = time.monotonic()
         manifest, mapping, mode = self.manifest, self.mapping, self.settings.mapping_mode
         seq, rows, items = manifest["next_seq"], [], []
         for op in operations:
@@ -225,6 +226,8 @@ class Index:
             self._set_mapping(mapping)
             self._append(self.spark.createDataFrame(rows, _LOG).coalesce(1), manifest, seq)
         self._count("bulk_operations", len(operations))
+        if (took := time.monotonic() - began) > 0.2:
+            _slow.info("bulk on %s took %.0f ms", self.name, took * 1000)
         return {"errors": any(i["status"] >= 400 for i in items), "items": items}
 
     def bulk_frame(self, operations: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
