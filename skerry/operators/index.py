@@ -43,7 +43,8 @@ class SearchIndex:
 
     def materialized(self, path: str) -> "SearchIndex":
         """The same index with its tokens stored beside the columns, as a flush leaves it."""
-        self.with_tokens(self.text_fields).write.mode("overwrite").parquet(path)
+        kept = ["_id", *self.mapping, *[f"_tok_{f}" for f in self.text_fields]]
+        self.with_tokens(self.text_fields).select(*[F.col(f"`{c}`") for c in kept]).write.mode("overwrite").parquet(path)
         return SearchIndex(self.df.sparkSession.read.parquet(path), self.mapping, self.profile)
 
     def statistics(self, terms: set[str], fields: set[str]) -> "Statistics":

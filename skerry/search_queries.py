@@ -13,6 +13,7 @@ from .operators.index import SearchIndex
 from .operators.postings import Postings
 from .operators.search import aggregate, fragments, matches, page, search, sort_values
 from .plans import ast, dsl, qstring
+from .session import scratch_path
 from .sources.tables import table
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -21,29 +22,46 @@ DOC_FIELDS = ["text", "lang", "source", "kind", "title", "n_chars", "created_at"
 DOC_TEXTS = ["text", "lang", "source", "kind", "title"]
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(kind: str, spark: SparkSession, folder: str, make: Callable):
+    """An index, opened once per session and folder; its statistics stay valid since the tables don't change."""
+    key = (kind, spark.sparkContext.applicationId, folder)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def docs(spark: SparkSession, folder: str, profile: str = "flushed") -> SearchIndex:
-    return SearchIndex.from_table(table(spark, folder, "documents"), "doc_id", DOC_FIELDS, profile)
+    """The documents as a flushed index: columns and words stored together."""
+
+    def make() -> SearchIndex:
+        return SearchIndex.from_table(table(spark, folder, "documents"), "doc_id", DOC_FIELDS).materialized(scratch_path(spark, "documents"))
+
+    index = kept("documents", spark, folder, make)
+    return index if profile == index.profile else SearchIndex(index.df, index.mapping, profile)
 
 
 def events(spark: SparkSession, folder: str) -> SearchIndex:
-    return SearchIndex.from_table(table(spark, folder, "events"), "event_id", ["event_id", "ts", "user_id", "event_type", "value"])
+    return kept("events", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "events"), "event_id", ["event_id", "ts", "user_id", "event_type", "value"]))
 
 
 def orders(spark: SparkSession, folder: str) -> SearchIndex:
-    return SearchIndex.from_table(table(spark, folder, "orders"), "o_orderkey")
+    return kept("orders", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "orders"), "o_orderkey"))
 
 
 def parts(spark: SparkSession, folder: str) -> SearchIndex:
-    return SearchIndex.from_table(table(spark, folder, "part"), "p_partkey")
+    return kept("parts", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "part"), "p_partkey"))
 
 
 def lines(spark: SparkSession, folder: str) -> SearchIndex:
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return SearchIndex.from_table(table(spark, folder, "lineitem"), key)
+    return kept("lines", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "lineitem"), key))
 
 
 def regions(spark: SparkSession, folder: str) -> SearchIndex:
-    return SearchIndex.from_table(table(spark, folder, "region"), "r_regionkey")
+    return kept("regions", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "region"), "r_regionkey"))
 
 
 def scored(make: Callable, body: dict, *columns: str) -> Q:
@@ -223,15 +241,9 @@ def _unflushed(spark: SparkSession, folder: str) -> DataFrame:
     return matches(docs(spark, folder, "unflushed"), dsl.query({"match": {"text": "merge planner lease"}})).select("_id", "_score")
 
 
-_BUILT: dict[tuple[str, str], Postings] = {}
-
-
 def posting_lists(spark: SparkSession, folder: str) -> Postings:
-    """The posting lists of the documents, built once per session and folder, as an index's are once per flush."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _BUILT:
-        _BUILT[key] = Postings.build(docs(spark, folder))
-    return _BUILT[key]
+    """The posting lists of the documents, as a flush leaves them."""
+    return kept("postings", spark, folder, lambda: Postings.build(docs(spark, folder)))
 
 
 def by_postings(body: dict) -> Q:
