@@ -49,7 +49,8 @@ def fields(rows: DataFrame) -> DataFrame:
     keep = [c for c in rows.columns if c != "source"]
     doc = rows.withColumn("_v", F.expr("try_parse_json(source)")).where("schema_of_variant(_v) like 'OBJECT%'")
     top = doc.select(*keep, F.explode(F.expr("map_entries(cast(_v as map<string, variant>))")).alias("_e")).select(*keep, F.col("_e.key").alias("field"), F.col("_e.value").alias("value"))
-    top = top.withColumn("type", F.expr(type_sql("value")))
+    # as a column of its own the schema isn't computed anew for each comparison
+    top = top.withColumn("_st", F.expr("schema_of_variant(value)")).withColumn("type", F.expr(type_sql("value", "_st"))).drop("_st")
     inner = f"transform(map_entries(cast(value as map<string, variant>)), e -> named_struct('child', e.key, 'type', {type_sql('e.value')}, 'value', e.value))"
     both = f"concat(array(named_struct('child', cast(null as string), 'type', type, 'value', value)), CASE WHEN type = 'Object' THEN {inner} ELSE array() END)"
     return top.select(*keep, "field", F.explode(F.expr(both)).alias("_e")).select(*keep, "field", "_e.child", "_e.type", "_e.value")
@@ -317,21 +318,28 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
     small = maps.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(maps) if small else maps, ["index_name", "version"], "left")
     doc = joined.withColumn("_v", F.expr("try_parse_json(source)")).withColumn("_m", F.expr("CASE WHEN schema_of_variant(_v) LIKE 'OBJECT%' THEN cast(_v as map<string, variant>) END"))
-    doc = doc.withColumn("_n", F.expr("map_from_entries(transform(map_entries(_m), e -> struct(CASE WHEN names[e.key] IS NOT NULL AND NOT map_contains_key(_m, names[e.key]) AND size(filter(map_keys(_m), k -> names[k] = names[e.key])) = 1 THEN names[e.key] ELSE e.key END as key, e.value as value)))"))
-    columns, strays = [], []
-    for name, kinds in kinds_of.items():
-        sql = _column_type(set(kinds))
-        quoted = "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        value = f"_n[{quoted}]"
-        got = f"to_json({value})" if sql == "json" else f"try_variant_get({value}, '$', '{sql}')"
-        got = f"CASE WHEN schema_of_variant({value}) = 'STRING' THEN variant_get({value}, '$', 'string') WHEN schema_of_variant({value}) <> 'VOID' THEN to_json({value}) END" if sql == "string" else got
-        columns.append(F.expr(got).alias(f"f_{name}"))
-        strays.append(f"CASE WHEN {value} IS NOT NULL AND schema_of_variant({value}) <> 'VOID' AND ({got}) IS NULL THEN map({quoted}, to_json({value})) END")
-    known = "array(" + ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in kinds_of) + ")" if kinds_of else "cast(array() as array<string>)"
+    # versions without later renames keep their map as it is
+    doc = doc.withColumn("_n", F.expr("""CASE WHEN names IS NULL THEN _m ELSE map_from_entries(transform(map_entries(_m), e -> struct(
+        CASE WHEN names[e.key] IS NOT NULL AND NOT map_contains_key(_m, names[e.key]) AND size(filter(map_keys(_m), k -> names[k] = names[e.key])) = 1 THEN names[e.key] ELSE e.key END as key, e.value as value))) END"""))
+    quote = lambda n: "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    columns, strays = {}, []
+    for i, (name, kinds) in enumerate(kinds_of.items()):
+        sql, value = _column_type(set(kinds)), f"_n[{quote(name)}]"
+        there = f"{value} IS NOT NULL AND NOT is_variant_null({value})"
+        if sql == "json":
+            columns[f"_c{i}"] = F.expr(f"to_json({value})")
+        elif sql == "string":
+            columns[f"_c{i}"] = F.expr(f"CASE WHEN {there} THEN coalesce(try_variant_get({value}, '$', 'string'), to_json({value})) END")
+        else:
+            columns[f"_c{i}"] = F.expr(f"try_variant_get({value}, '$', '{sql}')")
+            strays.append(f"struct({quote(name)} as key, CASE WHEN _c{i} IS NULL AND {there} THEN to_json({value}) END as value)")
+    known = "array(" + ", ".join(map(quote, kinds_of)) + ")" if kinds_of else "cast(array() as array<string>)"
     empty = "cast(map() as map<string, string>)"
-    stray = F.expr(f"map_concat({', '.join(f'coalesce({s}, {empty})' for s in strays)})") if strays else F.expr(empty)
+    stray = F.expr(f"map_from_entries(filter(array({', '.join(strays)}), e -> e.value IS NOT NULL))" if strays else empty)
     rest = F.expr(f"transform_values(map_filter(_n, (k, v) -> NOT array_contains({known}, k)), (k, v) -> to_json(v))")
-    return doc.select("index_name", "document_id", "version", "seq", *columns, stray.alias("strays"), rest.alias("rest"))
+    made = doc.withColumns(columns) if columns else doc
+    named = [F.col(f"_c{i}").alias(f"f_{name}") for i, name in enumerate(kinds_of)]
+    return made.select("index_name", "document_id", "version", "seq", *named, stray.alias("strays"), rest.alias("rest"))
 
 
 def _column_type(kinds: set[str]) -> str:
