@@ -8,10 +8,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import partitions
+
 #: Unicode white space.
 _BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Records of a term are routed to so many tasks, so that a term that every record holds is not one task's work.
+#: Records of a hot term are routed to at least so many tasks, so that a term that every record holds is not one task's work.
 SALTS = 8
 
 
@@ -158,19 +160,29 @@ def ngram_counts(occurrences: DataFrame, max_n: int = 1, salts: int = SALTS) ->
     return count_suffixes(suffixes(occurrences, max_n), max_n, salts)
 
 
+def hot_starts(rows: DataFrame) -> list[int]:
+    """Hashes of the (group, first term) pairs that hold more than a quarter of a partition's fair share of the suffixes.
+
+    One pass with a bounded sketch; there are at most four times as many as partitions. It decides only how the work is spread.
+    """
+    parts = partitions(rows.sparkSession)
+    most = min(4 * parts, 2000)
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(xxhash64(g, t1), {most}, {10 * most})").alias("top")).first()
+    return [x["item"] for x in got["top"] or [] if x["count"] * 4 * parts > got["n"]]
+
+
 def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS) -> DataFrame:
     """(g, t1..tn, n, occurrences, records) from suffixes (g, r, s, p, t1..tn).
 
     Suffix-sorted counting: each occurrence gives one suffix of at most ``max_n`` terms; the
-    suffixes are routed by group and first term, salted by record (record sets of different
-    salts are disjoint, so their counts add up), sorted in reverse lexicographic order, and a
-    stack gives the count and record set of every prefix in one pass. A repeated occurrence
-    (same record, section, place) counts once; one of null place proves the record but counts
-    as no occurrence of known place. Groups may be null and are then their own group.
+    suffixes are routed by group and first term, sorted in reverse lexicographic order, and a
+    stack gives the count and record set of every prefix in one pass. Suffixes of a first term that very many
+    begin with are routed by record too; record sets of different such salts are disjoint, so their
+    counts are added up exactly. A repeated occurrence (same record, section, place) counts once;
+    one of null place proves the record but counts as no occurrence of known place. Groups may
+    be null and are then their own group.
     """
-    terms = [f"t{j}" for j in range(1, max_n + 1)]
-    rows = rows.withColumn("salt", F.pmod(F.hash("r"), F.lit(salts)))
-    kinds = dict(rows.dtypes)
+    kinds, terms = dict(rows.dtypes), [f"t{j}" for j in range(1, max_n + 1)]
     columns = ["g", *terms, "r", "s", "p"]
     schema = f"g {kinds['g']}, " + "".join(f"{t} string, " for t in terms) + "n int, occurrences bigint, records bigint"
 
@@ -185,9 +197,16 @@ def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS) -> DataFrame
         if out is not None:
             yield from stack.take(out)
 
-    routed = rows.repartition("g", "t1", "salt").sortWithinPartitions("g", *[F.desc_nulls_last(t) for t in terms], "salt", "r", "s", "p")
-    parts = routed.select(*columns).mapInArrow(run, schema)
-    return parts.groupBy("g", *terms, "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    order = [F.desc_nulls_last(t) for t in terms]
+    begins = F.xxhash64("g", "t1")
+    hot = hot_starts(rows)
+    cold = rows.where(~begins.isin(hot)) if hot else rows
+    counts = cold.repartition("g", "t1").sortWithinPartitions("g", *order, "r", "s", "p").select(*columns).mapInArrow(run, schema)
+    if not hot:
+        return counts
+    salted = rows.where(begins.isin(hot)).withColumn("salt", F.pmod(F.hash("r"), F.lit(max(salts, partitions(rows.sparkSession)))))
+    parts = salted.repartition("g", "t1", "salt").sortWithinPartitions("g", *order, "salt", "r", "s", "p").select(*columns).mapInArrow(run, schema)
+    return counts.unionByName(parts.groupBy("g", *terms, "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))
 
 
 def group_sizes(occurrences: DataFrame) -> DataFrame:

@@ -34,6 +34,14 @@ def test_counts_equal_brute_force(spark, max_n):
     assert got == brute(occ, max_n)
 
 
+def test_hot_terms_are_salted_and_added_up(spark):
+    occ = [("i", r % 97, "f", r, "hot" if r % 3 else f"w{r}") for r in range(3000)]
+    df = spark.createDataFrame(occ, "g string, r bigint, s string, p int, t string")
+    assert len(tc.hot_starts(tc.suffixes(df, 1))) == 1
+    got = {(x["g"], *[x[f"t{j}"] for j in range(1, x["n"] + 1)]): (x["occurrences"], x["records"]) for x in tc.ngram_counts(df, 2).collect()}
+    assert got == brute(occ, 2)
+
+
 def test_stack_over_small_batches():
     """Runs that go on over many batches give the same as one batch."""
     rnd = random.Random(3)
