@@ -52,8 +52,11 @@ def fields(rows: DataFrame) -> DataFrame:
     # as a column of its own the schema isn't computed anew for each comparison
     top = top.withColumn("_st", F.expr("schema_of_variant(value)")).withColumn("type", F.expr(type_sql("value", "_st"))).drop("_st")
     inner = f"transform(map_entries(cast(value as map<string, variant>)), e -> named_struct('child', e.key, 'type', {type_sql('e.value')}, 'value', e.value))"
-    both = f"concat(array(named_struct('child', cast(null as string), 'type', type, 'value', value)), CASE WHEN type = 'Object' THEN {inner} ELSE array() END)"
-    return top.select(*keep, "field", F.explode(F.expr(both)).alias("_e")).select(*keep, "field", "_e.child", "_e.type", "_e.value")
+    # only objects are unfolded, into themselves and their fields; any other value stays the one row it is
+    own = f"CASE WHEN type = 'Object' THEN concat(array(named_struct('child', cast(null as string), 'type', type, 'value', value)), {inner}) END"
+    both = top.select(*keep, "field", "type", "value", F.explode_outer(F.expr(own)).alias("_e"))
+    pick = lambda name: F.when(F.col("_e").isNull(), F.col(name)).otherwise(F.col(f"_e.{name}")).alias(name)
+    return both.select(*keep, "field", F.col("_e.child").alias("child"), pick("type"), pick("value"))
 
 
 def field_types(rows: DataFrame) -> DataFrame:
@@ -282,18 +285,21 @@ def drift(docs: DataFrame) -> Drift:
 def final_names(change: DataFrame) -> DataFrame:
     """(index_name, version, names): for each version with later renames the map from its names to the last ones."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        now: dict[str, str] = {}
-        for v in sorted(set(part["version"]), reverse=True):
-            own = part[part["version"] == v]
-            for r in own[own["change_kind"] == "renamed"].itertuples():
-                now = now | {r.old_name: now.get(r.field_name, r.field_name)}
-            out.append((part["index_name"].iloc[0], v, dict(now)))
-        return pd.DataFrame(out, columns=["index_name", "version", "names"])
+    def run(batches):
+        for part in batches:
+            out = []
+            for index, steps_of in zip(part["index_name"], part["renames"]):
+                now: dict[str, str] = {}
+                by_version: dict[int, dict[str, str]] = {}
+                for r in steps_of:
+                    by_version.setdefault(r["version"], {})[r["old_name"]] = r["field_name"]
+                for v in sorted(by_version, reverse=True):
+                    now = now | {old: now.get(new, new) for old, new in by_version[v].items()}
+                    out.append((index, v, now))
+            yield pd.DataFrame(out, columns=["index_name", "version", "names"])
 
-    renamed = change.where("change_kind = 'renamed' and depth = 1").select("index_name", "version", "change_kind", "field_name", "old_name")
-    return renamed.groupBy("index_name").applyInPandas(run, "index_name string, version int, names map<string, string>")
+    renamed = change.where("change_kind = 'renamed' and depth = 1").groupBy("index_name").agg(F.collect_list(F.struct("version", "field_name", "old_name")).alias("renames"))
+    return renamed.mapInPandas(run, "index_name string, version int, names map<string, string>")
 
 
 def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
@@ -322,9 +328,11 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
     doc = doc.withColumn("_n", F.expr("""CASE WHEN names IS NULL THEN _m ELSE map_from_entries(transform(map_entries(_m), e -> struct(
         CASE WHEN names[e.key] IS NOT NULL AND NOT map_contains_key(_m, names[e.key]) AND size(filter(map_keys(_m), k -> names[k] = names[e.key])) = 1 THEN names[e.key] ELSE e.key END as key, e.value as value))) END"""))
     quote = lambda n: "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    # each value is looked up once
+    doc = doc.withColumns({f"_x{i}": F.expr(f"_n[{quote(name)}]") for i, name in enumerate(kinds_of)}) if kinds_of else doc
     columns, strays = {}, []
     for i, (name, kinds) in enumerate(kinds_of.items()):
-        sql, value = _column_type(set(kinds)), f"_n[{quote(name)}]"
+        sql, value = _column_type(set(kinds)), f"_x{i}"
         there = f"{value} IS NOT NULL AND NOT is_variant_null({value})"
         if sql == "json":
             columns[f"_c{i}"] = F.expr(f"to_json({value})")
