@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import change_records as cr
 from ..functions.kway import last_of_each, merge_blocks
-from ..session import hadoop_path, partitions, scratch_path
+from ..session import hadoop_path, partitions, scratch_path, ship
 
 MANIFEST = "manifest.json"
 BLOCK_ROWS = 16_384
@@ -123,6 +123,7 @@ class LogStructuredTable:
         files = list(self.files().items())
         if not files:
             return self.spark.createDataFrame([], schema).select(*want)
+        ship(self.spark)
         plan = self.spark.createDataFrame(files, "bucket int, files array<string>")
 
         def merge(batches):

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship
 
 DEFAULT_THRESHOLD = 8
 #: Columns the operator knows; any others go along in one struct, so their names can't clash with its own.
@@ -71,6 +71,7 @@ def consolidate(docs: DataFrame, settings: DataFrame, path: str | None = None, s
     after it), which changes metadata only. Files hold many segments in key order, so their number follows the bytes and not the indexes.
     """
     spark = docs.sparkSession
+    ship(spark)
     path = path or scratch_path(spark, "segments")
     plan_path, data_path, meta_path = f"{path}/plan", f"{path}/data", f"{path}/segments"
     segment_plan(docs, settings).write.mode("overwrite").parquet(plan_path)

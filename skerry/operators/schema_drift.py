@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_types import type_sql
-from ..session import scratch_path
+from ..session import scratch_path, ship
 
 #: Agreement from which a field that vanishes and one that appears are one field renamed.
 RENAME_AT = 0.5
@@ -240,6 +240,7 @@ def drift(docs: DataFrame) -> Drift:
     row; an index of one version has no step. Rows whose version can't be told take no part.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = versioned(docs)
     # the counts are small (fields x versions) and are read several times
     path = scratch_path(spark, "field-types")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +55,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, for operators that run Python on them."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="skerry-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "skerry.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for where, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(where, name)
+                    z.write(full, os.path.join("skerry", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path object."""
     jvm = spark.sparkContext._jvm
@@ -65,8 +90,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
     except Exception:  # the session has ended before the interpreter
         if path.startswith("file://"):
-            import shutil
-
             shutil.rmtree(path[len("file://"):], ignore_errors=True)
 
 
