@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Share of a record's own model in the mixture with its group's; EM ends when no probability moves by more, or after so many rounds.
 OWN_SHARE, TOLERANCE, ROUNDS = 0.3, 1e-7, 300
 #: Classes that are worked on at once.
@@ -63,6 +65,7 @@ def scores(statistics: DataFrame, share: float = OWN_SHARE, tolerance: float = T
     than its terms. Records are then worked on in blocks of many at once. A score of 0 says
     that the group's background explains the term.
     """
+    ship(statistics.sparkSession)
     kinds = dict(statistics.dtypes)
     classes = statistics.groupBy("g", "r", "tf", "cf", "size").agg(F.count(F.lit(1)).alias("n"))
     schema = f"g {kinds['g']}, r {kinds['r']}, tf bigint, cf bigint, score double"

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .bpe import worker_cache
 from .tokenize import BYTE_LEVEL_PATTERN, text_slices, vocabulary_path
 
@@ -93,6 +94,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     """
     if capacity < 1:
         raise ValueError("capacity must be at least one token")
+    ship(df.sparkSession)
     groups = max(1, math.ceil(df.count() / group_rows))
     kind = df.schema[key].dataType.simpleString()
     items = pieces_by_tokens(df, key, text, capacity, vocabulary or vocabulary_path(), pattern)

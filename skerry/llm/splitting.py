@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .bpe import BLANK, LINE, LINES, SENTENCE, WordCache, worker_cache
 from .tokenize import BYTE_LEVEL_PATTERN, text_slices, vocabulary_path
 
@@ -138,6 +139,7 @@ def split(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = L
     """
     if not 0 <= overlap <= limit // 2 or limit < 16:
         raise ValueError("limit must be at least 16 tokens, and overlap at most half of it")
+    ship(df.sparkSession)
     path = vocabulary or vocabulary_path()
     kind = df.schema[key].dataType.simpleString()
     names = ["k", "piece", "n_pieces", "char_start", "char_end", "token_start", "n_tokens", "piece_text"]

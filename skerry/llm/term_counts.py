@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import partitions
+from ..session import partitions, ship
 
 #: Unicode white space.
 _BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -182,6 +182,7 @@ def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS) -> DataFrame
     one of null place proves the record but counts as no occurrence of known place. Groups may
     be null and are then their own group.
     """
+    ship(rows.sparkSession)
     kinds, terms = dict(rows.dtypes), [f"t{j}" for j in range(1, max_n + 1)]
     columns = ["g", *terms, "r", "s", "p"]
     schema = f"g {kinds['g']}, " + "".join(f"{t} string, " for t in terms) + "n int, occurrences bigint, records bigint"

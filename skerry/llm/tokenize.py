@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .bpe import worker_cache
 
 #: Where the public vocabularies lie, by default, and the word pattern that belongs to the byte-level ones.
@@ -41,6 +42,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     other. Every row comes out once, repeated keys and null keys included. Strings that
     spell a special token are ordinary text. Other columns are ignored.
     """
+    ship(df.sparkSession)
     path = vocabulary or vocabulary_path()
     kind = df.schema[key].dataType
 
