@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .once import computed_once
+
 #: Put behind a record before parsing. Spark's parsers stop at the end of the first value and would accept what follows it;
 #: as an element of an array with this last element, a record must end where its object ends.
 _END = ',{"_end_of_record_":true}]'
@@ -16,19 +18,21 @@ _SCHEMA = (
 INDEX, DELETE, MAPPING, OTHER = "index", "delete", "mapping", "other"
 
 
-def parsed(record: Column) -> Column:
-    """struct<op, id> of a record, or null where the record isn't one complete JSON object.
+def parsed(rows: DataFrame, record: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: struct<op, id> of a record, or null where the record isn't one complete JSON object.
 
     Null, empty and cut-off records, other JSON values and objects with anything but blanks
     behind them give null. ``id`` is the document the record itself names, else null. Of the
     three families of shapes ({"type": ...}, {"index": ...}, {"IndexDocument": ...}) the one
     that is there decides ``op``; an object of none of them is ``other``.
     """
-    whole = F.from_json(
-        F.when(record.rlike(r"\A\s*\{") & ~record.contains("_end_of_record_"), F.concat(F.lit("["), record, F.lit(_END))),
+    text = F.col(f"`{record}`")
+    value = F.from_json(
+        F.when(text.rlike(r"\A\s*\{") & ~text.contains("_end_of_record_"), F.concat(F.lit("["), text, F.lit(_END))),
         _SCHEMA,
         {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
     )
+    whole = F.col("_whole_record")
     r = F.get(whole, F.lit(0))
     kind = F.regexp_replace(F.lower(r["type"]), "[^a-z]", "")
     op = (
@@ -40,4 +44,6 @@ def parsed(record: Column) -> Column:
     named = F.coalesce(
         r["document"]["id"], r["document_id"], r["index"]["id"], r["delete"]["id"], r["IndexDocument"]["document"]["id"], r["IndexDocument"]["id"], r["DeleteDocument"]["document_id"], r["DeleteDocument"]["id"]
     )
-    return F.when((F.size(whole) == 2) & F.get(whole, F.lit(1))["_end_of_record_"], F.struct(op.alias("op"), named.alias("id")))
+    result = F.when((F.size(whole) == 2) & F.get(whole, F.lit(1))["_end_of_record_"], F.struct(op.alias("op"), named.alias("id")))
+    # each record is parsed once, whatever is made of it
+    return rows.withColumn("_whole_record", computed_once(value)).withColumn(name, computed_once(result)).drop("_whole_record")

@@ -156,8 +156,7 @@ def log_changes(wal: DataFrame) -> DataFrame:
     names, else that of the row. Mapping announcements and unknown shapes change no document.
     The payload is the record of a write and null for a delete.
     """
-    r = cr.parsed(F.col("record"))
-    rows = wal.select("index_name", "document_id", "sequence_number", "entry_id", "record", r.alias("r")).where("r is not null")
+    rows = cr.parsed(wal.select("index_name", "document_id", "sequence_number", "entry_id", "record"), "record", "r")
     rows = rows.where(F.col("r.op").isin(cr.INDEX, cr.DELETE))
     deleted = F.col("r.op") == cr.DELETE
     return rows.select(

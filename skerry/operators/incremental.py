@@ -173,7 +173,8 @@ def run_states(runs: DataFrame, now: Column | None = None, lease_seconds: int =
 
 def readable_entries(wal: DataFrame) -> DataFrame:
     """Rows whose record is one complete JSON object, mapping announcements included."""
-    return wal.where(cr.parsed(F.col("record")).isNotNull())
+    wal = wal.select("index_name", "generation", "sequence_number", "received_at", "record")
+    return cr.parsed(wal, "record", "_parsed").where("_parsed is not null").drop("_parsed")
 
 
 def unprocessed(wal: DataFrame, states: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:

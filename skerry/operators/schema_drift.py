@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_types import type_sql
+from ..functions.once import computed_once
 from ..session import scratch_path, ship
 
 #: Agreement from which a field that vanishes and one that appears are one field renamed.
@@ -47,7 +48,7 @@ def fields(rows: DataFrame) -> DataFrame:
     Null values have null type. Sources that are null, unreadable or no objects have no fields.
     """
     keep = [c for c in rows.columns if c != "source"]
-    doc = rows.withColumn("_v", F.expr("try_parse_json(source)")).where("schema_of_variant(_v) like 'OBJECT%'")
+    doc = rows.withColumn("_v", computed_once(F.expr("try_parse_json(source)"))).where("schema_of_variant(_v) like 'OBJECT%'")
     top = doc.select(*keep, F.explode(F.expr("map_entries(cast(_v as map<string, variant>))")).alias("_e")).select(*keep, F.col("_e.key").alias("field"), F.col("_e.value").alias("value"))
     # as a column of its own the schema isn't computed anew for each comparison
     top = top.withColumn("_st", F.expr("schema_of_variant(value)")).withColumn("type", F.expr(type_sql("value", "_st"))).drop("_st")

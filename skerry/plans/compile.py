@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.once import computed_once
 from . import ast
 from . import mapping as mp
 
@@ -190,10 +191,8 @@ class Compiler:
         before = df.columns
         for layer in self.layers:
             df = df.withColumns(layer)
-        # A filter on the score would be pushed below these projections with every expression copied into it, and
-        # words would be split anew for each. A column that counts as nondeterministic isn't pushed.
-        fixed = F.when(F.spark_partition_id() >= 0, column)
-        return df.select(*[F.col(f"`{c}`") for c in before], fixed.alias(name))
+        # a filter on the score must not copy all of these expressions below them
+        return df.select(*[F.col(f"`{c}`") for c in before], computed_once(column).alias(name))
 
     def _keep(self, column: Column, layer: int) -> tuple[Column, int]:
         while len(self.layers) <= layer:

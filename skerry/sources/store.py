@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.json_types import type_sql
+from ..functions.once import computed_once
 from ..operators.index import SearchIndex
 from ..plans import ast
 from ..plans import mapping as mp
@@ -242,7 +243,7 @@ class Index:
         if batch is not None and manifest["batches"].get(batch[0], -1) >= batch[1]:
             return empty
         ops = operations.select(F.col("position").cast("bigint"), "op", "id", "source")
-        writes = ops.where("op = 'index'").withColumn("_v", F.expr("try_parse_json(source)"))
+        writes = ops.where("op = 'index'").withColumn("_v", computed_once(F.expr("try_parse_json(source)")))
         objects = writes.where("schema_of_variant(_v) like 'OBJECT%'")
         entries = objects.select("position", F.explode(F.expr("map_entries(cast(_v as map<string, variant>))")).alias("e")).select("position", F.col("e.key").alias("field"), F.expr(type_sql("e.value")).alias("type")).where("type is not null")
         mapping = self.mapping

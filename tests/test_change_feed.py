@@ -30,7 +30,7 @@ UNREADABLE = [None, "", " ", "x", "[1]", '"x"', "7", "null", '{"index":{"id":"a"
 
 def test_records(spark):
     df = spark.createDataFrame([(r,) for r in [*RECORDS, *UNREADABLE]], "r string")
-    got = {x["r"]: x["p"] for x in df.select("r", parsed(F.col("r")).alias("p")).collect()}
+    got = {x["r"]: x["p"] for x in parsed(df, "r", "p").collect()}
     for r, want in RECORDS.items():
         assert got[r] is not None and tuple(got[r]) == want, r
     for r in UNREADABLE:
