@@ -72,7 +72,7 @@ def queries() -> dict:
 
 
 #: Rows whose record is a complete JSON object, with what it does and to which document.
-_CHANGES = """WITH good AS (SELECT *, CASE WHEN json_valid(record) AND json_type(record) = 'OBJECT' THEN CAST(record AS JSON) END AS j FROM wal_entries),
+CHANGES_SQL = """WITH good AS (SELECT *, CASE WHEN json_valid(record) AND json_type(record) = 'OBJECT' THEN CAST(record AS JSON) END AS j FROM wal_entries),
 changes AS (SELECT index_name, sequence_number, entry_id, j,
   coalesce((j->>'$.document.id'), (j->>'$.document_id'), (j->>'$.index.id'), (j->>'$.delete.id'), (j->>'$.IndexDocument.document.id'), (j->>'$.DeleteDocument.document_id'), document_id) AS document_id,
   CASE WHEN (j->>'$.type') = 'index_document' OR (j->'$.index') IS NOT NULL OR (j->'$.IndexDocument') IS NOT NULL THEN 'index'
@@ -123,9 +123,9 @@ open AS (SELECT index_name, sequence_number, max(generation) AS generation FROM
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p3_found": f"""{_CHANGES} SELECT index_name, document_id, max(sequence_number) AS sequence_number FROM changes
+        "p3_found": f"""{CHANGES_SQL} SELECT index_name, document_id, max(sequence_number) AS sequence_number FROM changes
 WHERE op IS NOT NULL AND document_id IS NOT NULL GROUP BY index_name, document_id HAVING arg_max(op, sequence_number) = 'index'""",
-        "p3_state": f"""{_CHANGES}, last AS (SELECT index_name, document_id, arg_max({{'op': op, 'seq': sequence_number, 'j': j}}, (sequence_number, entry_id)) AS c
+        "p3_state": f"""{CHANGES_SQL}, last AS (SELECT index_name, document_id, arg_max({{'op': op, 'seq': sequence_number, 'j': j}}, (sequence_number, entry_id)) AS c
   FROM changes WHERE op IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL)
 SELECT index_name, document_id, c.seq AS sequence_number, CAST(coalesce(c.j->'$.document.source', c.j->'$.index.source', c.j->'$.IndexDocument.document.source') AS VARCHAR) AS source
 FROM last WHERE c.op = 'index'""",

@@ -122,7 +122,18 @@ def oracle_sql() -> dict[str, str]:
     last = """SELECT _id, "order", price, priority FROM (SELECT CAST(o_custkey AS VARCHAR) AS _id, max({'k': KEY, 's': o_orderstatus, 'o': o_orderkey, 'p': o_totalprice, 'r': o_orderpriority}) AS m FROM orders GROUP BY ALL)
 , LATERAL (SELECT m.o AS "order", m.p AS price, m.r AS priority) WHERE m.s <> 'F'"""
     by_order = last.replace("KEY", "o_orderkey")
+    from .operators.queries import CHANGES_SQL
+
+    types = f"""{CHANGES_SQL}, w AS (SELECT entry_id, coalesce(j->'$.document.source', j->'$.index.source', j->'$.IndexDocument.document.source') AS s FROM changes WHERE op = 'index' AND document_id IS NOT NULL),
+k AS (SELECT entry_id, s, unnest(json_keys(s)) AS field FROM w), v AS (SELECT entry_id, field, json_extract(s, '$."' || field || '"') AS value FROM k),
+t AS (SELECT entry_id, field, CASE json_type(value)
+    WHEN 'VARCHAR' THEN CASE WHEN (value->>'$') LIKE '____-__-__T__:__:__%' AND try_cast(value->>'$' AS TIMESTAMPTZ) IS NOT NULL THEN 'Timestamp' ELSE 'Keyword' END
+    WHEN 'BOOLEAN' THEN 'Boolean' WHEN 'OBJECT' THEN 'Object' WHEN 'DOUBLE' THEN 'Double'
+    ELSE CASE WHEN try_cast(value AS INTEGER) IS NOT NULL THEN 'Integer' WHEN try_cast(value AS BIGINT) IS NOT NULL THEN 'Long' ELSE 'Double' END END AS type
+  FROM v WHERE json_type(value) NOT IN ('NULL', 'ARRAY'))
+SELECT field, arg_min(type, entry_id) AS type FROM t GROUP BY field"""
     return {
+        "mapping_inference": types,
         "bulk_last_write_wins": by_order,
         "flush_and_merge": last.replace("KEY", "(o_orderkey % 3) * 1000000000 + o_orderkey"),
         "snapshot_restore": by_order,
