@@ -3,13 +3,15 @@
 A work item is a stretch of entries of one log. Its state is ``pending``, ``leased`` (with an
 expiry and a fencing token) or ``done``. ``Ledger`` keeps the items of a consumer in a shared
 folder; ``run_states`` reads the same states out of a journal of past runs, and ``unprocessed``
-gives the entries that no done run covers.
+gives the entries that no done run covers. ``Ledger.plan`` puts each of these into one item
+for good, so an entry that arrives late never falls into an item that is done.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +21,8 @@ from ..functions import change_records as cr
 from ..session import hadoop_path
 
 PENDING, LEASED, DONE = "pending", "leased", "done"
+#: Name under which the ledger keeps the list of its plans; no item's name has a blank.
+PLANS = "plans made"
 #: A run that has said nothing for so long has lost its lease.
 LEASE_SECONDS = 3600
 #: Length of the time slices into which a log is cut for the look-up of covering runs, so that a log with a large share of all rows is many tasks' work.
@@ -89,6 +93,42 @@ class Ledger:
                 stream.close()
         return sorted(out)
 
+    def planned(self) -> DataFrame:
+        """(index_name, sequence_number, item): every entry that any plan has put into an item."""
+        return self._planned([e["folder"] for _, e in self._events(PLANS)])
+
+    def _planned(self, folders: list[str]) -> DataFrame:
+        schema = "index_name string, sequence_number bigint, item string"
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def plan(self, entries: DataFrame, item_entries: int = 10_000) -> DataFrame:
+        """``entries`` (index_name, sequence_number, …; one row each) with their ``item``, without those of items that are done.
+
+        An entry that an earlier plan put into an item stays there; only the others make new
+        items, which are kept before they are given out. So no entry is ever in two items, and
+        what arrives after its neighbours were done is in an item of its own. Of two planners
+        at a time one is refused its plan and plans again.
+        """
+        while True:
+            plans = self._events(PLANS)
+            known = self._planned([e["folder"] for _, e in plans])
+            new = named_items(entries.select("index_name", "sequence_number").join(known, ["index_name", "sequence_number"], "left_anti"), item_entries)
+            folder = f"{self.path}/plans/{uuid.uuid4().hex}"
+            new.write.parquet(folder)
+            if self._create(PLANS, len(plans) + 1, {"folder": folder}):
+                break
+        found = entries.join(self._planned([*(e["folder"] for _, e in plans), folder]), ["index_name", "sequence_number"])
+        done = self.done()
+        if not done:
+            return found
+        return found.join(self.spark.createDataFrame([(i,) for i in done], "item string"), "item", "left_anti")
+
+    def done(self) -> list[str]:
+        """Items whose newest event says that they are done."""
+        fs, p = hadoop_path(self.spark, f"{self.path}/events")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return [i for i in names if i != PLANS and (events := self._events(i)) and events[-1][1]["state"] == DONE]
+
     def add(self, items: list[str]) -> int:
         """Registers items that aren't known yet; adding one again changes nothing."""
         return sum(self._create(i, 0, {"state": PENDING}) for i in items)
@@ -210,12 +250,34 @@ def unprocessed(wal: DataFrame, states: DataFrame, slice_seconds: int = SLICE_SE
     return entries.where("not processed").drop("processed")
 
 
-def next_run(wal: DataFrame, journal: DataFrame, now: Column | None = None, item_entries: int = 10_000) -> DataFrame:
-    """The entries the next run must take, each with the work item it belongs to.
+def named_items(entries: DataFrame, item_entries: int = 10_000) -> DataFrame:
+    """(index_name, sequence_number, item): ``entries`` (index_name, sequence_number; distinct) in items named by exactly what they hold.
+
+    An item is the entries of one stretch of numbers; its name has the log, the first and the last number and a
+    hash of all numbers, so other entries make another name. Generations have no part in it: late copies change them.
+    """
+    stretch = F.floor(F.col("sequence_number") / item_entries).alias("stretch")
+    numbers = F.sort_array(F.collect_list("sequence_number"))
+    whole = entries.groupBy("index_name", stretch).agg(numbers.alias("numbers"))
+    number = lambda i: F.format_string("%012d", F.element_at("numbers", i))
+    digest = F.substring(F.sha2(F.array_join("numbers", ","), 256), 1, 32)
+    item = F.concat_ws("_", F.url_encode("index_name"), number(1), number(-1), digest)
+    # named before the numbers are unfolded: once an item, not once an entry
+    return whole.select("index_name", "numbers", item.alias("item")).select("index_name", F.explode("numbers").alias("sequence_number"), "item")
+
+
+def with_stretch(entries: DataFrame, item_entries: int = 10_000) -> DataFrame:
+    """Adds ``stretch`` (log, newest generation, stretch of numbers). It only groups entries for reports: what it holds changes with every arrival."""
+    return entries.withColumn("stretch", F.concat_ws("_", "index_name", F.coalesce(F.col("generation").cast("string"), F.lit("none")), F.format_string("%012d", F.floor(F.col("sequence_number") / item_entries))))
+
+
+def next_run(wal: DataFrame, journal: DataFrame, now: Column | None = None, item_entries: int = 10_000, ledger: Ledger | None = None) -> DataFrame:
+    """The entries the next run must take, each with the work item it belongs to and its ``stretch``.
 
-    Items are named by log and stretch of numbers alone, so a run planned again after a
-    failure finds the same items in the ledger.
+    With a ``ledger`` the items are those of its plan, without the done ones; without, those
+    a first plan would make.
     """
-    entries = unprocessed(wal, run_states(journal, now))
-    item = F.concat_ws("_", "index_name", F.coalesce(F.col("generation").cast("string"), F.lit("none")), F.format_string("%012d", F.floor(F.col("sequence_number") / item_entries)))
-    return entries.withColumn("item", item)
+    entries = with_stretch(unprocessed(wal, run_states(journal, now)), item_entries)
+    if ledger is not None:
+        return ledger.plan(entries, item_entries)
+    return entries.join(named_items(entries.select("index_name", "sequence_number"), item_entries), ["index_name", "sequence_number"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources.tables import table
 from . import change_feed, consolidate, incremental, schema_drift
 
@@ -56,19 +57,30 @@ def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _consolidated(spark, folder).documents.select("index_name", "document_id", "sequence_number", "source")
 
 
+def _unprocessed(spark: SparkSession, folder: str) -> DataFrame:
+    return incremental.unprocessed(table(spark, folder, "wal_entries"), incremental.run_states(table(spark, folder, "flush_runs")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """(index_name, sequence_number) of the entries no run has processed."""
-    return incremental.next_run(table(spark, folder, "wal_entries"), table(spark, folder, "flush_runs")).select("index_name", "sequence_number")
+    return _unprocessed(spark, folder).select("index_name", "sequence_number")
 
 
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
-    """The next run's work items with their entries counted."""
-    entries = incremental.next_run(table(spark, folder, "wal_entries"), table(spark, folder, "flush_runs"))
+    """The open entries counted by log, newest generation and stretch of numbers. The ledger's items are those of ``p6_work``."""
+    entries = incremental.with_stretch(_unprocessed(spark, folder)).withColumnRenamed("stretch", "item")
+    return entries.groupBy("item", "index_name").agg(F.count(F.lit(1)).alias("entries"), F.min("sequence_number").alias("first_number"), F.max("sequence_number").alias("last_number"))
+
+
+def p6_work(spark: SparkSession, folder: str) -> DataFrame:
+    """The next run's work items as a new ledger plans them, with their entries counted."""
+    ledger = incremental.Ledger(spark, scratch_path(spark, "ledger"))
+    entries = incremental.next_run(table(spark, folder, "wal_entries"), table(spark, folder, "flush_runs"), ledger=ledger)
     return entries.groupBy("item", "index_name").agg(F.count(F.lit(1)).alias("entries"), F.min("sequence_number").alias("first_number"), F.max("sequence_number").alias("last_number"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_state, p4_found, p4_changes, p4_unified, p5_found, p5_segments, p5_documents, p6_found, p6_items)}
+    return {f.__name__: f for f in (p3_found, p3_state, p4_found, p4_changes, p4_unified, p5_found, p5_segments, p5_documents, p6_found, p6_items, p6_work)}
 
 
 #: Rows whose record is a complete JSON object, with what it does and to which document.

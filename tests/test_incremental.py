@@ -110,3 +110,48 @@ def test_run_survives_failures(spark, tmp_path):
     assert ledger.run(["a", "b", "c"], work, "w", lambda: 1) == ["b", "c"]
     assert done == ["a", "b", "c"] and ledger.run(["a", "b", "c"], work, "w", lambda: 2) == []
     assert [r["item"] for r in spark.read.parquet(ledger.output_path("b")).collect()] == ["b"]
+
+
+def test_late_entries_of_a_done_stretch_are_taken_once(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger", lease_seconds=10)
+    none, taken = spark.createDataFrame([], RUN), []
+
+    def round_of(wal, now, fail=()):
+        entries = next_run(spark.createDataFrame(wal, WAL), none, ledger=ledger).collect()
+        held = {}
+        for r in entries:
+            held.setdefault(r["item"], []).append(r["sequence_number"])
+
+        def work(item, path):
+            if fail and set(fail) & set(held[item]):
+                raise OSError("lost")
+            taken.extend(held[item])
+
+        ledger.run(sorted(held), work, "w", lambda: now)
+        return held
+
+    wal = [("i/j", 1, s, at(1), "{}") for s in (1, 2, 5, 20_000)]
+    assert len(round_of(wal, 0)) == 2 and sorted(taken) == [1, 2, 5, 20_000]
+    # new and late entries of a stretch that is done, and a late copy of a done entry in another generation
+    wal += [("i/j", 1, 6, at(2), "{}"), ("i/j", 1, 3, at(2), "{}"), ("i/j", 2, 5, at(3), "{}")]
+    with pytest.raises(OSError):
+        round_of(wal, 1, fail=[3])
+    # the failed item keeps its entries; what came since is an item of its own
+    wal += [("i/j", 2, 4, at(4), "{}"), ("i/j", 2, 3, at(4), "{}")]
+    assert sorted(map(sorted, round_of(wal, 2).values())) == [[3, 6], [4]]
+    assert sorted(taken) == [1, 2, 3, 4, 5, 6, 20_000]
+    assert round_of(wal, 3) == {} and ledger.planned().count() == 7
+
+
+def test_of_two_plans_at_a_time_one_is_made_again(spark, tmp_path, monkeypatch):
+    ledger, other = (Ledger(spark, f"file://{tmp_path}/ledger") for _ in "ab")
+    frame = spark.createDataFrame([("i", 1), ("i", 2)], "index_name string, sequence_number bigint")
+    create, first = ledger._create, []
+
+    def slow(*a):
+        if not first:
+            first.append(other.plan(frame).collect())
+        return create(*a)
+
+    monkeypatch.setattr(ledger, "_create", slow)
+    assert sorted(ledger.plan(frame).collect()) == sorted(first[0]) and ledger.planned().count() == 2
