@@ -29,13 +29,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """All changes, those within objects included, with the types before and after."""
-    return schema_drift.changes(table(spark, folder, "segment_documents"))
+    """All changes that documents, log or mappings show, those within objects included, with the types before and after."""
+    return schema_drift.all_changes(*(table(spark, folder, t) for t in ("segment_documents", "wal_entries", "index_metadata")))
 
 
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents in one table of one set of columns."""
-    return schema_drift.unify(schema_drift.drift(table(spark, folder, "segment_documents")))
+    """All documents, of segments and log, in one table of one set of columns."""
+    return schema_drift.unify(schema_drift.all_drift(*(table(spark, folder, t) for t in ("segment_documents", "wal_entries", "index_metadata"))))
 
 
 def _consolidated(spark: SparkSession, folder: str) -> consolidate.Consolidated:

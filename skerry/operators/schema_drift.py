@@ -5,6 +5,9 @@ The second compares, for fields that vanish and fields that appear in one step,
 documents of both versions hold. Per step a tree edit distance between the two schemas, with renames
 priced by that agreement, gives the cheapest script of changes; scripts compile to one
 projection for all documents.
+
+``p4_found`` is defined by the segments' documents alone. ``all_drift`` and ``all_changes``
+take in the writes of the log and the declared mappings too.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_types import type_sql
+from ..functions import change_records as cr
+from ..functions.json_types import TYPES, type_sql
 from ..functions.once import computed_once
 from ..session import scratch_path, ship
+from .change_feed import source_of
 
 #: Agreement from which a field that vanishes and one that appears are one field renamed.
 RENAME_AT = 0.5
@@ -62,11 +67,57 @@ def fields(rows: DataFrame) -> DataFrame:
 
 def field_types(rows: DataFrame) -> DataFrame:
     """(index_name, version, field, child, type, values): the type of most non-null values; of equally many the last by name."""
-    counts = fields(rows.select("index_name", "version", "source")).where("type is not null").groupBy("index_name", "version", "field", "child", "type").agg(F.count(F.lit(1)).alias("n"))
+    return most_types(type_counts(rows))
+
+
+def type_counts(rows: DataFrame) -> DataFrame:
+    """(index_name, version, field, child, type, n): the non-null values of each type."""
+    return fields(rows.select("index_name", "version", "source")).where("type is not null").groupBy("index_name", "version", "field", "child", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_types(counts: DataFrame) -> DataFrame:
     most = counts.groupBy("index_name", "version", "field", "child").agg(F.max(F.struct("n", "type")).alias("m"), F.sum("n").alias("values"))
     return most.select("index_name", "version", "field", "child", "m.type", "values")
 
 
+# -- the log and the declared mappings --------------------------------------------------------
+
+
+def log_writes(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log's writes as ``versioned`` gives documents, and (index_name, version) of the announced versions.
+
+    A write names no version itself. Its version is the highest that its index has shown up to
+    its number, by a segment's document or an announcement; the lowest declared version holds from the start. A write
+    without number has no version. Copies of one write (same index, document and number) are one row.
+    """
+    rows = cr.parsed(wal.select("index_name", "document_id", "sequence_number", "record"), "record", "_r").where(F.col("_r.op").isin(cr.INDEX, cr.MAPPING))
+    known = rows.where("index_name is not null")
+    number = F.coalesce(F.get_json_object("record", "$.mapping_version"), F.get_json_object("record", "$.MappingUpdate.mapping_version"))
+    announced = known.where(F.col("_r.op") == cr.MAPPING).select("index_name", number.try_cast("int").alias("version"), F.col("sequence_number").alias("seq")).where("version is not null")
+    first = metadata.where("index_name is not null and mapping_version is not null").groupBy("index_name").agg(F.min("mapping_version").cast("int").alias("version")).withColumn("seq", F.lit(-(2**63)))
+    shown = docs.where("version is not null and index_name is not null").select("index_name", "version", "seq").unionByName(announced).where("seq is not null").unionByName(first)
+    # only where each version is first seen matters, so an index has as many points as versions
+    points = shown.groupBy("index_name", "version").agg(F.min("seq").alias("seq")).groupBy("index_name").agg(F.collect_list(F.struct("seq", "version")).alias("points"))
+    writes = rows.where(F.col("_r.op") == cr.INDEX).select("index_name", F.coalesce("_r.id", "document_id").alias("document_id"), F.col("sequence_number").alias("seq"), source_of(F.col("record")).alias("source"))
+    lone = F.when(F.col("document_id").isNull() | F.col("seq").isNull(), F.col("source"))
+    once = writes.groupBy("index_name", "document_id", "seq", lone.alias("_lone")).agg(F.min("source").alias("source"))
+    version = F.expr("array_max(transform(filter(points, p -> p.seq <= seq), p -> p.version))")
+    return once.join(points, "index_name", "left").select(version.alias("version"), "index_name", "document_id", "seq", "source"), announced.select("index_name", "version").distinct()
+
+
+def declared_types(metadata: DataFrame) -> DataFrame:
+    """(index_name, version, field, child, type): the fields each version's mapping declares; of several rows the one updated last counts.
+
+    A field's type is its text, or ``field_type`` or ``type`` of its object, in any letter case; other values declare no type (null).
+    """
+    known = metadata.where("index_name is not null and mapping_version is not null and mappings is not null")
+    last = known.groupBy("index_name", F.col("mapping_version").cast("int").alias("version")).agg(F.max(F.struct("updated_at", "mappings")).alias("m")).select("index_name", "version", F.expr("try_parse_json(m.mappings)").alias("_v"))
+    each = last.where("schema_of_variant(_v) like 'OBJECT%'").select("index_name", "version", F.explode(F.expr("map_entries(cast(_v as map<string, variant>))")).alias("_e"))
+    text = F.expr("lower(coalesce(try_variant_get(_e.value, '$.field_type', 'string'), try_variant_get(_e.value, '$.type', 'string'), try_variant_get(_e.value, '$', 'string')))")
+    kind = F.when(text.isin([t.lower() for t in TYPES]), F.initcap(text))
+    return each.select("index_name", "version", F.col("_e.key").alias("field"), F.lit(None).cast("string").alias("child"), kind.alias("type"))
+
+
 # -- the steps --------------------------------------------------------------------------------
 
 
@@ -220,11 +271,12 @@ def tree(rows: list) -> Node:
 
 @dataclass
 class Drift:
-    """``rows``: the documents with versions; ``types``: the fields of each version; ``changes``: what each step changed."""
+    """``rows``: the documents with versions; ``types``: the fields of each version; ``changes``: what each step changed; ``declared``: the fields of the mappings, where they were read."""
 
     rows: DataFrame
     types: DataFrame
     changes: DataFrame
+    declared: DataFrame | None = None
 
 
 def changes(docs: DataFrame) -> DataFrame:
@@ -240,24 +292,22 @@ def drift(docs: DataFrame) -> Drift:
     ``field_name`` of a nested field is its path with dots. A step without changes gives no
     row; an index of one version has no step. Rows whose version can't be told take no part.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = versioned(docs)
-    # the counts are small (fields x versions) and are read several times
-    path = scratch_path(spark, "field-types")
-    field_types(rows).where("version is not null and index_name is not null").write.parquet(path)
-    types = spark.read.parquet(path)
-    step = steps(rows)
-    whole = types.groupBy("index_name", "version").agg(F.collect_list(F.struct("field", "child", "type")).alias("tree"))
-    pair = (
-        step.join(whole.withColumnRenamed("tree", "new_tree"), ["index_name", "version"], "left")
-        .join(whole.select("index_name", F.col("version").alias("previous"), F.col("tree").alias("old_tree")), ["index_name", "previous"], "left")
-        .withColumn("old_tree", F.coalesce("old_tree", F.expr("cast(array() as array<struct<field string, child string, type string>>)")))
-        .withColumn("new_tree", F.coalesce("new_tree", F.expr("cast(array() as array<struct<field string, child string, type string>>)")))
-    )
-    pair_path = scratch_path(spark, "schema-steps")
-    pair.write.parquet(pair_path)
-    pair = spark.read.parquet(pair_path)
+    return _drift(rows, _kept(type_counts(rows).where("version is not null and index_name is not null"), "field-types"))
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, as it is read several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _drift(rows: DataFrame, counts: DataFrame) -> Drift:
+    # the counts are small (fields x versions)
+    types = most_types(counts)
+    pair = _kept(_pairs(steps(rows), types), "schema-steps")
     names = lambda t: f"transform(filter({t}, x -> x.child is null), x -> x.field)"
     gone, come = F.expr(f"array_except({names('old_tree')}, {names('new_tree')})"), F.expr(f"array_except({names('new_tree')}, {names('old_tree')})")
     both = pair.select("index_name", "version", "previous", gone.alias("gone"), come.alias("come")).where("size(gone) > 0 and size(come) > 0")
@@ -268,6 +318,23 @@ def drift(docs: DataFrame) -> Drift:
     agree = agreements(rows, changing, small).groupBy("index_name", "version").agg(F.collect_list(F.struct("old", "new", (F.col("same") / F.col("held")).alias("share"))).alias("agree"))
     work = pair.join(agree, ["index_name", "version"], "left")
 
+    return Drift(rows, types, _scripts(work))
+
+
+def _pairs(step: DataFrame, types: DataFrame) -> DataFrame:
+    """``step`` (index_name, version, previous) with the fields of both versions: old_tree, new_tree."""
+    whole = types.groupBy("index_name", "version").agg(F.collect_list(F.struct("field", "child", "type")).alias("tree"))
+    return (
+        step.join(whole.withColumnRenamed("tree", "new_tree"), ["index_name", "version"], "left")
+        .join(whole.select("index_name", F.col("version").alias("previous"), F.col("tree").alias("old_tree")), ["index_name", "previous"], "left")
+        .withColumn("old_tree", F.coalesce("old_tree", F.expr("cast(array() as array<struct<field string, child string, type string>>)")))
+        .withColumn("new_tree", F.coalesce("new_tree", F.expr("cast(array() as array<struct<field string, child string, type string>>)")))
+    )
+
+
+def _scripts(work: DataFrame) -> DataFrame:
+    """The edit script of each row of index_name, version, previous, old_tree, new_tree and agree (null, or a list of old, new, share)."""
+
     def run(batches):
         for part in batches:
             out = []
@@ -277,8 +344,52 @@ def drift(docs: DataFrame) -> Drift:
                     out.append((r.index_name, r.version, r.previous, *x))
             yield pd.DataFrame(out, columns=["index_name", "version", "previous", "change_kind", "field_name", "old_name", "old_type", "new_type", "depth"])
 
-    found = work.mapInPandas(run, "index_name string, version int, previous int, change_kind string, field_name string, old_name string, old_type string, new_type string, depth int")
-    return Drift(rows, types, found)
+    return work.mapInPandas(run, "index_name string, version int, previous int, change_kind string, field_name string, old_name string, old_type string, new_type string, depth int")
+
+
+# -- documents, log and mappings together -----------------------------------------------------
+
+
+def all_drift(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> Drift:
+    """``drift`` of the segments' documents, with the log's writes among its rows and types, and the declared mappings.
+
+    Renames are those the segments' documents show.
+    """
+    found = drift(docs)
+    writes = _kept(log_writes(found.rows, wal, metadata)[0], "log-writes")
+    return Drift(found.rows.unionByName(writes), found.types.unionByName(field_types(writes).where("version is not null and index_name is not null")), found.changes, declared_types(metadata))
+
+
+def all_changes(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The changes of ``drift`` and those that only the log or the mappings show, told apart by ``shown_by``.
+
+    ``documents``: each change of the segments' documents. ``log``: what the steps change if the log's writes count
+    as documents of the versions in force, for fields the former doesn't list in that step; and a row of kind ``announced`` (field
+    name empty) for each version that announcements alone name. ``mapping``: what each declared mapping changes against the declared one before,
+    for fields neither lists in that step; a renaming that documents show up to then is one here too.
+    """
+    ship(docs.sparkSession)
+    rows = versioned(docs)
+    writes, announced = log_writes(rows, wal, metadata)
+    writes = _kept(writes, "log-writes")
+    counts, more = (_kept(type_counts(r).where("version is not null and index_name is not null"), "field-types") for r in (rows, writes))
+    own = _kept(_drift(rows, counts).changes, "changes")
+    summed = counts.unionByName(more).groupBy("index_name", "version", "field", "child", "type").agg(F.sum("n").alias("n"))
+    logged = _kept(_drift(rows.unionByName(writes), summed).changes, "changes")
+    names = lambda df: df.select("index_name", "version", F.explode(F.array_distinct(F.array("field_name", "old_name"))).alias("field_name")).where("field_name <> ''").distinct()
+    by_log = logged.join(names(own), ["index_name", "version", "field_name"], "left_anti")
+    declared = declared_types(metadata)
+    renames = own.where("change_kind = 'renamed' and depth = 1").select("index_name", F.col("version").alias("at"), F.col("old_name").alias("old"), F.col("field_name").alias("new"))
+    pair = _pairs(steps(declared), declared)
+    agree = pair.select("index_name", "version").join(renames, "index_name").where("at <= version").groupBy("index_name", "version").agg(F.collect_set(F.struct("old", "new", F.lit(1.0).alias("share"))).alias("agree"))
+    by_mapping = _scripts(pair.join(agree, ["index_name", "version"], "left")).join(names(own.unionByName(by_log)), ["index_name", "version", "field_name"], "left_anti")
+    versions = rows.select("index_name", "version").unionByName(metadata.select("index_name", F.col("mapping_version").cast("int").alias("version"))).distinct()
+    nothing = F.lit("")
+    lone = announced.join(versions, ["index_name", "version"], "left_anti").select(
+        "index_name", "version", F.lit(None).cast("int").alias("previous"), F.lit("announced").alias("change_kind"), nothing.alias("field_name"), nothing.alias("old_name"), nothing.alias("old_type"), nothing.alias("new_type"), F.lit(0).alias("depth")
+    )
+    shown = lambda df, by: df.withColumn("shown_by", F.lit(by))
+    return shown(own, "documents").unionByName(shown(by_log.unionByName(lone), "log")).unionByName(shown(by_mapping, "mapping"))
 
 
 # -- one table --------------------------------------------------------------------------------
@@ -311,18 +422,28 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
     from clashing) up to ``max_columns`` by name; their type is the one that holds every field's type: Integer and Long give bigint,
     with Double double, one type alone itself, any mixture string. A value that the type can't
     take is in ``strays`` (name -> JSON), fields beyond the columns in ``rest``; so no value is lost. Where a document holds
-    several fields that end under one name, each keeps its own (its column, or ``rest`` where it has none).
+    several fields that end under one name, each keeps its own (its column, or ``rest`` where it has none). A field that only a
+    mapping declares has a column too, of the declared type.
     """
     rows, spark = found.rows, found.rows.sparkSession
     names = final_names(found.changes)
     # a version has the renames of the steps after it
-    later = rows.select("index_name", "version").where("version is not null").distinct().alias("v").join(names.alias("n"), F.expr("v.index_name = n.index_name and n.version > v.version"))
+    versions = rows.select("index_name", "version").where("version is not null")
+    if found.declared is not None:
+        versions = versions.unionByName(found.declared.select("index_name", "version"))
+    later = versions.distinct().alias("v").join(names.alias("n"), F.expr("v.index_name = n.index_name and n.version > v.version"))
     maps = later.groupBy("v.index_name", "v.version").agg(F.min_by("n.names", "n.version").alias("names"))
     path = scratch_path(spark, "final-names")
     maps.write.parquet(path)
     maps = spark.read.parquet(path)
-    named = found.types.where("child is null").join(maps, ["index_name", "version"], "left").select(F.coalesce(F.expr("names[field]"), "field").alias("field"), "type")
-    kinds_of = {r["field"]: r["types"] for r in named.groupBy("field").agg(F.collect_set("type").alias("types")).orderBy("field").limit(max_columns).collect()}
+    types = found.types.where("child is null").select("index_name", "version", "field", "type", F.lit(False).alias("declared"))
+    if found.declared is not None:
+        types = types.unionByName(found.declared.select("index_name", "version", "field", "type", F.lit(True).alias("declared")))
+    named = types.join(maps, ["index_name", "version"], "left").select(F.coalesce(F.expr("names[field]"), "field").alias("field"), "type", "declared")
+    kinds = F.collect_set(F.when(~F.col("declared"), F.col("type")))
+    # what mappings declare decides only where no document has the field
+    kinds = F.when(F.size(kinds) > 0, kinds).otherwise(F.collect_set("type"))
+    kinds_of = {r["field"]: r["types"] for r in named.groupBy("field").agg(kinds.alias("types")).orderBy("field").limit(max_columns).collect()}
     small = maps.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(maps) if small else maps, ["index_name", "version"], "left")
     doc = joined.withColumn("_v", F.expr("try_parse_json(source)")).withColumn("_m", F.expr("CASE WHEN schema_of_variant(_v) LIKE 'OBJECT%' THEN cast(_v as map<string, variant>) END"))
@@ -353,6 +474,8 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
 
 
 def _column_type(kinds: set[str]) -> str:
+    if not kinds:  # declared without a known type
+        return "string"
     if kinds <= {"Integer", "Long"}:
         return "bigint"
     if kinds <= {"Integer", "Long", "Double"}:

@@ -122,3 +122,30 @@ def test_two_fields_that_end_under_one_name(spark):
     first = got.where("version = 1 and document_id = '1'").first()
     assert first["f_p"] is None and first["rest"] == {"a": '"x1"', "b": '"y1"'}
     assert got.where("version = 3 and document_id = '1'").first()["f_p"] == "y1"
+
+
+WAL = "index_name string, document_id string, sequence_number bigint, record string"
+META = "index_name string, mapping_version int, updated_at timestamp, mappings string"
+
+
+def test_log_and_mappings_take_part(spark):
+    seg = docs(spark, [("i", v, v, str(k), 10 * v + k, {"a" if v == 1 else "b": f"x{k}"}) for v in (1, 2) for k in range(4)])
+    write = lambda k, source: json.dumps({"index": {"id": k, "source": source}})
+    wal = [
+        ("i", "new", 40, write("new", {"b": "q"})), ("i", None, 40, json.dumps({"index": {"source": {"b": "q"}, "id": "new"}})), ("i", None, 41, '{"type":"mapping_update","mapping_version":3}'),
+        ("i", None, 43, '{"type":"mapping_update","mapping_version":2}'), ("i", "late", 44, write("late", {"b": "q", "extra": 1})), ("i", None, 50, '{"type":"mapping_update","mapping_version":9}'),
+        ("i", "gone", 51, '{"delete":{"id":"gone"}}'), ("i", "cut", 52, write("cut", {})[:-1]), ("j", "only", None, write("only", {"z": True})),
+    ]
+    maps = [(1, {"a": "keyword", "due": "timestamp", "odd": 7}), (2, {"b": {"field_type": "Keyword"}, "due": {"type": "long"}, "odd": 7}), (4, {"b": {"type": "keyword"}, "odd": 7}), (4, None)]
+    meta = spark.createDataFrame([("i", v, T, m and json.dumps(m)) for v, m in maps], META)
+    wal = spark.createDataFrame(wal, WAL)
+    got = {(r["version"], r["change_kind"], r["field_name"], r["old_name"], r["shown_by"]) for r in sd.all_changes(seg, wal, meta).collect()}
+    assert got == {
+        (2, "renamed", "b", "a", "documents"), (2, "type_changed", "due", "", "mapping"), (4, "removed", "due", "", "mapping"), (3, "added", "extra", "", "log"), (3, "announced", "", "", "log"), (9, "announced", "", "", "log"),
+    }
+    table = sd.unify(sd.all_drift(seg, wal, meta))
+    rows = {r["document_id"]: r for r in table.where("document_id in ('new', 'late', 'only', 'gone', 'cut')").collect()}
+    assert table.count() == 8 + 3 and set(rows) == {"new", "late", "only"}
+    assert (rows["new"]["version"], rows["late"]["version"], rows["only"]["version"]) == (2, 3, None)
+    assert rows["late"]["f_b"] == "q" and rows["late"]["f_extra"] == 1 and rows["only"]["rest"] == {"z": "true"}
+    assert dict(table.dtypes)["f_odd"] == "string" and "f_due" in table.columns and "f_a" not in table.columns
