@@ -34,11 +34,21 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("index_name", "term", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("records", F.lit(0)).alias("doc_freq"), F.coalesce("band", F.lit("rare")).alias("band"), "suggested_doc_freq")
 
 
+def _ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return term_counts.count_suffixes(term_counts.text_suffixes(table(spark, folder, "documents"), "doc_id", "text", 3), 3)
+
+
 def p1_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    """N-grams of up to three words over all texts, those that at least two documents hold."""
-    suffixes = term_counts.text_suffixes(table(spark, folder, "documents"), "doc_id", "text", 3)
-    counts = term_counts.count_suffixes(suffixes, 3).filter("records >= 2")
-    return counts.select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), "n", "occurrences", "records")
+    """N-grams of up to three words over all texts, only those that at least two documents hold, as its SQL says; ``p1_ngram_bands`` has all."""
+    return _ngram_counts(spark, folder).filter("records >= 2").select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), "n", "occurrences", "records")
+
+
+def p1_ngram_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Every n-gram of up to three words over all texts with its counts and band; the total is that of the documents with a word."""
+    words = term_counts.text_suffixes(table(spark, folder, "documents"), "doc_id", "text", 1)
+    # all texts are one group, so the sizes are one row
+    counts = term_counts.with_bands(_ngram_counts(spark, folder), F.broadcast(term_counts.group_sizes(words)))
+    return counts.select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), "n", "occurrences", "records", "total", "band")
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +84,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p2_found, p2_scores, p7_ids, p8_containers, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p1_ngram_bands, p2_found, p2_scores, p7_ids, p8_containers, p9_pieces)}
 
 
 _TERM = "translate(trim(term, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,6 +107,11 @@ FROM banded FULL JOIN sug USING (index_name, term)""",
         "p1_ngrams": f"""WITH w AS (SELECT doc_id, list_filter(string_split(translate(text, '{term_counts._UPPER + term_counts._BLANKS}', '{term_counts._LOWER + " " * len(term_counts._BLANKS)}'), ' '), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
 SELECT ngram, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2""",
+        "p1_ngram_bands": f"""WITH w AS (SELECT doc_id, list_filter(string_split(translate(text, '{term_counts._UPPER + term_counts._BLANKS}', '{term_counts._LOWER + " " * len(term_counts._BLANKS)}'), ' '), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
+c AS (SELECT ngram, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY ALL),
+z AS (SELECT count(DISTINCT doc_id) AS total FROM w WHERE len(w) > 0)
+SELECT c.*, total, CASE WHEN records <= 2 THEN 'rare' WHEN records * 10 > total * 6 THEN 'common' ELSE 'useful' END AS band FROM c, z""",
         "p2_found": f"""WITH {_OCCURRENCES},
 tf AS (SELECT index_name, doc_id, term, count(p) AS tf FROM occ GROUP BY ALL),
 df AS (SELECT index_name, term, count(*) AS df FROM tf GROUP BY ALL)
