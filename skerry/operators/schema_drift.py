@@ -420,8 +420,8 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
 
     A document of a version before a rename has its value under the last name. Columns are the final names (a prefix keeps them
     from clashing) up to ``max_columns`` by name; their type is the one that holds every field's type: Integer and Long give bigint,
-    with Double double, one type alone itself, any mixture string. A value that the type can't
-    take is in ``strays`` (name -> JSON), fields beyond the columns in ``rest``; so no value is lost. Where a document holds
+    with Double double, one type alone itself, any mixture string. A value of another type
+    is in ``strays`` (name -> JSON), fields beyond the columns and, under the empty name, sources that are no objects in ``rest``; so no value is lost. Where a document holds
     several fields that end under one name, each keeps its own (its column, or ``rest`` where it has none). A field that only a
     mapping declares has a column too, of the declared type.
     """
@@ -462,17 +462,24 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
         elif sql == "string":
             columns[f"_c{i}"] = F.expr(f"CASE WHEN {there} THEN coalesce(try_variant_get({value}, '$', 'string'), to_json({value})) END")
         else:
-            columns[f"_c{i}"] = F.expr(f"try_variant_get({value}, '$', '{sql}')")
+            # a cast alone would change values of other types: 1.5 and true to 1
+            columns[f"_c{i}"] = F.expr(f"CASE WHEN {_FITS[sql].format(f'schema_of_variant({value})')} THEN try_variant_get({value}, '$', '{sql}') END")
             strays.append(f"struct({quote(name)} as key, CASE WHEN _c{i} IS NULL AND {there} THEN to_json({value}) END as value)")
     known = "array(" + ", ".join(map(quote, kinds_of)) + ")" if kinds_of else "cast(array() as array<string>)"
     empty = "cast(map() as map<string, string>)"
     stray = F.expr(f"map_from_entries(filter(array({', '.join(strays)}), e -> e.value IS NOT NULL))" if strays else empty)
     rest = F.expr(f"transform_values(map_filter(_n, (k, v) -> NOT array_contains({known}, k)), (k, v) -> to_json(v))")
+    # a source that is no object is kept whole, under the empty name
+    rest = F.when(F.col("_m").isNull() & F.col("source").isNotNull(), F.create_map(F.lit(""), F.col("source"))).otherwise(rest)
     made = doc.withColumns(columns) if columns else doc
     named = [F.col(f"_c{i}").alias(f"f_{name}") for i, name in enumerate(kinds_of)]
     return made.select("index_name", "document_id", "version", "seq", *named, stray.alias("strays"), rest.alias("rest"))
 
 
+#: Whether a value of the variant schema {0} is of the column's type.
+_FITS = {"bigint": "{0} = 'BIGINT'", "double": "({0} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {0} LIKE 'DECIMAL%')", "boolean": "{0} = 'BOOLEAN'"}
+
+
 def _column_type(kinds: set[str]) -> str:
     if not kinds:  # declared without a known type
         return "string"

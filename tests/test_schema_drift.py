@@ -149,3 +149,15 @@ def test_log_and_mappings_take_part(spark):
     assert (rows["new"]["version"], rows["late"]["version"], rows["only"]["version"]) == (2, 3, None)
     assert rows["late"]["f_b"] == "q" and rows["late"]["f_extra"] == 1 and rows["only"]["rest"] == {"z": "true"}
     assert dict(table.dtypes)["f_odd"] == "string" and "f_due" in table.columns and "f_a" not in table.columns
+
+
+def test_values_of_another_type_are_not_changed(spark):
+    sound = [("i", 1, 1, f"s{k}", k, {"n": k, "b": True, "d": 0.5}) for k in range(5)]
+    odd = [{"n": 1.5}, {"n": True}, {"n": "7"}, {"b": 7}, {"b": "yes"}, {"d": "0.5"}, {"d": True}, {"d": 2}]
+    rows = sound + [("i", 1, 1, f"o{k}", 10 + k, v) for k, v in enumerate(odd)] + [("i", 1, 1, "x", 30, "[1]"), ("i", 1, 1, "y", 31, "not json")]
+    got = {r["document_id"]: r for r in sd.unify(sd.drift(docs(spark, rows))).collect()}
+    for k, v in enumerate(odd[:-1]):
+        r = got[f"o{k}"]
+        assert r["strays"] == {name: json.dumps(x) for name, x in v.items()} and [r["f_n"], r["f_b"], r["f_d"]] == [None] * 3
+    assert got["o7"]["f_d"] == 2.0 and (got["s3"]["f_n"], got["s3"]["f_b"], got["s3"]["f_d"]) == (3, True, 0.5)
+    assert got["x"]["rest"] == {"": "[1]"} and got["y"]["rest"] == {"": "not json"}
