@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .once import computed_once
 
-#: Put behind a record before parsing. Spark's parsers stop at the end of the first value and would accept what follows it;
-#: as an element of an array with this last element, a record must end where its object ends.
-_END = ',{"_end_of_record_":true}]'
+#: A record is parsed as the first element of an array whose second element is this mark. Spark's parsers stop at the end of
+#: the first value and would accept what follows it; so a record must end where its object ends, or the mark isn't the second
+#: and last element. The mark has the record's own hash, so no record can hold its own mark, whatever its text says.
+_MARK = "_end_of_record_"
 _SCHEMA = (
-    "array<struct<_end_of_record_ boolean, type string, document struct<id string>, document_id string, mapping_version bigint, "
+    f"array<struct<{_MARK} string, type string, document struct<id string>, document_id string, mapping_version bigint, "
     "index struct<id string>, delete struct<id string>, IndexDocument struct<document struct<id string>, id string>, "
     "DeleteDocument struct<document_id string, id string>, MappingUpdate struct<mapping_version bigint>>>"
 )
@@ -27,8 +28,9 @@ def parsed(rows: DataFrame, record: str, name: str) -> DataFrame:
     that is there decides ``op``; an object of none of them is ``other``.
     """
     text = F.col(f"`{record}`")
+    mark = F.xxhash64(text).cast("string")
     value = F.from_json(
-        F.when(text.rlike(r"\A\s*\{") & ~text.contains("_end_of_record_"), F.concat(F.lit("["), text, F.lit(_END))),
+        F.when(text.rlike(r"\A\s*\{"), F.concat(F.lit("["), text, F.lit(',{"' + _MARK + '":"'), mark, F.lit('"}]'))),
         _SCHEMA,
         {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
     )
@@ -44,6 +46,6 @@ def parsed(rows: DataFrame, record: str, name: str) -> DataFrame:
     named = F.coalesce(
         r["document"]["id"], r["document_id"], r["index"]["id"], r["delete"]["id"], r["IndexDocument"]["document"]["id"], r["IndexDocument"]["id"], r["DeleteDocument"]["document_id"], r["DeleteDocument"]["id"]
     )
-    result = F.when((F.size(whole) == 2) & F.get(whole, F.lit(1))["_end_of_record_"], F.struct(op.alias("op"), named.alias("id")))
+    result = F.when((F.size(whole) == 2) & (F.get(whole, F.lit(1))[_MARK] == mark), F.struct(op.alias("op"), named.alias("id")))
     # each record is parsed once, whatever is made of it
     return rows.withColumn("_whole_record", computed_once(value)).withColumn(name, computed_once(result)).drop("_whole_record")

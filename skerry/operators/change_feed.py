@@ -4,11 +4,15 @@ A feed is appended as sorted runs: within a run only the last change of a key is
 lie in buckets of the key's hash, and each bucket is one file sorted by key. A read merges a
 bucket's files of all runs, newest change of a key first, and leaves out tombstones; no
 shuffle is needed, whatever the number of runs. Compaction merges all runs into one.
+
+The list of runs is a numbered manifest, of which a new version is created exclusively: a
+writer that dies at any point leaves the runs before or after its change, and two writers
+don't lose each other's runs.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..files import Versions
 from ..functions import change_records as cr
 from ..functions.kway import last_of_each, merge_blocks
 from ..session import hadoop_path, partitions, scratch_path, ship
 
-MANIFEST = "manifest.json"
 BLOCK_ROWS = 16_384
 
 
@@ -32,33 +36,30 @@ class LogStructuredTable:
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None, compact_at: int = 8):
         self.spark, self.path, self.keys, self.compact_at = spark, path.rstrip("/"), keys, compact_at
-        state = self._read_manifest()
-        self.buckets = state["buckets"] if state else (buckets or partitions(spark))
-        self.runs: list[str] = state["runs"] if state else []
-        self.number = state["number"] if state else 0
-        self.schema = T.StructType.fromJson(state["schema"]) if state and state["schema"] else None
-
-    # -- manifest ---------------------------------------------------------------------------
-
-    def _read_manifest(self) -> dict | None:
-        fs, p = hadoop_path(self.spark, f"{self.path}/{MANIFEST}")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
-
-    def _write_manifest(self) -> None:
-        """The new list of runs becomes visible by one rename; a lost driver leaves the old one."""
-        fs, new = hadoop_path(self.spark, f"{self.path}/{MANIFEST}.new")
-        stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs, "number": self.number, "schema": self.schema.jsonValue() if self.schema else None}).encode()))
-        stream.close()
-        _, to = hadoop_path(self.spark, f"{self.path}/{MANIFEST}")
-        fs.delete(to, False)
-        fs.rename(new, to)
+        self.versions = Versions(spark, f"{self.path}/manifest")
+        # the number of buckets is settled before the first run, so all writers agree on it
+        self._take(self.versions.change(lambda state: None if state else {"buckets": buckets or partitions(spark), "runs": [], "retired": [], "schema": None}))
+
+    def _take(self, state: dict) -> None:
+        self.buckets, self.runs = state["buckets"], state["runs"]
+        self.schema = T.StructType.fromJson(state["schema"]) if state["schema"] else None
+
+    def reload(self) -> "LogStructuredTable":
+        """Takes in what other writers have done since."""
+        self._take(self.versions.latest()[1])
+        return self
+
+    @staticmethod
+    def _new_run() -> str:
+        # a name of its own: what a writer that died has left under another is never read
+        return f"run-{uuid.uuid4().hex}"
+
+    def _write(self, rows: DataFrame) -> str:
+        run = self._new_run()
+        # Spark's own hash of the keys: with as many buckets as shuffle partitions (or a multiple) a bucket lies in one task
+        bucket = F.pmod(F.hash(*self.keys), F.lit(self.buckets))
+        rows.withColumn("bucket", bucket).sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket").parquet(f"{self.path}/{run}")
+        return run
 
     # -- writing ----------------------------------------------------------------------------
 
@@ -72,31 +73,34 @@ class LogStructuredTable:
         value = F.struct("seq", "tie", "deleted", "payload")
         known = changes.where(" and ".join(f"`{k}` is not null" for k in [*self.keys, "seq"]))
         last = known.groupBy(*self.keys).agg(F.max(value).alias("v")).select(*self.keys, "v.*")
-        self.schema = last.schema
-        # Spark's own hash of the keys: with as many buckets as shuffle partitions (or a multiple) a bucket lies in one task
-        bucket = F.pmod(F.hash(*self.keys), F.lit(self.buckets))
-        self.number += 1
-        run = f"run-{self.number:06d}"
-        last.withColumn("bucket", bucket).sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{run}")
-        self.runs.append(run)
-        self._write_manifest()
+        run = self._write(last)
+        self._take(self.versions.change(lambda state: state | {"runs": [*state["runs"], run], "schema": last.schema.jsonValue()}))
         if len(self.runs) >= self.compact_at:
             self.compact()
 
     def compact(self) -> None:
-        """Merges all runs into one. Tombstones stay: an older change of their key may still arrive."""
-        if len(self.runs) < 2:
+        """Merges all runs into one. Tombstones stay: an older change of their key may still arrive.
+
+        Runs that another writer appends meanwhile stay beside it. The merged runs' files are
+        deleted by the next compaction, so that readers of this one's can end.
+        """
+        old = list(self.runs)
+        if len(old) < 2:
             return
-        merged = self.read(tombstones=True)
-        self.number += 1
-        run = f"run-{self.number:06d}"
         # a task has one whole bucket in key order, which Spark can't know
-        bucket = F.pmod(F.hash(*self.keys), F.lit(self.buckets))
-        merged.withColumn("bucket", bucket).sortWithinPartitions("bucket", *self.keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{run}")
-        old, self.runs = self.runs, [run]
-        self._write_manifest()
-        for gone in old:
-            fs, p = hadoop_path(self.spark, f"{self.path}/{gone}")
+        run = self._write(self.read(tombstones=True))
+        gone: list[str] = []
+
+        def swap(state: dict) -> dict | None:
+            gone[:] = state["retired"]
+            if not set(old) <= set(state["runs"]):  # another compaction has been here; this one's run is dropped
+                gone[:] = [run]
+                return None
+            return state | {"runs": [run, *[r for r in state["runs"] if r not in old]], "retired": old}
+
+        self._take(self.versions.change(swap))
+        for name in gone:
+            fs, p = hadoop_path(self.spark, f"{self.path}/{name}")
             fs.delete(p, True)
 
     # -- reading ----------------------------------------------------------------------------
@@ -174,8 +178,8 @@ def source_of(record: Column) -> Column:
     return F.coalesce(*[F.get_json_object(record, p) for p in ("$.document.source", "$.index.source", "$.IndexDocument.document.source", "$.IndexDocument.source")])
 
 
-def apply_feed(wal: DataFrame, path: str | None = None, runs: int = 4, compact_at: int = 8) -> LogStructuredTable:
-    """Appends a whole feed in ``runs`` runs by order of arrival, as the feed would have come."""
+def apply_feed(wal: DataFrame, path: str | None = None, runs: int = 4, compact_at: int = 3) -> LogStructuredTable:
+    """Appends a whole feed in ``runs`` runs by order of arrival, as the feed would have come, and compacts on the way."""
     spark = wal.sparkSession
     table = LogStructuredTable(spark, path or scratch_path(spark, "lsm"), ["index_name", "document_id"], compact_at=compact_at)
     lo, hi = wal.agg(F.min("entry_id"), F.max("entry_id")).first()

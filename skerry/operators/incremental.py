@@ -1,32 +1,38 @@
 """Problem 6: each run takes exactly the entries no successful run has taken, by a ledger of work items.
 
-A work item is a stretch of entries of one log. Its state is ``pending``, ``leased`` (with an
-expiry and a fencing token) or ``done``. ``Ledger`` keeps the items of a consumer in a shared
-folder; ``run_states`` reads the same states out of a journal of past runs, and ``unprocessed``
-gives the entries that no done run covers. ``Ledger.plan`` puts each of these into one item
-for good, so an entry that arrives late never falls into an item that is done.
+A work item is ``pending``, ``leased`` (with an expiry and a fencing token) or ``done``. The
+ledger of a consumer holds two kinds of items in a shared folder:
+
+- the runs of a journal it takes over (``Ledger.adopt``): such an item covers the rows of its log that had arrived when the run
+  started, up to the run's number; done ones have processed them, leased ones hold them, pending ones have given them back;
+- the items of its own plans (``Ledger.plan``): each open entry is put into one item for good, so an entry
+  that arrives late never falls into an item that is done.
+
+``Ledger.open`` gives the entries that no item holds, planned into pending items: the next run.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..files import create_exclusive, names, read_bytes
 from ..functions import change_records as cr
-from ..session import hadoop_path
+from ..session import scratch_path
 
 PENDING, LEASED, DONE = "pending", "leased", "done"
-#: Name under which the ledger keeps the list of its plans; no item's name has a blank.
-PLANS = "plans made"
+#: Names under which the ledger keeps the lists of its plans and of the journals it has taken over; no item's name has a blank.
+PLANS, JOURNALS = "plans made", "journals taken over"
 #: A run that has said nothing for so long has lost its lease.
 LEASE_SECONDS = 3600
 #: Length of the time slices into which a log is cut for the look-up of covering runs, so that a log with a large share of all rows is many tasks' work.
 SLICE_SECONDS = 6 * 3600
+#: Reach of a live lease without a number: it holds every entry that had arrived.
+EVERYTHING = 2**63 - 1
 
 
 class StaleToken(RuntimeError):
@@ -53,81 +59,104 @@ class Ledger:
         self.spark, self.path, self.lease_seconds = spark, path.rstrip("/"), lease_seconds
 
     def _create(self, item: str, number: int, event: dict) -> bool:
-        name = f"{self.path}/events/{item}/{number:08d}.json"
-        body = json.dumps(event).encode()
-        if name.startswith("file:") or name.startswith("/"):
-            local = "/" + name.removeprefix("file:").lstrip("/")
-            os.makedirs(os.path.dirname(local), exist_ok=True)
-            # written whole beside it, then linked: a reader never sees half an event
-            part = f"{local}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(body)
-            try:
-                os.link(part, local)
-                return True
-            except FileExistsError:
-                return False
-            finally:
-                os.unlink(part)
-        fs, p = hadoop_path(self.spark, name)
-        try:
-            stream = fs.create(p, False)
-        except Exception:
-            if fs.exists(p):
-                return False
-            raise
-        stream.write(bytearray(body))
-        stream.close()
-        return True
+        return create_exclusive(self.spark, f"{self.path}/events/{item}/{number:08d}.json", json.dumps(event | {"item": item, "number": number}).encode())
 
     def _events(self, item: str) -> list[tuple[int, dict]]:
-        fs, p = hadoop_path(self.spark, f"{self.path}/events/{item}")
-        if not fs.exists(p):
-            return []
-        out = []
-        for status in fs.listStatus(p):
-            name = status.getPath().getName()
-            if name.endswith(".json"):
-                stream = fs.open(status.getPath())
-                out.append((int(name[:-5]), json.loads(bytes(stream.readAllBytes()))))
-                stream.close()
-        return sorted(out)
+        folder = f"{self.path}/events/{item}"
+        return [(int(n[:-5]), json.loads(read_bytes(self.spark, f"{folder}/{n}"))) for n in names(self.spark, folder) if n.endswith(".json") and not n.startswith(".")]
+
+    def _note(self, name: str, make) -> None:
+        """Adds the folder ``make(folders so far)`` to a list; of two writers at a time one makes its part again."""
+        while True:
+            known = self._events(name)
+            if self._create(name, len(known) + 1, {"folder": make([e["folder"] for _, e in known])}):
+                return
+
+    def _folders(self, name: str) -> list[str]:
+        return [e["folder"] for _, e in self._events(name)]
+
+    # -- runs of a journal ------------------------------------------------------------------
+
+    def adopt(self, journal: DataFrame) -> None:
+        """Takes over a journal: each of its runs becomes an item with the state and token of its newest event.
+
+        Taking a journal over again, with more rows, replaces the states of the runs it has.
+        """
+        folder = f"{self.path}/journals/{uuid.uuid4().hex}"
+        run_states(journal).write.parquet(folder)
+        self._note(JOURNALS, lambda _: folder)
+
+    def covering(self, now: Column | None = None) -> DataFrame:
+        """(index_name, generation, started_at, state, last_sequence_number) of the journal items that hold entries: done ones, and those leased at ``now``."""
+        states = None
+        for k, folder in enumerate(self._folders(JOURNALS)):
+            part = self.spark.read.parquet(folder).withColumn("journal", F.lit(k))
+            states = part if states is None else states.unionByName(part)
+        if states is None:
+            return self.spark.createDataFrame([], "index_name string, generation bigint, started_at timestamp_ntz, state string, last_sequence_number bigint")
+        if len(self._folders(JOURNALS)) > 1:
+            newest = Window.partitionBy("run_id").orderBy(F.desc("journal"))
+            states = states.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
+        live = F.lit(False) if now is None else (F.col("state") == LEASED) & (F.col("expires").cast("timestamp") > now)
+        reach = F.when(F.col("state") == DONE, F.col("last_sequence_number")).when(live, F.coalesce("last_sequence_number", F.lit(EVERYTHING)))
+        return states.where((F.col("state") == DONE) | live).select("index_name", "generation", "started_at", "state", reach.alias("last_sequence_number"))
+
+    # -- plans ------------------------------------------------------------------------------
 
     def planned(self) -> DataFrame:
         """(index_name, sequence_number, item): every entry that any plan has put into an item."""
-        return self._planned([e["folder"] for _, e in self._events(PLANS)])
+        return self._planned(self._folders(PLANS))
 
     def _planned(self, folders: list[str]) -> DataFrame:
         schema = "index_name string, sequence_number bigint, item string"
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def plan(self, entries: DataFrame, item_entries: int = 10_000) -> DataFrame:
-        """``entries`` (index_name, sequence_number, …; one row each) with their ``item``, without those of items that are done.
+    def plan(self, entries: DataFrame, item_entries: int = 10_000, now: float | None = None) -> DataFrame:
+        """``entries`` (index_name, sequence_number, …; one row each) with their ``item``, without those of items that are done or leased at ``now``.
 
         An entry that an earlier plan put into an item stays there; only the others make new
         items, which are kept before they are given out. So no entry is ever in two items, and
         what arrives after its neighbours were done is in an item of its own. Of two planners
-        at a time one is refused its plan and plans again.
+        at a time one is refused its plan and plans again. Without ``now`` every lease counts as expired.
         """
-        while True:
-            plans = self._events(PLANS)
-            known = self._planned([e["folder"] for _, e in plans])
-            new = named_items(entries.select("index_name", "sequence_number").join(known, ["index_name", "sequence_number"], "left_anti"), item_entries)
+        made: list[str] = []
+
+        def make(folders: list[str]) -> str:
             folder = f"{self.path}/plans/{uuid.uuid4().hex}"
-            new.write.parquet(folder)
-            if self._create(PLANS, len(plans) + 1, {"folder": folder}):
-                break
-        found = entries.join(self._planned([*(e["folder"] for _, e in plans), folder]), ["index_name", "sequence_number"])
-        done = self.done()
-        if not done:
-            return found
-        return found.join(self.spark.createDataFrame([(i,) for i in done], "item string"), "item", "left_anti")
-
-    def done(self) -> list[str]:
-        """Items whose newest event says that they are done."""
-        fs, p = hadoop_path(self.spark, f"{self.path}/events")
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return [i for i in names if i != PLANS and (events := self._events(i)) and events[-1][1]["state"] == DONE]
+            new = entries.join(self._planned(folders), ["index_name", "sequence_number"], "left_anti") if folders else entries
+            named_items(new, item_entries).write.parquet(folder)
+            made[:] = [*folders, folder]
+            return folder
+
+        self._note(PLANS, make)
+        if len(made) == 1:
+            found = self.spark.read.parquet(made[0])
+        else:
+            found = entries.join(self._planned(made), ["index_name", "sequence_number"])
+        states = self.states(now)
+        return found if states is None else found.join(states.where(F.col("state") != PENDING).select("item"), "item", "left_anti")
+
+    def open(self, wal: DataFrame, now: Column | None = None, item_entries: int = 10_000) -> DataFrame:
+        """The entries that no item holds, with ``item``, ``generation``, ``rows`` and ``stretch``, as a plan of pending items.
+
+        A journal item holds an entry if it covers a row of it (see ``unprocessed``), a planned
+        item if it is done, or leased at ``now``. Without ``now`` every lease counts as expired.
+        """
+        entries = with_stretch(unprocessed(wal, self.covering(now)), item_entries)
+        seconds = None if now is None else self.spark.range(1).select(now.cast("timestamp").cast("double")).first()[0]
+        return self.plan(entries, item_entries, seconds)
+
+    def states(self, now: float | None = None) -> DataFrame | None:
+        """(item, state, token) of all items of plans, by their newest event; an expired lease is pending. None where no event is."""
+        if not any(n not in (PLANS, JOURNALS) for n in names(self.spark, f"{self.path}/events")):
+            return None
+        rows = self.spark.read.schema("item string, number bigint, state string, expires double").option("recursiveFileLookup", "true").json(f"{self.path}/events")
+        newest = rows.where(F.col("state").isNotNull()).groupBy("item").agg(F.max_by(F.struct("state", "expires", "number"), "number").alias("e"))
+        over = F.lit(True) if now is None else F.col("e.expires") <= now
+        state = F.when((F.col("e.state") == LEASED) & over, PENDING).otherwise(F.col("e.state"))
+        return newest.select("item", state.alias("state"), F.col("e.number").alias("token"))
+
+    # -- work -------------------------------------------------------------------------------
 
     def add(self, items: list[str]) -> int:
         """Registers items that aren't known yet; adding one again changes nothing."""
@@ -187,13 +216,13 @@ class Ledger:
 
 
 def run_states(runs: DataFrame, now: Column | None = None, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
-    """One row per run of a journal: (run_id, index_name, generation, started_at, state, last_sequence_number).
+    """One row per run of a journal: (run_id, index_name, generation, started_at, state, token, expires, last_sequence_number).
 
-    The journal's rows are the ledger's events and the run's number its fencing token. A run
-    is done if a row says ``committed`` and none ``rolled_back`` (in any letter case); its
-    number is the highest of its committed rows. A run with only ``running`` rows holds its
-    lease until it expires (never, where ``now`` is not given); every other run's work is
-    pending again. Rows of null run are left out.
+    The journal's rows are the item's events: a run takes its lease by starting (until
+    ``expires``; at ``now``, where it is given, an expired one is pending), ``committed`` completes it, ``rolled_back`` (both in any letter case) gives it back for good, whatever
+    else is said, and any other ending gives it back too. Its number is the highest of its committed rows. The token is
+    the run's id: each run is an item of its own, so no other writer's token can be newer and no
+    commit is stale. Rows of null run are left out.
     """
     status = F.lower("status")
     states = runs.where("run_id is not null").groupBy("run_id").agg(
@@ -206,9 +235,10 @@ def run_states(runs: DataFrame, now: Column | None = None, lease_seconds: int =
         F.max(F.when(status == "committed", F.col("last_sequence_number"))).alias("last_sequence_number"),
     )
     done = F.coalesce("committed", F.lit(False)) & ~F.coalesce("undone", F.lit(False))
-    held = F.col("open") if now is None else F.col("open") & (F.col("started_at") + F.make_interval(secs=F.lit(lease_seconds)) > now)
-    state = F.when(done, DONE).when(held, LEASED).otherwise(PENDING)
-    return states.select("run_id", "index_name", "generation", "started_at", state.alias("state"), "last_sequence_number")
+    until = F.col("started_at") + F.make_interval(secs=F.lit(lease_seconds))
+    state = F.when(done, DONE).when(F.col("open") if now is None else F.col("open") & (until > now), LEASED).otherwise(PENDING)
+    expires = F.when(state == LEASED, until)
+    return states.select("run_id", "index_name", "generation", "started_at", state.alias("state"), F.col("run_id").alias("token"), expires.alias("expires"), "last_sequence_number")
 
 
 def readable_entries(wal: DataFrame) -> DataFrame:
@@ -218,17 +248,18 @@ def readable_entries(wal: DataFrame) -> DataFrame:
 
 
 def unprocessed(wal: DataFrame, states: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """(index_name, sequence_number, generation, rows) of the entries of which no row is processed; generation is the last one seen.
+    """(index_name, sequence_number, generation, rows) of the entries of which no row is covered; generation is the last one seen.
 
-    A row is processed by a done run of its log that started at or after the row arrived and
+    ``states`` (index_name, generation, started_at, state, last_sequence_number) are runs; those done have processed and those
+    leased hold what they cover. A row is covered by a run of its log that started at or after the row arrived and
     reached its number: that is, if the highest number among the log's later runs is at least
     its own. That running maximum is taken in two steps: by time slice over the runs alone, then within
     each slice over its rows and runs, with the later slices' maximum carried in as one more
-    run. A log of any size is thus spread over its slices. A row of null arrival is processed
+    run. A log of any size is thus spread over its slices. A row of null arrival is covered
     by no run, nor is one whose generation is null; null log names or numbers name no entry and are left out.
     """
     slice_of = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / slice_seconds)
-    done = states.where(F.col("state") == DONE).where("last_sequence_number is not null and started_at is not null and index_name is not null and generation is not null")
+    done = states.where(F.col("state").isin(DONE, LEASED)).where("last_sequence_number is not null and started_at is not null and index_name is not null and generation is not null")
     runs = done.select("index_name", "generation", slice_of(F.col("started_at")).alias("slice"), F.col("started_at").alias("at"), F.col("last_sequence_number").alias("reach"))
     named = wal.where("index_name is not null and sequence_number is not null")
     slices = named.select("index_name", "generation", slice_of(F.col("received_at")).alias("slice")).distinct()
@@ -251,19 +282,21 @@ def unprocessed(wal: DataFrame, states: DataFrame, slice_seconds: int = SLICE_SE
 
 
 def named_items(entries: DataFrame, item_entries: int = 10_000) -> DataFrame:
-    """(index_name, sequence_number, item): ``entries`` (index_name, sequence_number; distinct) in items named by exactly what they hold.
+    """``entries`` (index_name, sequence_number, …; distinct) with ``item``, named by exactly the entries it holds.
 
     An item is the entries of one stretch of numbers; its name has the log, the first and the last number and a
     hash of all numbers, so other entries make another name. Generations have no part in it: late copies change them.
+    A stretch bounds the rows gathered at once.
     """
-    stretch = F.floor(F.col("sequence_number") / item_entries).alias("stretch")
-    numbers = F.sort_array(F.collect_list("sequence_number"))
-    whole = entries.groupBy("index_name", stretch).agg(numbers.alias("numbers"))
-    number = lambda i: F.format_string("%012d", F.element_at("numbers", i))
-    digest = F.substring(F.sha2(F.array_join("numbers", ","), 256), 1, 32)
+    others = [c for c in entries.columns if c not in ("index_name", "sequence_number")]
+    stretch = F.floor(F.col("sequence_number") / item_entries).alias("_stretch")
+    held = F.sort_array(F.collect_list(F.struct("sequence_number", *[F.col(f"`{c}`") for c in others])))
+    whole = entries.groupBy("index_name", stretch).agg(held.alias("_held"))
+    number = lambda i: F.format_string("%012d", F.element_at("_held", i)["sequence_number"])
+    digest = F.substring(F.sha2(F.array_join(F.col("_held.sequence_number"), ","), 256), 1, 32)
     item = F.concat_ws("_", F.url_encode("index_name"), number(1), number(-1), digest)
-    # named before the numbers are unfolded: once an item, not once an entry
-    return whole.select("index_name", "numbers", item.alias("item")).select("index_name", F.explode("numbers").alias("sequence_number"), "item")
+    # named before the entries are unfolded: once an item, not once an entry
+    return whole.select("index_name", "_held", item.alias("item")).select("index_name", F.explode("_held").alias("_e"), "item").select("index_name", "_e.*", "item")
 
 
 def with_stretch(entries: DataFrame, item_entries: int = 10_000) -> DataFrame:
@@ -272,12 +305,8 @@ def with_stretch(entries: DataFrame, item_entries: int = 10_000) -> DataFrame:
 
 
 def next_run(wal: DataFrame, journal: DataFrame, now: Column | None = None, item_entries: int = 10_000, ledger: Ledger | None = None) -> DataFrame:
-    """The entries the next run must take, each with the work item it belongs to and its ``stretch``.
-
-    With a ``ledger`` the items are those of its plan, without the done ones; without, those
-    a first plan would make.
-    """
-    entries = with_stretch(unprocessed(wal, run_states(journal, now)), item_entries)
-    if ledger is not None:
-        return ledger.plan(entries, item_entries)
-    return entries.join(named_items(entries.select("index_name", "sequence_number"), item_entries), ["index_name", "sequence_number"])
+    """The entries the next run must take, each with the pending work item it belongs to, by ``ledger`` (or a new one) once it has taken over the journal."""
+    spark = wal.sparkSession
+    ledger = ledger or Ledger(spark, scratch_path(spark, "ledger"))
+    ledger.adopt(journal)
+    return ledger.open(wal, now, item_entries)

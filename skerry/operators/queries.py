@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
 from ..sources.tables import table
 from . import change_feed, consolidate, incremental, schema_drift
 
@@ -57,25 +56,25 @@ def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _consolidated(spark, folder).documents.select("index_name", "document_id", "sequence_number", "source")
 
 
-def _unprocessed(spark: SparkSession, folder: str) -> DataFrame:
-    return incremental.unprocessed(table(spark, folder, "wal_entries"), incremental.run_states(table(spark, folder, "flush_runs")))
+def _open_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of the pending items of a ledger that has taken over the journal of past runs; all of the journal's leases have run out."""
+    return incremental.next_run(table(spark, folder, "wal_entries"), table(spark, folder, "flush_runs"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """(index_name, sequence_number) of the entries no run has processed."""
-    return _unprocessed(spark, folder).select("index_name", "sequence_number")
+    return _open_entries(spark, folder).select("index_name", "sequence_number")
 
 
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     """The open entries counted by log, newest generation and stretch of numbers. The ledger's items are those of ``p6_work``."""
-    entries = incremental.with_stretch(_unprocessed(spark, folder)).withColumnRenamed("stretch", "item")
+    entries = _open_entries(spark, folder).drop("item").withColumnRenamed("stretch", "item")
     return entries.groupBy("item", "index_name").agg(F.count(F.lit(1)).alias("entries"), F.min("sequence_number").alias("first_number"), F.max("sequence_number").alias("last_number"))
 
 
 def p6_work(spark: SparkSession, folder: str) -> DataFrame:
     """The next run's work items as a new ledger plans them, with their entries counted."""
-    ledger = incremental.Ledger(spark, scratch_path(spark, "ledger"))
-    entries = incremental.next_run(table(spark, folder, "wal_entries"), table(spark, folder, "flush_runs"), ledger=ledger)
+    entries = _open_entries(spark, folder)
     return entries.groupBy("item", "index_name").agg(F.count(F.lit(1)).alias("entries"), F.min("sequence_number").alias("first_number"), F.max("sequence_number").alias("last_number"))
 
 
@@ -152,4 +151,7 @@ FROM segment_documents GROUP BY ALL)""",
         "p6_found": f"{_UNPROCESSED} SELECT index_name, sequence_number FROM open",
         "p6_items": f"""{_UNPROCESSED}, named AS (SELECT *, index_name || '_' || coalesce(generation::VARCHAR, 'none') || '_' || printf('%012d', CAST(floor(sequence_number / 10000) AS BIGINT)) AS item FROM open)
 SELECT item, index_name, count(*) AS entries, min(sequence_number) AS first_number, max(sequence_number) AS last_number FROM named GROUP BY ALL""",
+        "p6_work": f"""{_UNPROCESSED}, items AS (SELECT index_name, count(*) AS entries, min(sequence_number) AS first_number, max(sequence_number) AS last_number,
+  sha256(string_agg(CAST(sequence_number AS VARCHAR), ',' ORDER BY sequence_number)) AS digest FROM open GROUP BY index_name, floor(sequence_number / 10000))
+SELECT url_encode(index_name) || '_' || printf('%012d', first_number) || '_' || printf('%012d', last_number) || '_' || substr(digest, 1, 32) AS item, index_name, entries, first_number, last_number FROM items""",
     }

@@ -155,3 +155,47 @@ def test_of_two_plans_at_a_time_one_is_made_again(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(ledger, "_create", slow)
     assert sorted(ledger.plan(frame).collect()) == sorted(first[0]) and ledger.planned().count() == 2
+
+
+def held(df):
+    return sorted(r["sequence_number"] for r in df.collect())
+
+
+def test_leases_hold_entries_until_they_expire(spark, tmp_path):
+    """A run that is still going holds what had arrived; once its lease is over the entries are open again."""
+    wal = spark.createDataFrame([("i", 1, s, at(h), "{}") for s, h in ((1, 0), (2, 1), (3, 9), (4, 1))] + [("j", 1, 7, at(0), "{}")], WAL)
+    runs = spark.createDataFrame([(1, "i", 1, at(0.5), "committed", 1), (2, "i", 1, at(2), "running", None), (3, "j", 1, at(2), "running", None), (3, "j", 1, at(2), "failed", None)], RUN)
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.adopt(runs)
+    live, over = (F.lit(at(h)).cast("timestamp") for h in (2.5, 3.5))
+    assert held(ledger.open(wal, live)) == [3, 7]
+    assert held(ledger.open(wal, over)) == [2, 3, 4, 7] == held(ledger.open(wal))
+    # the run ends well after all: the journal is taken over again and its entries are done
+    ledger.adopt(runs.unionByName(spark.createDataFrame([(2, "i", 1, at(2), "committed", 2)], RUN)))
+    assert held(ledger.open(wal, over)) == [3, 4, 7]
+
+
+def test_leases_of_planned_items(spark, tmp_path):
+    ledger, now = Ledger(spark, f"file://{tmp_path}/ledger", lease_seconds=10), lambda s: F.lit(s).cast("timestamp")
+    wal = spark.createDataFrame([("i", 1, s, at(1), "{}") for s in (1, 2, 20_000)], WAL)
+    items = sorted({r["item"] for r in ledger.open(wal).collect()})
+    ledger.add(items)
+    lease = ledger.lease(items[0], "a", now=100)
+    assert held(ledger.open(wal, now(105))) == [20_000] and held(ledger.open(wal, now(111))) == [1, 2, 20_000]
+    assert {r["item"]: (r["state"], r["token"]) for r in ledger.states(105.0).collect()} == {items[0]: (LEASED, 1), items[1]: (PENDING, 0)}
+    ledger.complete(lease)
+    assert held(ledger.open(wal, now(105))) == [20_000] == held(ledger.open(wal))
+
+
+def test_crash_between_output_and_completion(spark, tmp_path):
+    """The output is there but the item isn't done: it is done again over the same path, and the dead worker can't complete it."""
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger", lease_seconds=10)
+    write = lambda path: spark.createDataFrame([(1,)], "n int").write.mode("overwrite").parquet(path)
+    ledger.add(["x"])
+    dead = ledger.lease("x", "dead", now=0)
+    write(ledger.output_path("x"))
+    assert ledger.run(["x"], lambda item, path: write(path), "w", lambda: 5) == []
+    assert ledger.run(["x"], lambda item, path: write(path), "w", lambda: 11) == ["x"]
+    with pytest.raises(StaleToken):
+        ledger.complete(dead)
+    assert spark.read.parquet(ledger.output_path("x")).count() == 1
