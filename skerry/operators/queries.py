@@ -51,6 +51,11 @@ def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _consolidated(spark, folder).segments
 
 
+def p5_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each index's documents and key range by the metadata of its segments after the merge."""
+    return _consolidated(spark, folder).segments.groupBy("index_name").agg(F.sum("document_count").alias("documents"), F.min("first_document").alias("first_document"), F.max("last_document").alias("last_document"))
+
+
 def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document once, as the new segments hold it."""
     return _consolidated(spark, folder).documents.select("index_name", "document_id", "sequence_number", "source")
@@ -79,7 +84,7 @@ def p6_work(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_state, p4_found, p4_changes, p4_unified, p5_found, p5_segments, p5_documents, p6_found, p6_items, p6_work)}
+    return {f.__name__: f for f in (p3_found, p3_state, p4_found, p4_changes, p4_unified, p5_found, p5_segments, p5_sizes, p5_documents, p6_found, p6_items, p6_work)}
 
 
 #: Rows whose record is a complete JSON object, with what it does and to which document.
@@ -145,6 +150,8 @@ FROM last WHERE c.op = 'index'""",
 limits AS (SELECT index_name, max(merge_threshold_docs) AS threshold FROM index_metadata GROUP BY ALL),
 small AS (SELECT index_name, segment_number FROM sizes LEFT JOIN limits USING (index_name) WHERE size >= 1 AND size < coalesce(threshold, 8))
 SELECT index_name, segment_number FROM small WHERE index_name IN (SELECT index_name FROM small GROUP BY ALL HAVING count(*) >= 2)""",
+        "p5_sizes": """SELECT index_name, count(DISTINCT document_id) AS documents, min(document_id) AS first_document, max(document_id) AS last_document
+FROM segment_documents GROUP BY index_name""",
         "p5_documents": """SELECT index_name, document_id, v.sequence_number AS sequence_number, v.source AS source FROM (
 SELECT index_name, document_id, max({'sequence_number': sequence_number, 'written_at': written_at, 'segment_number': segment_number, 'mapping_version': coalesce(mapping_version, -1), 'source': source}) AS v
 FROM segment_documents GROUP BY ALL)""",

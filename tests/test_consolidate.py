@@ -79,3 +79,47 @@ def test_nulls_and_extra_columns(spark):
 def test_empty(spark):
     done = co.consolidate(*made(spark, [], []))
     assert done.documents.collect() == [] and done.segments.collect() == [] and co.replaced(done).collect() == []
+
+
+def test_many_runs_are_merged_in_levels(spark):
+    rows = some_rows(3)
+    docs, settings = made(spark, rows, [("big", 10), ("small", None)])
+    done = co.consolidate(docs.repartition(9), settings, fan_in=2, file_bytes=4_000, segment_bytes=300)
+    want = {}
+    for r in rows:
+        want[(r[0], r[3])] = max(want.get((r[0], r[3]), (-1,)), (r[4], r[6]))
+    got = done.documents.collect()
+    assert {(r["index_name"], r["document_id"]): (r["sequence_number"], r["source"]) for r in got} == want and len(got) == len(want)
+    sizes = {}
+    for r in rows:
+        sizes.setdefault((r[0], r[1]), set()).add(r[3])
+    assert {(r["index_name"], r["segment_number"]): r["size"] for r in done.plan.collect()} == {k: len(v) for k, v in sizes.items()}
+    assert all(s["document_count"] >= {"big": 10}.get(s["index_name"], 8) for s in done.segments.collect() if s["index_name"] != "tiny")
+
+
+def test_good_segments_without_copies_stay(spark):
+    row = lambda s, d, n: ("i", s, 1, d, n, T, f"{d} {n}")
+    rows = [row(1, f"a{k:02d}", k) for k in range(20)]  # good, its documents nowhere else
+    rows += [row(2, f"b{k:02d}", k) for k in range(20)] + [row(3, f"b{k:02d}", 90 + k) for k in range(15)]  # good, with copies
+    rows += [row(4, f"c{k:02d}", k) for k in range(12)] + [row(4, "c00", 0)]  # good, one row repeated
+    rows += [row(s, f"d{s}", s) for s in range(5, 25)]  # small
+    rows += [("j", 1, 1, "only", 1, T, None), (None, 1, 1, "p", 1, T, "x"), (None, 2, 1, "p", 2, T, "y")]
+    done = co.consolidate(*made(spark, rows, [("i", 10)]))
+    plan = {(r["index_name"], r["segment_number"]): (r["merge"], r["rewrite"]) for r in done.plan.collect()}
+    assert plan.pop(("i", 1)) == (False, False) == plan.pop(("j", 1))
+    assert plan.pop((None, 1)) == plan.pop((None, 2)) == (True, True)
+    assert all(v == (k[1] >= 5, True) for k, v in plan.items())
+    got = {(r["index_name"], r["document_id"]): (r["segment_number"], r["sequence_number"]) for r in done.documents.collect()}
+    assert done.documents.count() == len(got) == 20 + 20 + 12 + 20 + 1 + 1
+    assert all(got[("i", f"a{k:02d}")] == (1, k) for k in range(20)) and got[(None, "p")][1] == 2 and got[("j", "only")] == (1, 1)
+    assert {got[("i", f"b{k:02d}")][1] for k in range(15)} == {90 + k for k in range(15)} and min(v[0] for k, v in got.items() if k[0] == "i" and k[1][0] != "a") > 24
+    segments = {(s["index_name"], s["segment_number"]): s["document_count"] for s in done.segments.collect()}
+    assert segments[("i", 1)] == 20 and sum(segments.values()) == len(got)
+
+
+def test_a_document_in_very_many_segments_is_spread_over_blocks(spark):
+    """Its rows stream by: they are more than a row group, in several runs, and each segment counts it once."""
+    rows = [("i", k, 1, "hot", k % 777, T, "x" * 3000) for k in range(3000)] + [("i", 5000, 1, f"z{k}", 1, T, "z") for k in range(9)]
+    done = co.consolidate(*made(spark, rows, [("i", 2)]), fan_in=3)
+    assert {(r["size"], r["shared"]) for r in done.plan.where("segment_number < 5000").collect()} == {(1, 1)}
+    assert done.documents.where("document_id = 'hot'").first()["sequence_number"] == 776 and done.documents.count() == 10
