@@ -17,7 +17,8 @@ import numpy as np
 NONE = np.int32(2**31 - 1)
 #: Rows of more symbols than this merge, in a round, every occurrence of their minimum pair that the leftmost-first
 #: order would reach before any other pair. A merged symbol has a higher rank than its parts, so no pair that such a
-#: merge creates can come before the remaining occurrences, and the result is the same.
+#: merge creates can come before the remaining occurrences, and the result is the same. That holds
+#: where every token encodes to itself, which is checked; with another kind of vocabulary all rows merge one pair a round.
 LONG_ROW = 64
 
 
@@ -84,6 +85,7 @@ class ByteBpe:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
         self.pairs = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32))
+        self._closed: bool | None = None
         self.token_bytes_len = np.zeros(max(ranks.values()) + 1, np.int32)
         for token, rank in ranks.items():
             self.token_bytes_len[rank] = len(token)
@@ -94,9 +96,20 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         return ByteBpe(ranks, pattern)
 
+    @property
+    def closed(self) -> bool:
+        """Whether every token encodes to itself. Found out, by single merges, when the first row above ``LONG_ROW`` comes."""
+        if self._closed is None:
+            self._closed = False  # so that these rows merge one pair a round
+            raw, alone = list(self.ranks), list(self.ranks.values())
+            self._closed = self._encode_raw(raw) == [(i,) for i in alone]
+        return self._closed
+
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each word, which must be one match of the pattern."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        return self._encode_raw([w.encode("utf-8", "surrogatepass") for w in words])
+
+    def _encode_raw(self, raw: list[bytes]) -> list[tuple[int, ...]]:
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         out: list[tuple[int, ...]] = [()] * len(raw)
         # buckets of lengths that differ by at most a quarter bound the padding
@@ -132,7 +145,7 @@ class ByteBpe:
                 m, rank, n, row_of, best = m[keep], rank[keep], n[keep], row_of[keep], best[keep]
             if not len(m):
                 return out
-            if m.shape[1] > LONG_ROW:
+            if m.shape[1] > LONG_ROW and self.closed:
                 m, n = self._merge_all(m, n, rank, best)
                 rank = self.pairs.find(m[:, :-1], m[:, 1:])
             else:

@@ -39,8 +39,8 @@ def _ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    """N-grams of up to three words over all texts, only those that at least two documents hold, as its SQL says; ``p1_ngram_bands`` has all."""
-    return _ngram_counts(spark, folder).filter("records >= 2").select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), "n", "occurrences", "records")
+    """N-grams of up to three words over all texts with their counts."""
+    return _ngram_counts(spark, folder).select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), "n", "occurrences", "records")
 
 
 def p1_ngram_bands(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,13 +56,16 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """(index_name, doc_id, term) of the scored terms with 4 or more occurrences that 2 to 12 records hold."""
-    return _scored(spark, folder).filter("score is not null and tf >= 4 and df between 2 and 12").select(F.col("g").alias("index_name"), F.col("r").alias("doc_id"), F.col("t").alias("term"))
+    """(index_name, doc_id, term) of the terms that the record's own model keeps, checked for 4 or more occurrences and 2 to 12 records.
+
+    Of such terms EM loses none: 4 occurrences for 12 records are above ``KEPT``.
+    """
+    return _scored(spark, folder).filter("score > 0").filter("tf >= 4 and df between 2 and 12").select(F.col("g").alias("index_name"), F.col("r").alias("doc_id"), F.col("t").alias("term"))
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The score of each term of each record."""
-    return _scored(spark, folder).select(F.col("g").alias("index_name"), F.col("r").alias("doc_id"), F.col("t").alias("term"), "tf", "df", F.round("score", 9).alias("score"))
+    return _scored(spark, folder).select(F.col("g").alias("index_name"), F.col("r").alias("doc_id"), F.col("t").alias("term"), "tf", "df", F.round("score", 6).alias("score"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +109,7 @@ SELECT index_name, term, coalesce(occurrences, 0) AS occurrences, coalesce(doc_f
 FROM banded FULL JOIN sug USING (index_name, term)""",
         "p1_ngrams": f"""WITH w AS (SELECT doc_id, list_filter(string_split(translate(text, '{term_counts._UPPER + term_counts._BLANKS}', '{term_counts._LOWER + " " * len(term_counts._BLANKS)}'), ' '), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
-SELECT ngram, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2""",
+SELECT ngram, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY ALL""",
         "p1_ngram_bands": f"""WITH w AS (SELECT doc_id, list_filter(string_split(translate(text, '{term_counts._UPPER + term_counts._BLANKS}', '{term_counts._LOWER + " " * len(term_counts._BLANKS)}'), ' '), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
 c AS (SELECT ngram, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY ALL),
@@ -116,4 +119,15 @@ SELECT c.*, total, CASE WHEN records <= 2 THEN 'rare' WHEN records * 10 > total
 tf AS (SELECT index_name, doc_id, term, count(p) AS tf FROM occ GROUP BY ALL),
 df AS (SELECT index_name, term, count(*) AS df FROM tf GROUP BY ALL)
 SELECT index_name, doc_id, term FROM tf JOIN df USING (index_name, term) WHERE tf >= 4 AND df BETWEEN 2 AND 12""",
+        # the fixed point of EM: of the terms by falling tf/df the longest stretch whose last still has a probability keeps one
+        "p2_scores": f"""WITH {_OCCURRENCES},
+tf AS (SELECT index_name, doc_id, term, greatest(count(p), 1) AS tf FROM occ GROUP BY ALL),
+df AS (SELECT index_name, term, count(*) AS df FROM tf GROUP BY ALL),
+size AS (SELECT index_name, sum(df) AS size FROM df GROUP BY ALL),
+len AS (SELECT index_name, doc_id, sum(tf) AS len FROM tf GROUP BY ALL),
+x AS (SELECT index_name, doc_id, term, tf, df, df / size * least({1 / distinctive.OWN_SHARE - 1!r}, {distinctive.KEPT!r} * size / len) AS cb
+  FROM tf JOIN df USING (index_name, term) JOIN size USING (index_name) JOIN len USING (index_name, doc_id)),
+m AS (SELECT *, sum(tf) OVER w / (1 + sum(cb) OVER w) AS m FROM x WINDOW w AS (PARTITION BY index_name, doc_id ORDER BY tf / df DESC)),
+last AS (SELECT index_name, doc_id, arg_min(m, tf / df) AS m FROM m WHERE tf > cb * m GROUP BY ALL)
+SELECT index_name, doc_id, term, tf, df, round(greatest(tf / last.m - cb, 0), 6) AS score FROM x JOIN last USING (index_name, doc_id)""",
     }

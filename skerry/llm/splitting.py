@@ -98,6 +98,42 @@ def cut_all(breaks: list[Breaks], limit: int, overlap: int) -> list[tuple[np.nda
     return out
 
 
+def _cut_on(cache: WordCache, text: str, b: Breaks, a: np.ndarray, z: np.ndarray, n: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, ...]:
+    """The pieces with those above the limit, which no tightened table could bring below it, cut on by counting."""
+    rows: list[tuple[int, int, int, int]] = []
+    for x, y, token, m in zip(b.char[a].tolist(), b.char[z].tolist(), b.token[a].tolist(), n.tolist()):
+        if m <= limit:
+            rows.append((x, y, token, m))
+        else:
+            rows += [(s, e, int(b.token[np.searchsorted(b.char, s, "right") - 1]), k) for s, e, k in cut_by_count(cache, text, x, y, limit, overlap)]
+    return tuple(np.array(c, np.int64) for c in zip(*rows))
+
+
+def cut_by_count(cache: WordCache, text: str, start: int, end: int, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Pieces (start, end, tokens) of ``text[start:end]``, each ending at the last character that bisection finds within the limit
+    and beginning at the last one that leaves ``overlap`` tokens of the piece before."""
+    def count(x: int, y: int) -> int:
+        codes = cache.codes([text[x:y]])[0]  # may add to the counts
+        return int(cache.count[codes].sum())
+
+    out, done = [], start
+    while True:
+        lo, hi = done + 1, end  # one more character than before always fits: it is at most 4 tokens
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if count(start, mid) <= limit else (lo, mid - 1)
+        if count(start, lo) > limit:
+            start, lo = done, done + 1
+        out.append((start, lo, count(start, lo)))
+        if lo >= end:
+            return out
+        low, high = start, lo
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if count(mid, lo) >= overlap else (low, mid - 1)
+        start, done = low, lo
+
+
 def split_texts(cache: WordCache, texts: list[str], codes: list[np.ndarray], limit: int, overlap: int) -> list[tuple[list, list, list, list]]:
     """For each text the lists of piece starts and ends (characters), token starts and token counts."""
     longest = max(1, limit // 8)
@@ -122,7 +158,7 @@ def split_texts(cache: WordCache, texts: list[str], codes: list[np.ndarray], lim
                         tight[i] = max(2 * overlap + 8, lim - max(int(n.max()) - limit, lim // 16))
                         again.append(i)
                         continue
-                out[i] = (b.char[a], b.char[z], b.token[a], n)
+                out[i] = (b.char[a], b.char[z], b.token[a], n) if n.max() <= limit else _cut_on(cache, texts[i], b, a, z, n, limit, overlap)
         todo = again
     return out
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from skerry.llm.bpe import worker_cache
-from skerry.llm.splitting import Breaks, cut_all, split, split_texts
+from skerry.llm.splitting import Breaks, cut_all, cut_by_count, split, split_texts
 from skerry.llm.tokenize import BYTE_LEVEL_PATTERN
 
 LIMIT, OVERLAP = 64, 16
@@ -79,3 +79,14 @@ def test_very_long_text(spark, vocabulary):
     df = spark.createDataFrame([(1, "Some words here. " * 40_000)], "doc_id bigint, text string")
     got = split(df).collect()
     assert max(r["n_tokens"] for r in got) <= 512 and got[0]["n_pieces"] == len(got)
+
+
+def test_pieces_that_no_table_brings_below_the_limit_are_cut_on(vocabulary, public):
+    cache = worker_cache(vocabulary, BYTE_LEVEL_PATTERN)
+    for text in TEXTS:
+        text = text[:1500]
+        got = cut_by_count(cache, text, 0, len(text), 24, 6)
+        assert got[0][0] == 0 and got[-1][1] == len(text)
+        assert all(k == len(public(text[s:e])) <= 24 for s, e, k in got)
+        for (s, e, _), (t, f, _) in zip(got, got[1:]):
+            assert s <= t <= e < f and (len(public(text[t:e])) >= 6 or t == e)

@@ -70,3 +70,17 @@ def test_frame(spark, vocabulary, public):
     assert got == sorted([(d, public(t) if t else []) for d, t, _ in data], key=repr)
     assert encode(df).columns == ["doc_id", "ids"]
     assert encode(df.where("false")).collect() == []
+
+
+def test_long_rows_of_a_vocabulary_whose_tokens_do_not_encode_to_themselves(vocabulary):
+    """"abcd" can't be made of its parts, so the shortcut for long rows isn't taken; single merges give the right ids."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"bc": 299, b"abcd": 301, b"aa": 302, b"aaa": 298}
+    bpe, word = ByteBpe(ranks, r"\S+"), "aaabcaab" * 20 + "abcd" * 10
+    assert not bpe.closed and ByteBpe.load(vocabulary, BYTE_LEVEL_PATTERN).closed
+    parts = [bytes([b]) for b in word.encode()]
+    while True:
+        best = min((ranks.get(a + b, 10**9), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best[0] == 10**9:
+            break
+        parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    assert bpe.encode_words([word]) == [tuple(ranks[p] for p in parts)]
