@@ -23,13 +23,13 @@ def p3_state(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """(index_name, mapping_version, change_kind, field_name, old_name): the top-level changes of each version against the one before."""
-    found = schema_drift.changes(table(spark, folder, "segment_documents")).where("depth = 1")
+    found = schema_drift.top_changes(schema_drift.changes(table(spark, folder, "segment_documents")))
     return found.select("index_name", F.col("version").alias("mapping_version"), "change_kind", "field_name", "old_name")
 
 
 def p4_changes(spark: SparkSession, folder: str) -> DataFrame:
     """All changes that documents, log or mappings show, those within objects included, with the types before and after."""
-    return schema_drift.all_changes(*(table(spark, folder, t) for t in ("segment_documents", "wal_entries", "index_metadata")))
+    return schema_drift.all_changes(*(table(spark, folder, t) for t in ("segment_documents", "wal_entries", "index_metadata"))).drop("path", "old_path")
 
 
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Problem 4: schemas that drift between versions, read into one table, with a list of each change.
 
-Two passes over the documents. The first counts the types of every field of every version.
-The second compares, for fields that vanish and fields that appear in one step, the values
-documents of both versions hold. Per step a tree edit distance between the two schemas, with renames
+Two passes over the documents. The first counts the types of every field of every version, those of objects
+at any depth among them. The second compares, for fields that vanish and fields that appear in one step, the values
+documents of both versions hold. Per step a tree edit distance between the two schemas, with renames and moves
 priced by that agreement, gives the cheapest script of changes; scripts compile to one
 projection for all documents.
 
@@ -29,6 +29,10 @@ from .change_feed import source_of
 RENAME_AT = 0.5
 #: Rows of the table of changing fields up to which it is broadcast (a few MB); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Levels of fields that are unfolded at first; twice as many are as long as the deepest level still has objects.
+LEVELS = 2
+#: What a move saves against deleting and adding, times its agreement. A rename saves at least 0.75 and stands against at most two moves, so moves never displace one.
+MOVE_SAVES = 0.35
 
 
 # -- the documents ----------------------------------------------------------------------------
@@ -47,8 +51,8 @@ def versioned(docs: DataFrame) -> DataFrame:
     return known.unionByName(lost)
 
 
-def fields(rows: DataFrame) -> DataFrame:
-    """(…, field, child, type, value): a row per top-level field, and per field of an object; ``child`` is null for the former.
+def fields(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(…, field, inner, type, value): a row per top-level field, and per field of an object down to ``levels``; ``inner`` is the path within the top-level field, null for itself.
 
     Null values have null type. Sources that are null, unreadable or no objects have no fields.
     """
@@ -56,28 +60,41 @@ def fields(rows: DataFrame) -> DataFrame:
     doc = rows.withColumn("_v", computed_once(F.expr("try_parse_json(source)"))).where("schema_of_variant(_v) like 'OBJECT%'")
     top = doc.select(*keep, F.explode(F.expr("map_entries(cast(_v as map<string, variant>))")).alias("_e")).select(*keep, F.col("_e.key").alias("field"), F.col("_e.value").alias("value"))
     # as a column of its own the schema isn't computed anew for each comparison
-    top = top.withColumn("_st", F.expr("schema_of_variant(value)")).withColumn("type", F.expr(type_sql("value", "_st"))).drop("_st")
-    inner = f"transform(map_entries(cast(value as map<string, variant>)), e -> named_struct('child', e.key, 'type', {type_sql('e.value')}, 'value', e.value))"
-    # only objects are unfolded, into themselves and their fields; any other value stays the one row it is
-    own = f"CASE WHEN type = 'Object' THEN concat(array(named_struct('child', cast(null as string), 'type', type, 'value', value)), {inner}) END"
-    both = top.select(*keep, "field", "type", "value", F.explode_outer(F.expr(own)).alias("_e"))
+    each = top.withColumn("_st", F.expr("schema_of_variant(value)")).withColumn("type", F.expr(type_sql("value", "_st"))).drop("_st").withColumn("inner", F.expr("cast(null as array<string>)"))
     pick = lambda name: F.when(F.col("_e").isNull(), F.col(name)).otherwise(F.col(f"_e.{name}")).alias(name)
-    return both.select(*keep, "field", F.col("_e.child").alias("child"), pick("type"), pick("value"))
+    for level in range(1, levels):
+        path = "array(e.key)" if level == 1 else "concat(inner, array(e.key))"
+        within = f"transform(map_entries(cast(value as map<string, variant>)), e -> named_struct('inner', {path}, 'type', {type_sql('e.value')}, 'value', e.value))"
+        # only objects of the level before are unfolded, into themselves and their fields; any other value stays the one row it is
+        fresh = "inner IS NULL" if level == 1 else f"size(inner) = {level - 1}"
+        own = f"CASE WHEN type = 'Object' AND {fresh} THEN concat(array(named_struct('inner', inner, 'type', type, 'value', value)), {within}) END"
+        each = each.select(*keep, "field", "inner", "type", "value", F.explode_outer(F.expr(own)).alias("_e")).select(*keep, "field", pick("inner"), pick("type"), pick("value"))
+    return each
 
 
 def field_types(rows: DataFrame) -> DataFrame:
-    """(index_name, version, field, child, type, values): the type of most non-null values; of equally many the last by name."""
+    """(index_name, version, field, inner, type, values): the type of most non-null values; of equally many the last by name."""
     return most_types(type_counts(rows))
 
 
-def type_counts(rows: DataFrame) -> DataFrame:
-    """(index_name, version, field, child, type, n): the non-null values of each type."""
-    return fields(rows.select("index_name", "version", "source")).where("type is not null").groupBy("index_name", "version", "field", "child", "type").agg(F.count(F.lit(1)).alias("n"))
+def type_counts(rows: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(index_name, version, field, inner, type, n): the non-null values of each type."""
+    return fields(rows.select("index_name", "version", "source"), levels).where("type is not null").groupBy("index_name", "version", "field", "inner", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def whole_counts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The type counts of rows with index and version, written, down to the deepest fields; and how many levels that are."""
+    levels = LEVELS
+    while True:
+        counts = _kept(type_counts(rows, levels).where("version is not null and index_name is not null"), "field-types")
+        if counts.where(f"type = 'Object' and size(inner) = {levels - 1}").isEmpty():
+            return counts, levels
+        levels *= 2
 
 
 def most_types(counts: DataFrame) -> DataFrame:
-    most = counts.groupBy("index_name", "version", "field", "child").agg(F.max(F.struct("n", "type")).alias("m"), F.sum("n").alias("values"))
-    return most.select("index_name", "version", "field", "child", "m.type", "values")
+    most = counts.groupBy("index_name", "version", "field", "inner").agg(F.max(F.struct("n", "type")).alias("m"), F.sum("n").alias("values"))
+    return most.select("index_name", "version", "field", "inner", "m.type", "values")
 
 
 # -- the log and the declared mappings --------------------------------------------------------
@@ -106,7 +123,7 @@ def log_writes(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> tuple[Da
 
 
 def declared_types(metadata: DataFrame) -> DataFrame:
-    """(index_name, version, field, child, type): the fields each version's mapping declares; of several rows the one updated last counts.
+    """(index_name, version, field, inner, type): the fields each version's mapping declares; of several rows the one updated last counts.
 
     A field's type is its text, or ``field_type`` or ``type`` of its object, in any letter case; other values declare no type (null).
     """
@@ -115,7 +132,7 @@ def declared_types(metadata: DataFrame) -> DataFrame:
     each = last.where("schema_of_variant(_v) like 'OBJECT%'").select("index_name", "version", F.explode(F.expr("map_entries(cast(_v as map<string, variant>))")).alias("_e"))
     text = F.expr("lower(coalesce(try_variant_get(_e.value, '$.field_type', 'string'), try_variant_get(_e.value, '$.type', 'string'), try_variant_get(_e.value, '$', 'string')))")
     kind = F.when(text.isin([t.lower() for t in TYPES]), F.initcap(text))
-    return each.select("index_name", "version", F.col("_e.key").alias("field"), F.lit(None).cast("string").alias("child"), kind.alias("type"))
+    return each.select("index_name", "version", F.col("_e.key").alias("field"), F.lit(None).cast("array<string>").alias("inner"), kind.alias("type"))
 
 
 # -- the steps --------------------------------------------------------------------------------
@@ -129,26 +146,39 @@ def steps(rows: DataFrame) -> DataFrame:
     return own.where("size(vs) > 1").select("index_name", F.explode(pairs).alias("p")).select("index_name", "p.version", "p.previous")
 
 
-def agreements(rows: DataFrame, changing: DataFrame, small: bool) -> DataFrame:
+def agreements(rows: DataFrame, changing: DataFrame, small: bool, levels: int = LEVELS) -> DataFrame:
     """(index_name, version, old, new, same, held): of the documents in both versions that hold ``old`` before, how many hold an equal value under ``new``.
 
-    ``changing``: (index_name, at, field, version, side), a row for each field that vanishes
-    ("old", at the preceding version) or appears ("new") in the step to ``version``. Only
-    values of such fields are shuffled, by document; a document's newest value counts.
+    ``changing``: (index_name, at, path, version, side), a row for each field that vanishes
+    ("old", at the preceding version) or appears ("new") in the step to ``version``; a path is a list of names. Only
+    values of such fields are shuffled, by document; a document's newest value counts. Where ``changing`` isn't
+    ``small``, each field of each document is a narrow row that is joined to it; documents aren't shuffled.
     """
-    roles = changing.groupBy("index_name", F.col("at").alias("version")).agg(F.collect_list(F.struct("field", F.col("version").alias("step"), "side")).alias("roles"))
-    docs = rows.where("document_id is not null").join(F.broadcast(roles) if small else roles, ["index_name", "version"])
-    docs = docs.withColumn("_v", F.expr("try_parse_json(source)")).withColumn("_m", F.expr("CASE WHEN schema_of_variant(_v) LIKE 'OBJECT%' THEN cast(_v as map<string, variant>) END"))
-    # a row of null field says that the document is there in the new version
-    there = docs.select("index_name", "document_id", "seq", F.explode(F.expr("array_distinct(transform(filter(roles, r -> r.side = 'new'), r -> struct(r.step as step, 'new' as side, cast(null as string) as field, cast(null as string) as value)))")).alias("r"))
-    held = docs.select("index_name", "document_id", "seq", F.explode(F.expr("filter(transform(roles, r -> struct(r.step as step, r.side as side, r.field as field, to_json(_m[r.field]) as value)), r -> r.value is not null and r.value <> 'null')")).alias("r"))
-    own = held.unionByName(there).select("index_name", "document_id", "seq", "r.*")
-    own = own.groupBy("index_name", "step", "document_id", "side", "field").agg(F.max(F.struct("seq", "value")).alias("v")).select("index_name", "step", "document_id", "side", "field", "v.value")
-    doc = own.groupBy("index_name", "step", "document_id").agg(F.max(F.col("field").isNull()).alias("there"), F.collect_list(F.struct("side", "field", "value")).alias("f"))
+    named = rows.where("document_id is not null")
+    # a row of null path says that the document is there in the new version
+    nothing = "cast(null as array<string>) as path, cast(null as string) as value"
+    if small:
+        roles = changing.groupBy("index_name", F.col("at").alias("version")).agg(F.collect_list(F.struct("path", F.col("version").alias("step"), "side")).alias("roles"))
+        docs = named.join(F.broadcast(roles), ["index_name", "version"])
+        docs = docs.withColumn("_v", F.expr("try_parse_json(source)")).withColumn("_m", F.expr("CASE WHEN schema_of_variant(_v) LIKE 'OBJECT%' THEN cast(_v as map<string, variant>) END"))
+        there = docs.select("index_name", "document_id", "seq", F.explode(F.expr(f"array_distinct(transform(filter(roles, r -> r.side = 'new'), r -> struct(r.step as step, 'new' as side, {nothing})))")).alias("r"))
+        below = "aggregate(slice(r.path, 2, size(r.path)), _m[r.path[0]], (v, k) -> CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN cast(v as map<string, variant>)[k] END)"
+        value = f"to_json(CASE WHEN size(r.path) = 1 THEN _m[r.path[0]] ELSE {below} END)"
+        held = docs.select("index_name", "document_id", "seq", F.explode(F.expr(f"filter(transform(roles, r -> struct(r.step as step, r.side as side, r.path as path, {value} as value)), r -> r.value is not null and r.value <> 'null')")).alias("r"))
+        own = held.unionByName(there).select("index_name", "document_id", "seq", "r.*")
+    else:
+        news = changing.where("side = 'new'").select("index_name", F.col("at").alias("version"), F.col("version").alias("step")).distinct()
+        there = named.select("index_name", "version", "document_id", "seq").join(news, ["index_name", "version"]).selectExpr("index_name", "document_id", "seq", "step", "'new' as side", *nothing.split(", "))
+        each = fields(named.select("index_name", "version", "document_id", "seq", "source"), levels).where("type is not null")
+        each = each.select("index_name", "version", "document_id", "seq", F.expr("CASE WHEN inner IS NULL THEN array(field) ELSE concat(array(field), inner) END").alias("path"), F.to_json("value").alias("value"))
+        held = each.join(changing.select("index_name", F.col("at").alias("version"), "path", F.col("version").alias("step"), "side"), ["index_name", "version", "path"])
+        own = held.select("index_name", "document_id", "seq", "step", "side", "path", "value").unionByName(there)
+    own = own.groupBy("index_name", "step", "document_id", "side", "path").agg(F.max(F.struct("seq", "value")).alias("v")).select("index_name", "step", "document_id", "side", "path", "v.value")
+    doc = own.groupBy("index_name", "step", "document_id").agg(F.max(F.col("path").isNull()).alias("there"), F.collect_list(F.struct("side", "path", "value")).alias("f"))
     equal = F.expr(
-        """flatten(transform(filter(f, o -> o.side = 'old' and o.field is not null), o ->
-             concat(array(struct(o.field as old, cast(null as string) as new)),
-                    transform(filter(f, x -> x.side = 'new' and x.value = o.value), x -> struct(o.field as old, x.field as new)))))"""
+        """flatten(transform(filter(f, o -> o.side = 'old' and o.path is not null), o ->
+             concat(array(struct(o.path as old, cast(null as array<string>) as new)),
+                    transform(filter(f, x -> x.side = 'new' and x.value = o.value), x -> struct(o.path as old, x.path as new)))))"""
     )
     pairs = doc.where("there").select("index_name", F.col("step").alias("version"), F.explode(equal).alias("p")).groupBy("index_name", "version", "p.old", "p.new").agg(F.count(F.lit(1)).alias("n"))
     total = pairs.where("new is null").select("index_name", "version", "old", F.col("n").alias("held"))
@@ -193,23 +223,52 @@ class Node:
         return 1 + sum(c.size() for c in self.children.values())
 
 
-def edit_script(old: Node, new: Node, agreement: dict[tuple[str, str], float], prefix: str = "", depth: int = 1) -> tuple[float, list[tuple[str, str, str, str, str, int]]]:
-    """Cost and script (kind, field, old field, old type, new type, depth) that turns one schema tree into the other.
+Path = tuple[str, ...]
+Change = tuple[str, Path, Path, str | None, str | None]
+
+
+def edit_script(old: Node, new: Node, agreement: dict) -> tuple[float, list[tuple[str, str, str, str, str, int, list[str], list[str]]]]:
+    """Cost and script (kind, field, old field, old type, new type, depth, path, old path) that turns one schema tree into the other.
 
-    Unordered trees whose mapped nodes keep their ancestors: fields of equal name under one
-    parent are mapped to each other, the others by a cheapest assignment. Adding or deleting
+    Unordered trees: fields of equal name under one parent are mapped to each other, the others under the same or a renamed
+    parent by a cheapest assignment, and what is left anywhere in the trees by another, as moves. Adding or deleting
     costs 1 a node, another type 0.5, and a rename 1.5 less its agreement, so never more than 1; below ``RENAME_AT`` it costs
-    as much as to delete and add. At last a deleted and an added field of equal name and type under different parents become a move.
+    as much as to delete and add. A move to another parent costs ``MOVE_SAVES`` times its agreement less than to delete and add; a field
+    of equal name and type that no document speaks for has half. ``agreement`` has pairs of top-level names, or of paths below that.
     """
-    cost, script = 0.0, []
+    cost, script, gone, come = _match(old, new, (), (), agreement)
+    saved, moved = _moves(gone, come, agreement)
+    from_, to = {m[2] for m in moved}, {m[1] for m in moved}
+    script += [("removed", p, (), n.type, "") for p, n in gone if p not in from_] + [("added", p, (), "", n.type) for p, n in come if p not in to]
+    # a field that moves along with its parent is no change of its own
+    along = {(m[2], m[1]) for m in moved}
+    script += [m for m in moved if m[1][-1] != m[2][-1] or (m[2][:-1], m[1][:-1]) not in along]
+    return cost - saved, [(k, ".".join(p), ".".join(o), a, b, len(p), list(p), list(o)) for k, p, o, a, b in script]
+
+
+def _share(agreement: dict, old: Path, new: Path) -> float:
+    plain = lambda p: p[0] if len(p) == 1 else p
+    share = agreement.get((plain(old), plain(new)), 0.0)
+    return share if share >= RENAME_AT else 0.0
+
+
+def _match(old: Node, new: Node, at_old: Path, at_new: Path, agreement: dict) -> tuple[float, list[Change], list[tuple[Path, Node]], list[tuple[Path, Node]]]:
+    """Cost, changes, and the fields left over on either side, those within them included; ``at_old`` and ``at_new`` are mapped to each other."""
+    cost, script, left, fresh = 0.0, [], [], []
+
+    def inside(a: Node, b: Node) -> None:
+        nonlocal cost
+        c, s, x, y = _match(a, b, (*at_old, a.name), (*at_new, b.name), agreement)
+        cost += c
+        script.extend(s), left.extend(x), fresh.extend(y)
+
     for name in sorted(old.children.keys() & new.children.keys()):
         a, b = old.children[name], new.children[name]
         if a.type != b.type:
             cost += 0.5
-            script.append(("type_changed", prefix + name, "", a.type, b.type, depth))
-        c, s = edit_script(a, b, {}, f"{prefix}{name}.", depth + 1)
-        cost += c
-        script += s
+            script.append(("type_changed", (*at_new, name), (), a.type, b.type))
+        if a.children or b.children:
+            inside(a, b)
     gone = [old.children[n] for n in sorted(old.children.keys() - new.children.keys())]
     come = [new.children[n] for n in sorted(new.children.keys() - old.children.keys())]
     mapped_a, mapped_b = set(), set()
@@ -219,53 +278,68 @@ def edit_script(old: Node, new: Node, agreement: dict[tuple[str, str], float], p
         for i, a in enumerate(gone):
             pay[i, len(come):] = a.size()
             for j, b in enumerate(come):
-                share = agreement.get((a.name, b.name), 0.0)
-                inner = edit_script(a, b, {})[0] if a.children or b.children else 0.0
-                rename = 1.5 - share + 0.25 * (a.type != b.type) + inner if share >= RENAME_AT else a.size() + b.size() + 1.0
+                share = _share(agreement, (*at_old, a.name), (*at_new, b.name))
+                within = _match(a, b, (*at_old, a.name), (*at_new, b.name), agreement)[0] if share and (a.children or b.children) else 0.0
+                rename = 1.5 - share + 0.25 * (a.type != b.type) + within if share else a.size() + b.size() + 1.0
                 pay[i, j] = rename - b.size()  # the new field need not be added
         for i, j in assign(pay):
-            if j < len(come) and agreement.get((gone[i].name, come[j].name), 0.0) >= RENAME_AT:
+            if j < len(come) and (share := _share(agreement, (*at_old, gone[i].name), (*at_new, come[j].name))):
                 a, b = gone[i], come[j]
                 mapped_a.add(i), mapped_b.add(j)
-                cost += pay[i, j] + b.size()
-                script.append(("renamed", prefix + b.name, prefix + a.name, a.type, b.type, depth))
-                script += edit_script(a, b, {}, f"{prefix}{b.name}.", depth + 1)[1]
-    for i, a in enumerate(gone):
-        if i not in mapped_a:
-            cost += a.size()
-            script += _whole(a, prefix, "removed", depth)
-    for j, b in enumerate(come):
-        if j not in mapped_b:
-            cost += b.size()
-            script += _whole(b, prefix, "added", depth)
-    return (cost, script) if depth > 1 else (cost, _moves(script))
-
-
-def _whole(node: Node, prefix: str, kind: str, depth: int) -> list[tuple]:
-    own = (kind, prefix + node.name, "", node.type if kind == "removed" else "", "" if kind == "removed" else node.type, depth)
-    return [own] + [x for c in node.children.values() for x in _whole(c, f"{prefix}{node.name}.", kind, depth + 1)]
-
-
-def _moves(script: list[tuple]) -> list[tuple]:
-    """A removed and an added field within objects, of equal name and type, are one that moved."""
-    leaf = lambda x, t: (x[1].rsplit(".", 1)[-1], t)
-    gone = {leaf(x, x[3]): x for x in script if x[0] == "removed" and x[5] > 1}
-    out = list(script)
-    for x in script:
-        if x[0] == "added" and x[5] > 1 and (y := gone.pop(leaf(x, x[4]), None)):
-            out.remove(x), out.remove(y)
-            out.append(("moved", x[1], y[1], y[3], x[4], x[5]))
-    return out
+                cost += 1.5 - share + 0.25 * (a.type != b.type)
+                script.append(("renamed", (*at_new, b.name), (*at_old, a.name), a.type, b.type))
+                if a.children or b.children:
+                    inside(a, b)
+    for nodes, mapped, at, out in ((gone, mapped_a, at_old, left), (come, mapped_b, at_new, fresh)):
+        for i, node in enumerate(nodes):
+            if i not in mapped:
+                cost += node.size()
+                out.extend(_whole(node, at))
+    return cost, script, left, fresh
+
+
+def _whole(node: Node, at: Path) -> list[tuple[Path, Node]]:
+    path = (*at, node.name)
+    return [(path, node)] + [x for c in node.children.values() for x in _whole(c, path)]
+
+
+def _moves(gone: list[tuple[Path, Node]], come: list[tuple[Path, Node]], agreement: dict) -> tuple[float, list[Change]]:
+    """What the cheapest mapping of fields left over saves, and its moves: another parent, and an equal value in most documents, or an equal name and type."""
+    share = np.zeros((len(gone), len(come)))
+    by_leaf: dict = {}
+    for j, (q, b) in enumerate(come):
+        by_leaf.setdefault((q[-1], b.type), []).append(j)
+    at_old, at_new = {p: i for i, (p, _) in enumerate(gone)}, {q: j for j, (q, _) in enumerate(come)}
+    path = lambda k: (k,) if isinstance(k, str) else k
+    for i, (p, a) in enumerate(gone):
+        for j in by_leaf.get((p[-1], a.type), ()):
+            share[i, j] = RENAME_AT
+    for (o, n), value in agreement.items():
+        i, j = at_old.get(path(o)), at_new.get(path(n))
+        if i is not None and j is not None and value >= RENAME_AT:
+            share[i, j] = max(share[i, j], value)
+    for i, (p, _) in enumerate(gone):
+        for j, (q, _) in enumerate(come):
+            if p[:-1] == q[:-1]:  # the same parent: that would have been a rename
+                share[i, j] = 0.0
+    rows, cols = np.flatnonzero(share.any(axis=1)), np.flatnonzero(share.any(axis=0))
+    if not len(rows):
+        return 0.0, []
+    some = share[np.ix_(rows, cols)]
+    pairs = [(int(rows[i]), int(cols[j])) for i, j in assign(np.hstack([-some, np.zeros((len(rows), len(rows)))])) if j < len(cols) and some[i, j] > 0]
+    moves = [("moved", come[j][0], gone[i][0], gone[i][1].type, come[j][1].type) for i, j in pairs]
+    return MOVE_SAVES * sum(share[i, j] for i, j in pairs), moves
 
 
 def tree(rows: list) -> Node:
     root = Node("", "Object")
-    for r in rows:
-        if r["child"] is None:
-            root.children[r["field"]] = Node(r["field"], r["type"])
-    for r in rows:
-        if r["child"] is not None and r["field"] in root.children:
-            root.children[r["field"]].children[r["child"]] = Node(r["child"], r["type"])
+    for r in sorted(rows, key=lambda r: 0 if r["inner"] is None else len(r["inner"])):
+        *above, name = [r["field"], *(r["inner"] if r["inner"] is not None else [])]
+        node = root
+        for n in above:
+            # an object that is no field of its own, for lack of a value, has fields all the same
+            node = node.children.setdefault(n, Node(n, "Object"))
+        node.children.setdefault(name, Node(name, r["type"]))
     return root
 
 
@@ -277,6 +351,7 @@ class Drift:
     types: DataFrame
     changes: DataFrame
     declared: DataFrame | None = None
+    levels: int = LEVELS
 
 
 def changes(docs: DataFrame) -> DataFrame:
@@ -287,14 +362,14 @@ def changes(docs: DataFrame) -> DataFrame:
 def drift(docs: DataFrame) -> Drift:
     """The documents' fields by version, and what each step changes.
 
-    ``changes``: (index_name, version, previous, change_kind, field_name, old_name, old_type, new_type, depth): every change of each step.
+    ``changes``: (index_name, version, previous, change_kind, field_name, old_name, old_type, new_type, depth, path, old_path): every change of each step.
 
-    ``field_name`` of a nested field is its path with dots. A step without changes gives no
+    ``field_name`` of a nested field is its path with dots; ``path`` has the names by themselves. A step without changes gives no
     row; an index of one version has no step. Rows whose version can't be told take no part.
     """
     ship(docs.sparkSession)
     rows = versioned(docs)
-    return _drift(rows, _kept(type_counts(rows).where("version is not null and index_name is not null"), "field-types"))
+    return _drift(rows, *whole_counts(rows))
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -304,47 +379,60 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _drift(rows: DataFrame, counts: DataFrame) -> Drift:
+def _drift(rows: DataFrame, counts: DataFrame, levels: int) -> Drift:
     # the counts are small (fields x versions)
     types = most_types(counts)
     pair = _kept(_pairs(steps(rows), types), "schema-steps")
-    names = lambda t: f"transform(filter({t}, x -> x.child is null), x -> x.field)"
-    gone, come = F.expr(f"array_except({names('old_tree')}, {names('new_tree')})"), F.expr(f"array_except({names('new_tree')}, {names('old_tree')})")
+    paths = lambda t: f"transform({t}, x -> CASE WHEN x.inner IS NULL THEN array(x.field) ELSE concat(array(x.field), x.inner) END)"
+    gone, come = F.expr(f"array_except({paths('old_tree')}, {paths('new_tree')})"), F.expr(f"array_except({paths('new_tree')}, {paths('old_tree')})")
     both = pair.select("index_name", "version", "previous", gone.alias("gone"), come.alias("come")).where("size(gone) > 0 and size(come) > 0")
-    changing = both.select("index_name", F.col("previous").alias("at"), F.explode("gone").alias("field"), "version", F.lit("old").alias("side")).unionByName(
-        both.select("index_name", F.col("version").alias("at"), F.explode("come").alias("field"), "version", F.lit("new").alias("side"))
+    changing = both.select("index_name", F.col("previous").alias("at"), F.explode("gone").alias("path"), "version", F.lit("old").alias("side")).unionByName(
+        both.select("index_name", F.col("version").alias("at"), F.explode("come").alias("path"), "version", F.lit("new").alias("side"))
     )
     small = changing.count() <= BROADCAST_ROWS
-    agree = agreements(rows, changing, small).groupBy("index_name", "version").agg(F.collect_list(F.struct("old", "new", (F.col("same") / F.col("held")).alias("share"))).alias("agree"))
+    agree = agreements(rows, changing, small, levels).groupBy("index_name", "version").agg(F.collect_list(F.struct("old", "new", (F.col("same") / F.col("held")).alias("share"))).alias("agree"))
     work = pair.join(agree, ["index_name", "version"], "left")
 
-    return Drift(rows, types, _scripts(work))
+    return Drift(rows, types, _scripts(work), levels=levels)
 
 
 def _pairs(step: DataFrame, types: DataFrame) -> DataFrame:
     """``step`` (index_name, version, previous) with the fields of both versions: old_tree, new_tree."""
-    whole = types.groupBy("index_name", "version").agg(F.collect_list(F.struct("field", "child", "type")).alias("tree"))
+    whole = types.groupBy("index_name", "version").agg(F.collect_list(F.struct("field", "inner", "type")).alias("tree"))
     return (
         step.join(whole.withColumnRenamed("tree", "new_tree"), ["index_name", "version"], "left")
         .join(whole.select("index_name", F.col("version").alias("previous"), F.col("tree").alias("old_tree")), ["index_name", "previous"], "left")
-        .withColumn("old_tree", F.coalesce("old_tree", F.expr("cast(array() as array<struct<field string, child string, type string>>)")))
-        .withColumn("new_tree", F.coalesce("new_tree", F.expr("cast(array() as array<struct<field string, child string, type string>>)")))
+        .withColumn("old_tree", F.coalesce("old_tree", F.expr("cast(array() as array<struct<field string, inner array<string>, type string>>)")))
+        .withColumn("new_tree", F.coalesce("new_tree", F.expr("cast(array() as array<struct<field string, inner array<string>, type string>>)")))
     )
 
 
+_CHANGE = "change_kind string, field_name string, old_name string, old_type string, new_type string, depth int, path array<string>, old_path array<string>"
+
+
 def _scripts(work: DataFrame) -> DataFrame:
     """The edit script of each row of index_name, version, previous, old_tree, new_tree and agree (null, or a list of old, new, share)."""
+    plain = lambda p: p[0] if len(p) == 1 else tuple(p)
 
     def run(batches):
         for part in batches:
             out = []
             for r in part.itertuples(index=False):
-                shares = {(x["old"], x["new"]): x["share"] for x in (r.agree if r.agree is not None else [])}
+                shares = {(plain(x["old"]), plain(x["new"])): x["share"] for x in (r.agree if r.agree is not None else [])}
                 for x in edit_script(tree(r.old_tree), tree(r.new_tree), shares)[1]:
                     out.append((r.index_name, r.version, r.previous, *x))
-            yield pd.DataFrame(out, columns=["index_name", "version", "previous", "change_kind", "field_name", "old_name", "old_type", "new_type", "depth"])
+            yield pd.DataFrame(out, columns=["index_name", "version", "previous", "change_kind", "field_name", "old_name", "old_type", "new_type", "depth", "path", "old_path"])
+
+    return work.mapInPandas(run, f"index_name string, version int, previous int, {_CHANGE}")
+
 
-    return work.mapInPandas(run, "index_name string, version int, previous int, change_kind string, field_name string, old_name string, old_type string, new_type string, depth int")
+def top_changes(changes: DataFrame) -> DataFrame:
+    """(index_name, version, change_kind, field_name, old_name) of the top-level fields alone; one that moves into or out of an object is gone or new there."""
+    own = changes.where("depth = 1 and change_kind <> 'moved'").select("index_name", "version", "change_kind", "field_name", "old_name")
+    moved = changes.where("change_kind = 'moved'")
+    gone = moved.where("size(old_path) = 1").select("index_name", "version", F.lit("removed").alias("change_kind"), F.col("old_name").alias("field_name"), F.lit("").alias("old_name"))
+    come = moved.where("size(path) = 1").select("index_name", "version", F.lit("added").alias("change_kind"), "field_name", F.lit("").alias("old_name"))
+    return own.unionByName(gone).unionByName(come)
 
 
 # -- documents, log and mappings together -----------------------------------------------------
@@ -357,7 +445,7 @@ def all_drift(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> Drift:
     """
     found = drift(docs)
     writes = _kept(log_writes(found.rows, wal, metadata)[0], "log-writes")
-    return Drift(found.rows.unionByName(writes), found.types.unionByName(field_types(writes).where("version is not null and index_name is not null")), found.changes, declared_types(metadata))
+    return Drift(found.rows.unionByName(writes), found.types.unionByName(field_types(writes).where("version is not null and index_name is not null")), found.changes, declared_types(metadata), found.levels)
 
 
 def all_changes(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -372,21 +460,21 @@ def all_changes(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> DataFra
     rows = versioned(docs)
     writes, announced = log_writes(rows, wal, metadata)
     writes = _kept(writes, "log-writes")
-    counts, more = (_kept(type_counts(r).where("version is not null and index_name is not null"), "field-types") for r in (rows, writes))
-    own = _kept(_drift(rows, counts).changes, "changes")
-    summed = counts.unionByName(more).groupBy("index_name", "version", "field", "child", "type").agg(F.sum("n").alias("n"))
-    logged = _kept(_drift(rows.unionByName(writes), summed).changes, "changes")
+    (counts, levels), (more, levels_of_log) = whole_counts(rows), whole_counts(writes)
+    own = _kept(_drift(rows, counts, levels).changes, "changes")
+    summed = counts.unionByName(more).groupBy("index_name", "version", "field", "inner", "type").agg(F.sum("n").alias("n"))
+    logged = _kept(_drift(rows.unionByName(writes), summed, max(levels, levels_of_log)).changes, "changes")
     names = lambda df: df.select("index_name", "version", F.explode(F.array_distinct(F.array("field_name", "old_name"))).alias("field_name")).where("field_name <> ''").distinct()
     by_log = logged.join(names(own), ["index_name", "version", "field_name"], "left_anti")
     declared = declared_types(metadata)
-    renames = own.where("change_kind = 'renamed' and depth = 1").select("index_name", F.col("version").alias("at"), F.col("old_name").alias("old"), F.col("field_name").alias("new"))
+    renames = own.where("change_kind = 'renamed' and depth = 1").select("index_name", F.col("version").alias("at"), F.col("old_path").alias("old"), F.col("path").alias("new"))
     pair = _pairs(steps(declared), declared)
     agree = pair.select("index_name", "version").join(renames, "index_name").where("at <= version").groupBy("index_name", "version").agg(F.collect_set(F.struct("old", "new", F.lit(1.0).alias("share"))).alias("agree"))
     by_mapping = _scripts(pair.join(agree, ["index_name", "version"], "left")).join(names(own.unionByName(by_log)), ["index_name", "version", "field_name"], "left_anti")
     versions = rows.select("index_name", "version").unionByName(metadata.select("index_name", F.col("mapping_version").cast("int").alias("version"))).distinct()
     nothing = F.lit("")
     lone = announced.join(versions, ["index_name", "version"], "left_anti").select(
-        "index_name", "version", F.lit(None).cast("int").alias("previous"), F.lit("announced").alias("change_kind"), nothing.alias("field_name"), nothing.alias("old_name"), nothing.alias("old_type"), nothing.alias("new_type"), F.lit(0).alias("depth")
+        "index_name", "version", F.lit(None).cast("int").alias("previous"), F.lit("announced").alias("change_kind"), nothing.alias("field_name"), nothing.alias("old_name"), nothing.alias("old_type"), nothing.alias("new_type"), F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("path"), F.expr("cast(array() as array<string>)").alias("old_path")
     )
     shown = lambda df, by: df.withColumn("shown_by", F.lit(by))
     return shown(own, "documents").unionByName(shown(by_log.unionByName(lone), "log")).unionByName(shown(by_mapping, "mapping"))
@@ -436,7 +524,7 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
     path = scratch_path(spark, "final-names")
     maps.write.parquet(path)
     maps = spark.read.parquet(path)
-    types = found.types.where("child is null").select("index_name", "version", "field", "type", F.lit(False).alias("declared"))
+    types = found.types.where("inner is null").select("index_name", "version", "field", "type", F.lit(False).alias("declared"))
     if found.declared is not None:
         types = types.unionByName(found.declared.select("index_name", "version", "field", "type", F.lit(True).alias("declared")))
     named = types.join(maps, ["index_name", "version"], "left").select(F.coalesce(F.expr("names[field]"), "field").alias("field"), "type", "declared")

@@ -161,3 +161,56 @@ def test_values_of_another_type_are_not_changed(spark):
         assert r["strays"] == {name: json.dumps(x) for name, x in v.items()} and [r["f_n"], r["f_b"], r["f_d"]] == [None] * 3
     assert got["o7"]["f_d"] == 2.0 and (got["s3"]["f_n"], got["s3"]["f_b"], got["s3"]["f_d"]) == (3, True, 0.5)
     assert got["x"]["rest"] == {"": "[1]"} and got["y"]["rest"] == {"": "not json"}
+
+
+def all_changes(spark, old, new, docs_each=3):
+    rows = [("i", 1, 1, str(k), k, old(k)) for k in range(docs_each)] + [("i", 2, 2, str(k), 10 + k, new(k)) for k in range(docs_each)]
+    found = sd.changes(docs(spark, rows))
+    return sorted((r["change_kind"], r["field_name"], r["old_name"]) for r in found.collect()), found
+
+
+def test_changes_at_any_depth(spark):
+    got, _ = all_changes(spark, lambda k: {"a": {"b": {"c": 1, "old": f"v{k}"}}}, lambda k: {"a": {"b": {"c": "s", "new": f"v{k}"}}})
+    assert got == [("renamed", "a.b.new", "a.b.old"), ("type_changed", "a.b.c", "")]
+    got, _ = all_changes(spark, lambda k: {"o": {"x": k}}, lambda k: {"o": {"y": k}})
+    assert got == [("renamed", "o.y", "o.x")]
+    deep = lambda leaf: {"l1": {"l2": {"l3": {"l4": {"l5": {"l6": leaf}}}}}}
+    got, _ = all_changes(spark, lambda k: deep({"p": k, "q": 1}), lambda k: deep({"r": k, "q": 1.5}))
+    path = "l1.l2.l3.l4.l5.l6."
+    assert got == [("renamed", path + "r", path + "p"), ("type_changed", path + "q", "")]
+
+
+def test_renamed_parents_keep_their_fields_changes(spark):
+    got, _ = all_changes(spark, lambda k: {"o": {"x": f"x{k}", "y": 1, "z": {"w": k}}, "e": {}}, lambda k: {"e": {}, "o": {"x": f"x{k}", "y": 1, "zz": {"w": k}}})
+    assert got == [("renamed", "o.zz", "o.z")]
+    # the whole object is equal under another name, and so are the fields in it
+    got, _ = all_changes(spark, lambda k: {"o": {"x": f"x{k}", "y": 1}}, lambda k: {"p": {"x": f"x{k}", "y": 1}})
+    assert got == [("renamed", "p", "o")]
+
+
+def test_moves_and_top_level_changes(spark):
+    old, new = (lambda k: {"zone": f"z{k}", "meta": {"host": f"h{k}"}, "n": 1}), (lambda k: {"meta": {"area": f"z{k}"}, "host": f"h{k}", "n": 1})
+    got, found = all_changes(spark, old, new)
+    assert got == [("moved", "host", "meta.host"), ("moved", "meta.area", "zone")]
+    top = sorted((r["change_kind"], r["field_name"], r["old_name"]) for r in sd.top_changes(found).collect())
+    assert top == [("added", "host", ""), ("removed", "zone", "")]
+    # what moves along with its parent is part of its move
+    got, _ = all_changes(spark, lambda k: {"o": {"x": k, "y": f"{k}"}, "k": {"a": 1}}, lambda k: {"k": {"a": 1, "o": {"x": k, "y": f"{k}"}}})
+    assert got == [("moved", "k.o", "o")]
+
+
+def test_renames_are_never_displaced_by_moves():
+    leaf = lambda n: sd.Node(n, "Keyword")
+    old = sd.Node("", "Object", {"a": leaf("a"), "s": sd.Node("s", "Object", {"x": leaf("x")})})
+    new = sd.Node("", "Object", {"b": leaf("b"), "s": sd.Node("s", "Object", {"y": leaf("y")})})
+    shares = {("a", "b"): 0.5, ("a", ("s", "y")): 1.0, (("s", "x"), "b"): 1.0}
+    cost, script = sd.edit_script(old, new, shares)
+    assert sorted(x[:3] for x in script) == [("added", "s.y", ""), ("removed", "s.x", ""), ("renamed", "b", "a")] and cost == pytest.approx(1.0 + 2.0)
+    cost, script = sd.edit_script(old, new, {("a", ("s", "y")): 1.0, (("s", "x"), "b"): 0.8})
+    assert sorted(x[:3] for x in script) == [("moved", "b", "s.x"), ("moved", "s.y", "a")] and cost == pytest.approx(4 - sd.MOVE_SAVES * 1.8)
+
+
+def test_narrow_join_finds_nested_agreements_too(spark, monkeypatch):
+    monkeypatch.setattr(sd, "BROADCAST_ROWS", -1)
+    test_changes_at_any_depth(spark)
+    test_moves_and_top_level_changes(spark)
