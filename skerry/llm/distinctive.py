@@ -69,6 +69,10 @@ def term_statistics(occurrences: DataFrame) -> DataFrame:
     # the place must not be null, or the pair would not count
     place = F.struct(F.col("s"), F.col("p"))
     tf = occurrences.groupBy("g", "r", "t").agg(F.greatest(F.count_distinct(F.when(F.col("p").isNotNull(), place)), F.lit(1)).alias("tf"))
+    # written, as the counts below and the join read it
+    path = scratch_path(tf.sparkSession, "term-frequencies")
+    tf.write.parquet(path)
+    tf = tf.sparkSession.read.parquet(path)
     term = tf.groupBy("g", "t").agg(F.count(F.lit(1)).alias("df"))
     size = term.groupBy("g").agg(F.sum("df").alias("size"))
     return (
