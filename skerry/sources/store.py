@@ -1,17 +1,23 @@
 """Named indexes in a folder: change log, segments, snapshots and settings.
 
 An index is a list of immutable segments and a log of newer changes. ``refresh`` makes logged
-changes searchable, ``flush`` turns them into a segment, ``merge`` folds segments. Readers see
-the state of one manifest, which is replaced by a rename; one writer per index is assumed.
+changes searchable, ``flush`` turns them into a segment, ``merge`` folds segments. A flush also writes which documents
+of older segments the new one overtakes, so a search reads each segment beside its own list of
+deletions. Readers see the state of one manifest, a numbered file whose successor is created exclusively: a
+writer that dies leaves the state before or after its change. Writers of one process take
+turns; of two processes the one whose state has been overtaken is refused with ``ConcurrentWrite``.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import logging
 import re
+import threading
 import time
 import uuid
+from collections import defaultdict
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -19,6 +25,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import ConcurrentWrite, Versions, create_exclusive, names, read_bytes
 from ..functions import text as tx
 from ..functions.json_types import type_sql
 from ..functions.once import computed_once
@@ -49,30 +56,36 @@ class Files:
         return fs.exists(p)
 
     def read_json(self, path: str) -> Any:
-        fs, p = hadoop_path(self.spark, path)
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
-
-    def write_json(self, path: str, value: Any) -> None:
-        fs, new = hadoop_path(self.spark, f"{path}.{uuid.uuid4().hex}.new")
-        stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps(value).encode()))
-        stream.close()
-        _, to = hadoop_path(self.spark, path)
-        fs.delete(to, False)
-        if not fs.rename(new, to):
-            raise OSError(f"can't write {path}")
+        return json.loads(read_bytes(self.spark, path))
+
+    def create_json(self, path: str, value: Any) -> None:
+        """A file that must not be there yet."""
+        if not create_exclusive(self.spark, path, json.dumps(value).encode()):
+            raise AlreadyExists(path)
+
+    def state(self, path: str) -> Versions:
+        return Versions(self.spark, path)
 
     def delete(self, path: str) -> bool:
         fs, p = hadoop_path(self.spark, path)
         return fs.delete(p, True)
 
     def names(self, path: str) -> list[str]:
-        fs, p = hadoop_path(self.spark, path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return names(self.spark, path)
+
+
+_LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)
+
+
+def _in_turn(method):
+    """Writers of an index in this process one after another."""
+
+    @functools.wraps(method)
+    def run(self, *args, **kwargs):
+        with _LOCKS[self.path]:
+            return method(self, *args, **kwargs)
+
+    return run
 
 
 @dataclass
@@ -108,7 +121,7 @@ class Store:
     def create_index(self, name: str, settings: Settings | None = None, mappings: mp.Mapping | None = None) -> dict:
         path, settings = self._path(name), settings or Settings()
         settings.check()
-        if self.files.exists(f"{path}/metadata.json"):
+        if self.files.state(f"{path}/metadata.json").numbers():
             raise AlreadyExists(name)
         if self.max_indexes is not None and len(self.indexes()) >= self.max_indexes:
             raise LimitExceeded(f"{self.max_indexes} indexes")
@@ -116,18 +129,23 @@ class Store:
             raise InvalidRequest(f"unknown types {bad}")
         now = _now()
         meta = {"id": str(uuid.uuid4()), "name": name, "created_at": now, "updated_at": now, "settings": settings.__dict__, "mappings": mappings or {}}
-        self.files.write_json(f"{path}/metadata.json", meta)
-        self.files.write_json(f"{path}/manifest.json", {"segments": [], "log": [], "refreshed_seq": 0, "next_seq": 1, "number": 0, "batches": {}})
+        # the index is there once its metadata are, so its manifest comes first; one that a dead writer left is as good
+        empty = {"segments": [], "log": [], "refreshed_seq": 0, "next_seq": 1, "number": 0, "batches": {}}
+        self.files.state(f"{path}/manifest.json").change(lambda state: None if state else empty)
+        try:
+            self.files.state(f"{path}/metadata.json").put(0, meta)
+        except ConcurrentWrite:
+            raise AlreadyExists(name) from None
         return meta
 
     def indexes(self) -> list[str]:
-        return [n for n in self.files.names(self.root) if self.files.exists(f"{self.root}/{n}/metadata.json")]
+        return [n for n in self.files.names(self.root) if self.files.state(f"{self.root}/{n}/metadata.json").numbers()]
 
     def get_index(self, name: str) -> dict:
-        path = self._path(name)
-        if not self.files.exists(f"{path}/metadata.json"):
+        meta = self.files.state(f"{self._path(name)}/metadata.json").latest()[1]
+        if meta is None:
             raise NotFound(name)
-        return self.files.read_json(f"{path}/metadata.json")
+        return meta
 
     def delete_index(self, name: str) -> None:
         self.get_index(name)
@@ -135,12 +153,14 @@ class Store:
 
     def update_settings(self, name: str, retention_secs: int | None) -> dict:
         """Only the retention can change."""
-        meta = self.get_index(name)
-        meta["settings"]["retention_secs"] = retention_secs
-        Settings(**meta["settings"]).check()
-        meta["updated_at"] = _now()
-        self.files.write_json(f"{self._path(name)}/metadata.json", meta)
-        return meta
+        self.get_index(name)
+
+        def step(meta: dict) -> dict:
+            settings = meta["settings"] | {"retention_secs": retention_secs}
+            Settings(**settings).check()
+            return meta | {"settings": settings, "updated_at": _now()}
+
+        return self.files.state(f"{self._path(name)}/metadata.json").change(step)
 
     def open(self, name: str) -> "Index":
         """The index for reading and writing; what was logged before is searchable."""
@@ -163,7 +183,7 @@ class Index:
 
     @property
     def meta(self) -> dict:
-        return self.files.read_json(f"{self.path}/metadata.json")
+        return self.files.state(f"{self.path}/metadata.json").latest()[1]
 
     @property
     def mapping(self) -> mp.Mapping:
@@ -175,15 +195,19 @@ class Index:
 
     @property
     def manifest(self) -> dict:
-        return self.files.read_json(f"{self.path}/manifest.json")
+        """The state, with its version."""
+        version, state = self.files.state(f"{self.path}/manifest.json").latest()
+        if state is None:
+            raise NotFound(self.name)
+        return state | {"version": version}
 
     def _save(self, manifest: dict) -> None:
-        self.files.write_json(f"{self.path}/manifest.json", manifest)
+        """The state that follows the one ``manifest`` was read as; refused if another writer's does already."""
+        state = {k: v for k, v in manifest.items() if k != "version"}
+        self.files.state(f"{self.path}/manifest.json").put(manifest["version"], state)
 
     def _set_mapping(self, mapping: mp.Mapping) -> None:
-        meta = self.meta
-        if meta["mappings"] != mapping:
-            self.files.write_json(f"{self.path}/metadata.json", meta | {"mappings": mapping, "updated_at": _now()})
+        self.files.state(f"{self.path}/metadata.json").change(lambda meta: None if meta["mappings"] == mapping else meta | {"mappings": mapping, "updated_at": _now()})
 
     def _count(self, what: str, n: int = 1) -> None:
         self.store.counters[f"{self.name}.{what}"] = self.store.counters.get(f"{self.name}.{what}", 0) + n
@@ -202,6 +226,7 @@ class Index:
         """Deletes one document; one that isn't there is no error."""
         return self.bulk([{"delete": {"id": doc_id}}])["items"][0]
 
+    @_in_turn
     def bulk(self, operations: list[dict]) -> dict:
         """Operations in order, each by itself: one that fails doesn't stop the others. An index always says ``created``."""
         began = time.monotonic()
@@ -231,6 +256,7 @@ class Index:
             _slow.info("bulk on %s took %.0f ms", self.name, took * 1000)
         return {"errors": any(i["status"] >= 400 for i in items), "items": items}
 
+    @_in_turn
     def bulk_frame(self, operations: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
         """Bulk from a DataFrame (position, op, id, source): any size, in order of ``position``.
 
@@ -242,40 +268,70 @@ class Index:
         empty = self.spark.createDataFrame([], "position bigint, id string, error string")
         if batch is not None and manifest["batches"].get(batch[0], -1) >= batch[1]:
             return empty
-        ops = operations.select(F.col("position").cast("bigint"), "op", "id", "source")
-        writes = ops.where("op = 'index'").withColumn("_v", computed_once(F.expr("try_parse_json(source)")))
-        objects = writes.where("schema_of_variant(_v) like 'OBJECT%'")
-        entries = objects.select("position", F.explode(F.expr("map_entries(cast(_v as map<string, variant>))")).alias("e")).select("position", F.col("e.key").alias("field"), F.expr(type_sql("e.value")).alias("type")).where("type is not null")
-        mapping = self.mapping
-        first = {r["field"]: r["type"] for r in entries.where("type <> 'Array'").groupBy("field").agg(F.min_by("type", "position").alias("type")).collect()}
+        base, number, mapping = manifest["next_seq"], manifest["number"] + 1, self.mapping
+        # each source is parsed once; what is found of it is written beside it
+        ops = operations.select(F.coalesce(F.col("position").cast("bigint"), F.lit(0)).alias("position"), "op", "id", "source").where("op = 'index' or op = 'delete' and id is not null")
+        value = computed_once(F.expr("CASE WHEN op = 'index' THEN try_parse_json(source) END"))
+        parsed = ops.withColumn("_v", value).withColumn("_object", F.expr("coalesce(schema_of_variant(_v) LIKE 'OBJECT%', false)"))
+        kinds = f"map_filter(transform_values(cast(_v as map<string, variant>), (k, v) -> {type_sql('v')}), (k, t) -> t IS NOT NULL)"
+        staged = parsed.select(
+            F.col("id").alias("_id"), (F.col("position") + base).alias("_seq"), (F.col("op") == "delete").alias("_deleted"), F.when(F.col("op") == "index", F.col("source")).alias("_source"),
+            F.col("position").alias("_position"), "_object", F.when(F.col("_object"), F.expr(kinds)).alias("_kinds"),
+        )
+        staged.write.mode("overwrite").parquet(f"{self.path}/log/{number:08d}")
+        staged = self.spark.read.parquet(f"{self.path}/log/{number:08d}")
+        # the types of an index are few; one more than allowed tells that there are too many
+        each = staged.select("_position", F.explode("_kinds").alias("field", "type")).where("type <> 'Array'")
+        first = {r["field"]: r["type"] for r in each.groupBy("field").agg(F.min_by("type", "_position").alias("type")).limit(mp.MAX_FIELDS + 1).collect()}
         if len(first | mapping) > mp.MAX_FIELDS:
             raise MappingConflict(f"more than {mp.MAX_FIELDS} fields")
-        strict = self.settings.mapping_mode == mp.STRICT
-        mapping = mapping if strict else first | mapping
+        mapping = mapping if self.settings.mapping_mode == mp.STRICT else first | mapping
         known = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]) if mapping else F.expr("cast(map() as map<string, string>)")
-        conflicts = entries.where(~F.coalesce(F.col("type") == F.try_element_at(known, F.col("field")), F.lit(False)))
-        refused = conflicts.groupBy("position").agg(F.concat(F.lit("field conflicts with the mapping: "), F.min("field")).alias("error"))
-        bad = refused.unionByName(writes.where("_v is null or schema_of_variant(_v) not like 'OBJECT%'").select("position", F.lit("a document must be a JSON object").alias("error")))
-        good = ops.join(bad, "position", "left_anti").where("id is not null and op in ('index', 'delete')")
-        base = manifest["next_seq"]
-        top = ops.agg(F.max("position")).first()[0]
-        rows = good.select(F.col("id").alias("_id"), (F.col("position") + base).alias("_seq"), (F.col("op") == "delete").alias("_deleted"), F.when(F.col("op") == "index", F.col("source")).alias("_source"))
-        if top is not None:
-            self._set_mapping(mapping)
-            self._append(rows, manifest, base + top + 1, batch)
-        return ops.join(bad, "position").select("position", "id", "error")
+        odd = F.map_keys(F.map_filter("_kinds", lambda k, t: ~F.coalesce(F.try_element_at(known, k) == t, F.lit(False))))
+        error = F.when(F.col("_deleted"), None).when(~F.col("_object"), F.lit("a document must be a JSON object")).when(F.size(odd) > 0, F.concat(F.lit("field conflicts with the mapping: "), F.array_min(odd)))
+        staged = staged.withColumn("_error", error)
+        good = F.col("_error").isNull() & F.col("_id").isNotNull()
+        got = staged.agg(F.max("_seq").alias("top"), F.count_if(~good).alias("bad"), F.count_if(good).alias("rows"), F.bit_xor(F.when(good, _row_hash())).alias("checksum")).first()
+        if got["top"] is None:
+            return empty
+        refused = empty
+        if got["bad"]:
+            staged.where("_error is not null").select(F.col("_position").alias("position"), F.col("_id").alias("id"), F.col("_error").alias("error")).write.mode("overwrite").parquet(f"{self.path}/refused/{number:08d}")
+            refused = self.spark.read.parquet(f"{self.path}/refused/{number:08d}")
+            staged.where(good).select("_id", "_seq", "_deleted", "_source").write.mode("overwrite").parquet(f"{self.path}/log/{number + 1:08d}")
+            self.files.delete(f"{self.path}/log/{number:08d}")
+            number += 1
+        self._set_mapping(mapping)
+        self._logged(manifest, number, got["top"] + 1, {"rows": got["rows"], "checksum": got["checksum"] or 0}, batch)
+        return refused
+
+    def _append(self, rows: DataFrame, manifest: dict, next_seq: int) -> None:
+        number = manifest["number"] + 1
+        rows.write.mode("overwrite").parquet(f"{self.path}/log/{number:08d}")
+        self._logged(manifest, number, next_seq, self._log_checksum(number))
 
-    def _append(self, rows: DataFrame, manifest: dict, next_seq: int, batch: tuple[str, int] | None = None) -> None:
+    def _logged(self, manifest: dict, number: int, next_seq: int, checksum: dict, batch: tuple[str, int] | None = None) -> None:
+        """The log part ``number`` belongs to the index from here on."""
         if self.store.max_documents is not None and self.searchable().count() >= self.store.max_documents:
             raise LimitExceeded(f"{self.store.max_documents} documents")
-        number = manifest["number"] + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/log/{number:08d}")
-        log = [*manifest["log"], {"number": number, "first_seq": manifest["next_seq"], "last_seq": next_seq - 1}]
+        log = [*manifest["log"], {"number": number, "first_seq": manifest["next_seq"], "last_seq": next_seq - 1} | checksum]
         batches = manifest["batches"] | ({batch[0]: batch[1]} if batch else {})
         self._save(manifest | {"log": log, "next_seq": next_seq, "number": number, "batches": batches})
 
+    def _log_checksum(self, number: int) -> dict:
+        rows = self.spark.read.schema(_LOG).parquet(f"{self.path}/log/{number:08d}")
+        got = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(_row_hash()), F.lit(0)).alias("checksum")).first()
+        return got.asDict()
+
+    def verify_log(self) -> None:
+        """Reads the log's parts and compares rows and checksum with those noted when they were written."""
+        for part in self.manifest["log"]:
+            if self._log_checksum(part["number"]) != {k: part[k] for k in ("rows", "checksum")}:
+                raise InvalidRequest(f"log part {part['number']} of {self.name} is damaged")
+
     # -- visibility -------------------------------------------------------------------------
 
+    @_in_turn
     def refresh(self) -> int:
         """Makes all logged changes searchable; gives how many numbers that were."""
         manifest = self.manifest
@@ -311,20 +367,27 @@ class Index:
         words = {f"_tok_{name}": tx.tokens(F.col(f"`{name}`")) for name, kind in _columns(mapping).items() if kind == mp.KEYWORD}
         return typed.withColumns(words) if words else typed
 
+    def _segment(self, s: dict) -> DataFrame:
+        """A segment without the documents that newer segments overtake."""
+        rows = self.spark.read.parquet(f"{self.path}/segments/{s['number']:08d}")
+        lists = [f"{self.path}/deletions/{n:08d}/segment={s['number']}" for n in s.get("deletions", [])]
+        return rows.join(self.spark.read.schema("_id string").parquet(*lists), "_id", "left_anti") if lists else rows
+
     def _segments(self, manifest: dict) -> list[DataFrame]:
-        return [self.spark.read.parquet(f"{self.path}/segments/{s['number']:08d}") for s in manifest["segments"]]
+        return [self._segment(s) for s in manifest["segments"]]
 
     def _state(self, manifest: dict, upto: int | None) -> DataFrame:
         """The last change of every id, deletes included.
 
-        Each part is read without the rows that a newer change in another part overtakes. Only ids and numbers take
-        part in that, so columns a search doesn't use aren't read, and a small newer part is broadcast.
+        Each segment is read beside its list of deletions, and all of them once beside the ids of the log, which is newer
+        than any segment. Columns a search doesn't use aren't read, and small lists are broadcast.
         """
         mapping, log = self.mapping, self._log(manifest, upto)
-        parts = self._segments(manifest) + ([] if log is None else [self._typed(_last(log), mapping)])
-        if not parts:
-            return self._typed(self.spark.createDataFrame([], _LOG), mapping)
-        return _union([_not_overtaken(p, parts[:i] + parts[i + 1:]) for i, p in enumerate(parts)])
+        parts = self._segments(manifest)
+        if log is None:
+            return _union(parts) if parts else self._typed(self.spark.createDataFrame([], _LOG), mapping)
+        newest = self._typed(_last(log), mapping)
+        return _union([_union(parts).join(log.select("_id"), "_id", "left_anti"), newest]) if parts else newest
 
     def searchable(self) -> DataFrame:
         manifest = self.manifest
@@ -355,6 +418,7 @@ class Index:
         limit = F.lit((now or datetime.now(timezone.utc)).astimezone(timezone.utc).replace(tzinfo=None).isoformat(" ")).cast("timestamp")
         return rows.where(at.isNull() | (at + F.make_interval(secs=F.lit(s.retention_secs)) > limit))
 
+    @_in_turn
     def evict(self, now: datetime | None = None) -> int:
         """Deletes expired documents for good."""
         expired = self.searchable().select("_id").join(self.alive(self.searchable(), now).select("_id"), "_id", "left_anti")
@@ -369,6 +433,7 @@ class Index:
 
     # -- segments ---------------------------------------------------------------------------
 
+    @_in_turn
     def flush(self) -> dict:
         """Turns the searchable part of the log into a segment; its number is the highest it contains."""
         manifest = self.manifest
@@ -376,13 +441,16 @@ class Index:
         log = self._log(manifest, upto)
         if log is None:
             return {"flushed_documents": 0, "seq": upto}
+        self.verify_log()
         number = manifest["number"] + 1
         path = f"{self.path}/segments/{number:08d}"
         self._typed(_last(log), self.mapping).write.mode("overwrite").parquet(path)
         stored = self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_deleted")).alias("d"), F.max("_seq").alias("s")).first()
         kept = [x for x in manifest["log"] if x["last_seq"] > upto]
         gone = [x for x in manifest["log"] if x["last_seq"] <= upto]
-        segments = [*manifest["segments"], {"number": number, "documents": stored["d"], "last_seq": stored["s"]}] if stored["n"] else manifest["segments"]
+        segments = manifest["segments"]
+        if stored["n"]:
+            segments = [*self._overtaken(segments, number), {"number": number, "documents": stored["d"], "rows": stored["n"], "last_seq": stored["s"]}]
         self._save(manifest | {"segments": segments, "log": kept, "number": number})
         for x in gone:
             self.files.delete(f"{self.path}/log/{x['number']:08d}")
@@ -391,12 +459,31 @@ class Index:
             self._fold(plan)
         return {"flushed_documents": stored["d"], "seq": upto}
 
+    def _overtaken(self, segments: list[dict], number: int) -> list[dict]:
+        """``segments`` with the lists of their documents that the new segment ``number`` overtakes; only ids are read."""
+        if not segments:
+            return []
+        ids = self.spark.read.parquet(f"{self.path}/segments/{number:08d}").select("_id")
+        older = _union([self._segment(s).select("_id", "_deleted", F.lit(s["number"]).alias("segment")) for s in segments])
+        path = f"{self.path}/deletions/{number:08d}"
+        # sorted by segment, so a segment's list is few files
+        older.join(ids, "_id", "left_semi").repartitionByRange("segment", "_id").sortWithinPartitions("segment", "_id").write.mode("overwrite").partitionBy("segment").parquet(path)
+        found = self.spark.read.schema("_id string, _deleted boolean, segment bigint").parquet(path)
+        counts = {r["segment"]: r for r in found.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_deleted")).alias("d")).collect()}
+        return [s if (c := counts.get(s["number"])) is None else s | {"documents": s["documents"] - c["d"], "rows": s["rows"] - c["n"], "deletions": [*s.get("deletions", []), number]} for s in segments]
+
     def plan_merge(self) -> list[int]:
-        """Numbers of the segments to fold: all small ones where there are two or more, each of fewer documents than the threshold."""
+        """Numbers of the segments to fold: all small ones where there are two or more, each of fewer documents than the threshold; else a
+        lone segment of at least as many that holds deleted documents, which only a merge takes out."""
         threshold = self.settings.merge_threshold_docs or DEFAULT_MERGE_THRESHOLD
-        small = [s["number"] for s in self.manifest["segments"] if 0 < s["documents"] < threshold]
-        return small if len(small) >= 2 else []
-
+        segments = self.manifest["segments"]
+        small = [s["number"] for s in segments if 0 < s["documents"] < threshold]
+        if len(small) >= 2:
+            return small
+        lone = segments[0] if len(segments) == 1 else None
+        return [lone["number"]] if lone and lone["documents"] >= threshold and (lone["rows"] > lone["documents"] or lone.get("deletions")) else []
+
+    @_in_turn
     def merge(self) -> dict:
         """Folds the pending changes and all segments into one."""
         self.refresh()
@@ -404,6 +491,7 @@ class Index:
         numbers = [s["number"] for s in self.manifest["segments"]]
         return {"merged_documents": self._fold(numbers)}
 
+    @_in_turn
     def _fold(self, numbers: list[int]) -> int:
         manifest = self.manifest
         chosen = [s for s in manifest["segments"] if s["number"] in numbers]
@@ -411,14 +499,13 @@ class Index:
             return 0
         number = manifest["number"] + 1
         path = f"{self.path}/segments/{number:08d}"
-        parts = self._segments(manifest | {"segments": chosen})
-        rows = _union([_not_overtaken(p, parts[:i] + parts[i + 1:]) for i, p in enumerate(parts)])
+        rows = _union(self._segments(manifest | {"segments": chosen}))
         if len(chosen) == len(manifest["segments"]):  # no older segment is left that a tombstone could be for
             rows = rows.where("not _deleted")
         rows.write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path).agg(F.count_if(~F.col("_deleted")).alias("d"), F.max("_seq").alias("s")).first()
+        stored = self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_deleted")).alias("d"), F.max("_seq").alias("s")).first()
         rest = [s for s in manifest["segments"] if s["number"] not in numbers]
-        self._save(manifest | {"segments": [*rest, {"number": number, "documents": stored["d"], "last_seq": stored["s"]}], "number": number})
+        self._save(manifest | {"segments": [*rest, {"number": number, "documents": stored["d"], "rows": stored["n"], "last_seq": stored["s"]}], "number": number})
         for s in chosen:
             self.files.delete(f"{self.path}/segments/{s['number']:08d}")
         self._search.clear()
@@ -431,6 +518,7 @@ class Index:
             raise InvalidRequest("a snapshot name has no separators")
         return f"{self.path}/snapshots/{name}"
 
+    @_in_turn
     def create_snapshot(self, name: str) -> dict:
         """A copy of all documents, unrefreshed changes included."""
         path = self._snapshot_path(name)
@@ -439,7 +527,7 @@ class Index:
         manifest = self.manifest
         self._state(manifest, None).where("not _deleted").select("_id", "_seq", "_deleted", "_source").write.mode("overwrite").parquet(f"{path}/data")
         meta = {"name": name, "created_at": _now(), "seq": manifest["next_seq"] - 1, "mappings": self.mapping} | _checksum(self.spark.read.parquet(f"{path}/data"))
-        self.files.write_json(f"{path}/meta.json", meta)
+        self.files.create_json(f"{path}/meta.json", meta)
         return meta
 
     def snapshots(self) -> list[dict]:
@@ -455,6 +543,7 @@ class Index:
     def delete_snapshot(self, name: str) -> None:
         self.files.delete(self._snapshot_path(name))
 
+    @_in_turn
     def restore_snapshot(self, name: str) -> dict:
         """Replaces the index's state; pending changes are gone."""
         meta = self.get_snapshot(name)
@@ -465,7 +554,7 @@ class Index:
         self._set_mapping(meta["mappings"])
         number = manifest["number"] + 1
         self._typed(data, meta["mappings"]).write.mode("overwrite").parquet(f"{self.path}/segments/{number:08d}")
-        self._save(manifest | {"segments": [{"number": number, "documents": meta["documents"], "last_seq": meta["seq"]}], "log": [], "refreshed_seq": manifest["next_seq"] - 1, "number": number})
+        self._save(manifest | {"segments": [{"number": number, "documents": meta["documents"], "rows": meta["documents"], "last_seq": meta["seq"]}], "log": [], "refreshed_seq": manifest["next_seq"] - 1, "number": number})
         self._search.clear()
         return meta
 
@@ -546,11 +635,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _not_overtaken(part: DataFrame, others: list[DataFrame]) -> DataFrame:
-    if not others:
-        return part
-    newer = _union([o.select(F.col("_id").alias("_i"), F.col("_seq").alias("_s")) for o in others])
-    return part.join(newer, (F.col("_id") == F.col("_i")) & (F.col("_seq") < F.col("_s")), "left_anti")
+def _row_hash() -> Any:
+    return F.xxhash64("_id", "_seq", "_deleted", "_source")
 
 
 def _columns(mapping: mp.Mapping) -> mp.Mapping:

@@ -237,3 +237,94 @@ def test_shared_folder_setting():
     assert shared_root(alone) == shared_root(alone) and shared_root(alone).startswith("file:///")
     with pytest.raises(RuntimeError):
         shared_root(Conf("spark://x"))
+
+
+def one(k, n):
+    return {"index": {"id": str(k), "source": {"n": n}}}
+
+
+def test_segments_are_read_beside_their_deletions(store):
+    store.create_index("d", Settings(merge_threshold_docs=1))
+    index = store.open("d")
+    for part in ([one(k, k) for k in range(6)], [one(1, 10), {"delete": {"id": "2"}}], [one(2, 20), one(1, 11), {"delete": {"id": "5"}}]):
+        index.bulk(part)
+        index.refresh(), index.flush()
+    segments = index.manifest["segments"]
+    assert [(s["documents"], s["rows"], len(s.get("deletions", []))) for s in segments] == [(3, 3, 2), (0, 0, 1), (2, 3, 0)]
+    want = {"0": 0, "1": 11, "2": 20, "3": 3, "4": 4}
+    assert {r["_id"]: r["n"] for r in index.searchable().collect()} == want
+    index.bulk([one(0, 1), {"delete": {"id": "3"}}])
+    index.refresh()
+    want = {"0": 1, "1": 11, "2": 20, "4": 4}
+    assert {r["_id"]: r["n"] for r in index.searchable().collect()} == want
+    assert index.merge()["merged_documents"] == 4 and {r["_id"]: r["n"] for r in index.searchable().collect()} == want
+
+
+def test_a_lone_large_segment_is_merged_if_it_holds_deleted_documents(store):
+    store.create_index("l", Settings(merge_threshold_docs=3))
+    index = store.open("l")
+    index.bulk([one(k, k) for k in range(5)] + [{"delete": {"id": "0"}}])
+    index.refresh(), index.flush()
+    # the flush has planned and made the merge
+    assert [(s["documents"], s["rows"]) for s in index.manifest["segments"]] == [(4, 4)] and index.plan_merge() == []
+
+
+class Killed(BaseException):
+    pass
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_a_writer_that_dies_in_a_flush(store, index, monkeypatch, after):
+    from skerry import files
+
+    index.bulk([one(k, k) for k in range(4)])
+    index.refresh()
+    real = files.create_exclusive
+
+    def create(*a):
+        if after:
+            real(*a)
+        raise Killed
+
+    monkeypatch.setattr(files, "create_exclusive", create)
+    with pytest.raises(Killed):
+        index.flush()
+    monkeypatch.undo()
+    again = store.open("logs")
+    assert found(again) == ["0", "1", "2", "3"]
+    again.bulk([one(9, 9)])
+    again.refresh(), again.flush()
+    assert found(again) == ["0", "1", "2", "3", "9"]
+
+
+def test_an_overtaken_writer_is_refused(store, index):
+    from skerry.files import ConcurrentWrite
+
+    old = index.manifest
+    store.open("logs").bulk([one(1, 1)])
+    with pytest.raises(ConcurrentWrite):
+        index._save(old | {"next_seq": 99})
+    index.bulk([one(2, 2)])
+    index.refresh()
+    assert found(index) == ["1", "2"]
+
+
+def test_writers_of_one_process_take_turns(store, index):
+    import threading
+
+    threads = [threading.Thread(target=lambda k=k: store.open("logs").bulk([one(k, k)])) for k in range(4)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    index.refresh()
+    assert found(index) == ["0", "1", "2", "3"]
+
+
+def test_a_damaged_log_is_noticed(spark, index):
+    index.bulk([one(1, 1), one(2, 2)])
+    index.verify_log()
+    part = f"{index.path}/log/{index.manifest['log'][0]['number']:08d}"
+    spark.read.parquet(part).where("_id = '1'").coalesce(1).write.mode("append").parquet(part)
+    with pytest.raises(InvalidRequest):
+        index.verify_log()
+    index.refresh()
+    with pytest.raises(InvalidRequest):
+        index.flush()
