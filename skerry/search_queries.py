@@ -13,6 +13,7 @@ from .operators.index import SearchIndex
 from .operators.postings import Postings
 from .operators.search import aggregate, fragments, matches, page, search, sort_values
 from .plans import ast, dsl, qstring
+from .plans import mapping as mp
 from .session import scratch_path
 from .sources.tables import table
 
@@ -210,7 +211,28 @@ def _highlight(spark: SparkSession, folder: str) -> DataFrame:
     index = docs(spark, folder)
     request = dsl.request({"query": {"match": {"text": "merge planner"}}, "size": 50})
     result = search(index, request, highlight=True)
-    return result.hits.select("_id", F.explode("_highlight").alias("field", "fragments"))
+    each = result.hits.select("_id", F.explode("_highlight").alias("field", "fragments"))
+    return each.select("_id", "field", F.posexplode("fragments").alias("place", "fragment"))
+
+
+def _typed_fields(spark: SparkSession, folder: str) -> SearchIndex:
+    """Orders with a boolean and an object field."""
+    o = table(spark, folder, "orders")
+    info = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), (F.col("o_custkey") % 5).alias("group")))
+    index = SearchIndex.from_table(o.select("o_orderkey", "o_orderstatus", (F.col("o_orderstatus") == "O").alias("open"), info.alias("info")), "o_orderkey")
+    return SearchIndex(index.df, index.mapping | {"info": mp.OBJECT})
+
+
+def _refused(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that can't work on the mapping, or are no requests, with their status."""
+    from .plans.response import multi_search
+
+    agg = lambda kind, field, **more: {"aggs": {"a": {kind: {"field": field, **more}}}}
+    bodies = [
+        {"query": {"range": {"o_orderstatus": {"gte": "A"}}}}, {"query": {"range": {"open": {"gte": 1}}}}, agg("terms", "info"), agg("stats", "o_orderstatus"), agg("date_histogram", "o_orderkey", interval="day"), {"sort": {"info": {"order": "asc"}}},
+        {"query": {"term": {"info": "x"}}}, {"query": {"match": {"o_orderkey": "x"}}}, {"query": {"nothing": {}}}, {"size": 10**9, "from": 10**9}, {"search_after": [1, 1.0, "1"]}, {"query": {"multi_match": {"query": "x", "fields": {}}}},
+    ]
+    return multi_search(spark, {"orders": _typed_fields(spark, folder)}, [("orders", b) for b in bodies] + [("nowhere", {})]).select("item", "status")
 
 
 def _highlight_one(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,8 +306,11 @@ def queries() -> dict[str, Q]:
         "range_timestamp": scored(events, {"range": {"ts": {"gte": "2024-01-05T00:00:00Z", "lt": "2024-01-06T02:00:00+02:00"}}}, "ts"),
         "range_open": scored(events, {"range": {"field": "value", "gt": None}}),
         "prefix": scored(parts, {"prefix": {"p_type": "ECO"}}, "p_type"),
-        "prefix_documents": scored(docs, {"prefix": {"text": "The mer"}}),
-        "wildcard": scored(parts, {"wildcard": {"p_brand": "Brand#1?"}}, "p_brand"),
+        "prefix_documents": scored(docs, {"prefix": {"text": "The"}}),
+        "wildcard": scored(parts, {"wildcard": {"p_name": "*r*g*"}}, "p_name"),
+        "wildcard_one": scored(docs, {"wildcard": {"kind": "r?nb*k"}}, "kind"),
+        "term_boolean": scored(_typed_fields, {"term": {"open": True}}),
+        "refused_requests": _refused,
         "match": scored(docs, {"match": {"text": "merge Planner lease merge"}}),
         "bool_must_should": scored(docs, {"bool": {"must": [{"match": {"text": "merge planner"}}], "should": [{"term": {"lang": "en"}}, {"term": {"text": "lease"}}]}}),
         "bool_filter_must_not": scored(events, {"bool": {"filter": [{"term": {"event_type": "error"}}], "must_not": [{"range": {"value": {"lt": 50}}}]}}),
@@ -385,8 +410,22 @@ SELECT _id, round(avg(s), 6) AS _score FROM q GROUP BY _id ORDER BY _score DESC,
         "range_timestamp": one.format(k="event_id", more=", ts", t="events", where=" WHERE ts >= '2024-01-05' AND ts < '2024-01-06'"),
         "range_open": one.format(k="event_id", more="", t="events", where=" WHERE value IS NOT NULL"),
         "prefix": "SELECT CAST(p_partkey AS VARCHAR) AS _id, round(2.2 / (1 + 1.2 * (0.25 + 0.75 * len(string_split(p_type, ' ')) / a)), 6) AS _score, p_type FROM part, (SELECT greatest(avg(len(string_split(p_type, ' '))), 1.0) AS a FROM part) WHERE starts_with(p_type, 'ECO')",
-        "prefix_documents": doc_sql(["the mer"], "SELECT _id, CAST(0.0 AS DOUBLE) AS _score FROM d WHERE false"),
-        "wildcard": "SELECT CAST(p_partkey AS VARCHAR) AS _id, 0.0 AS _score, p_brand FROM part WHERE false",
+        "prefix_documents": doc_sql(["the"], f""", w AS (SELECT _id, len(t_text) AS dl, unnest(t_text) AS word FROM d WHERE starts_with(text, 'The')),
+o AS (SELECT _id, dl, word, count(*) AS k FROM w WHERE starts_with(word, 'the') GROUP BY ALL)
+SELECT _id, round(sum(k * (CASE WHEN word = 'the' THEN {idf(0)} ELSE 1.0 END) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * dl / a_text))), 6) AS _score FROM o, st GROUP BY _id"""),
+        "wildcard": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS _id, p_name, string_split(lower(p_name), ' ') AS t FROM part), a AS (SELECT greatest(avg(len(t)), 1.0) AS a FROM d),
+w AS (SELECT _id, p_name, len(t) AS dl, unnest(t) AS word FROM d WHERE regexp_full_match(p_name, '.*r.*g.*')),
+o AS (SELECT _id, p_name, dl, word, count(*) AS k FROM w WHERE regexp_full_match(word, '.*r.*g.*') GROUP BY ALL)
+SELECT _id, round(sum(k * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS _score, p_name FROM o, a GROUP BY _id, p_name""",
+        "wildcard_one": "SELECT CAST(doc_id AS VARCHAR) AS _id, 1.0 AS _score, kind FROM documents WHERE regexp_full_match(kind, 'r.nb.*k')",
+        "term_boolean": one.format(k="o_orderkey", more="", t="orders", where=" WHERE o_orderstatus = 'O'"),
+        "refused_requests": "SELECT CAST(i AS INTEGER) AS item, CASE WHEN i = 12 THEN 404 ELSE 400 END AS status FROM range(13) AS r(i)",
+        "highlight": doc_sql(["merge", "planner"], f""", h AS (SELECT d.*, {some(["merge", "planner"])} AS score FROM d, st), top AS (SELECT * FROM h WHERE score IS NOT NULL ORDER BY round(score, 6) DESC, _id LIMIT 50),
+f AS ({" UNION ALL ".join(f"SELECT _id, '{f}' AS field, {f} AS v FROM top" for f in DOC_TEXTS)}),
+p AS (SELECT _id, field, v, unnest(string_split(translate(v, '{_FROM}', '{_TO}'), ' ')) AS word, generate_subscripts(string_split(translate(v, '{_FROM}', '{_TO}'), ' '), 1) AS i FROM f),
+o AS (SELECT *, CAST(sum(length(word) + 1) OVER (PARTITION BY _id, field ORDER BY i) - length(word) - 1 AS BIGINT) AS pos FROM p),
+m AS (SELECT *, row_number() OVER (PARTITION BY _id, field ORDER BY pos) - 1 AS place FROM o WHERE word IN ('merge', 'planner'))
+SELECT _id, field, CAST(place AS INTEGER) AS place, substr(v, greatest(pos - 50, 0) + 1, pos - greatest(pos - 50, 0)) || '<em>' || substr(v, pos + 1, length(word)) || '</em>' || substr(v, pos + length(word) + 1, 30) AS fragment FROM m WHERE place < 3"""),
         "match": doc_sql(_W, hits_sql(f"(CASE WHEN {tf('merge')} > 0 OR {tf('planner')} > 0 OR {tf('lease')} > 0 THEN 2 * coalesce({three[0]}, 0) + coalesce({three[1]}, 0) + coalesce({three[2]}, 0) END)")),
         "bool_must_should": doc_sql(["merge", "planner", "lease", "en"], f"SELECT _id, round((m + coalesce(a, 0) + coalesce(b, 0)) / (1 + (a IS NOT NULL)::INT + (b IS NOT NULL)::INT), 6) AS _score FROM (SELECT _id, {must} AS m, {s1} AS a, {s2} AS b FROM d, st) WHERE m IS NOT NULL"),
         "bool_filter_must_not": one.format(k="event_id", more="", t="events", where=" WHERE event_type = 'error' AND NOT coalesce(value < 50, false)"),

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .api import Api
 from .operators.search import matches
 from .plans import dsl
 from .session import scratch_path
@@ -114,8 +115,33 @@ def stream_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("key string, doc_count bigint").parquet(f"{path}/out")
 
 
+def service_life(spark: SparkSession, folder: str) -> DataFrame:
+    """An index's life by the service's calls, each with its status and what its response says."""
+    api = Api(Store(spark, scratch_path(spark, "store")))
+    nations = table(spark, folder, "nation").orderBy("n_nationkey").collect()  # a fixed small table
+    docs = [{"index": {"id": str(r["n_nationkey"]), "source": {"name": r["n_name"], "region": r["n_regionkey"], "ts": r["n_nationkey"] * 1000}}} for r in nations]
+    calls = [
+        ("PUT", "/nations", {"settings": {"primary_time_field": "ts"}}, lambda b: b["name"]), ("PUT", "/nations", None, None), ("PUT", "/Bad", None, None), ("GET", "/nations", None, lambda b: b["settings"]["primary_time_field"]), ("GET", "/none", None, None),
+        ("POST", "/nations/_bulk", {"operations": docs}, lambda b: len(b["items"])), ("POST", "/nations/_refresh", None, lambda b: b["refreshed_operations"]), ("GET", "/nations/_doc/3", None, lambda b: b["_source"]["name"]), ("GET", "/nations/_doc/x", None, lambda b: b["found"]),
+        ("POST", "/nations/_doc", {"id": "1"}, None), ("POST", "/nations/_flush", None, lambda b: b["flushed_documents"]), ("GET", "/nations/_search?q=region:1", None, lambda b: b["hits"]["total"]["value"]), ("GET", "/nations/_search", None, None),
+        ("POST", "/nations/_search", {"sort": {"name": {"order": "desc"}}, "size": 2}, lambda b: ",".join(h["_id"] for h in b["hits"]["hits"])), ("POST", "/nations/_search", {"query": {"x": 1}}, None),
+        ("POST", "/nations/_suggest", {"prefix": "NATION_1", "fields": {"name": 1}, "size": 50}, lambda b: len(b["suggestions"])), ("POST", "/nations/_snapshot/b", None, lambda b: b["documents"]), ("POST", "/nations/_snapshot/a", None, lambda b: b["documents"]), ("POST", "/nations/_snapshot/a", None, None),
+        ("GET", "/nations/_snapshot", None, lambda b: ",".join(x["name"] for x in b["snapshots"])), ("GET", "/nations/_snapshot/b", None, lambda b: b["documents"]), ("DELETE", "/nations/_snapshot/b", None, None), ("GET", "/nations/_snapshot/b", None, None),
+        ("PUT", "/nations/_settings", {"retention_secs": 3600}, lambda b: b["settings"]["retention_secs"]), ("evict", None, None, None), ("POST", "/nations/_snapshot/a/_restore", None, lambda b: b["documents"]), ("POST", "/_msearch", {"requests": [{"index": "nations"}, {"index": "none"}]}, lambda b: ",".join(str(r["status"]) for r in b["responses"])),
+        ("GET", "/_health", None, lambda b: b["status"]), ("DELETE", "/nations", None, None), ("GET", "/nations", None, None),
+    ]
+    rows = []
+    for step, (method, path, body, says) in enumerate(calls):
+        if method == "evict":
+            rows.append((step, 200, str(api.store.open("nations").evict(datetime.fromtimestamp(13_600, timezone.utc)))))
+            continue
+        status, answer = api.request(method, path, body)
+        rows.append((step, status, str(says(answer)) if says else None))
+    return spark.createDataFrame(rows, "step int, status int, says string")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (bulk_last_write_wins, flush_and_merge, snapshot_restore, retention, mapping_inference, get_document, stream_ingest, stream_histogram)}
+    return {f.__name__: f for f in (bulk_last_write_wins, flush_and_merge, snapshot_restore, retention, mapping_inference, get_document, stream_ingest, stream_histogram, service_life)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -134,6 +160,15 @@ t AS (SELECT entry_id, field, CASE json_type(value)
 SELECT field, arg_min(type, entry_id) AS type FROM t GROUP BY field"""
     return {
         "mapping_inference": types,
+        "service_life": """SELECT CAST(step AS INTEGER) AS step, CAST(status AS INTEGER) AS status, says FROM (SELECT unnest([
+  {'step': 0, 'status': 201, 'says': 'nations'}, {'step': 1, 'status': 409, 'says': NULL}, {'step': 2, 'status': 400, 'says': NULL}, {'step': 3, 'status': 200, 'says': 'ts'}, {'step': 4, 'status': 404, 'says': NULL},
+  {'step': 5, 'status': 200, 'says': n}, {'step': 6, 'status': 200, 'says': n}, {'step': 7, 'status': 200, 'says': third}, {'step': 8, 'status': 404, 'says': 'False'}, {'step': 9, 'status': 400, 'says': NULL},
+  {'step': 10, 'status': 200, 'says': n}, {'step': 11, 'status': 200, 'says': ones}, {'step': 12, 'status': 400, 'says': NULL}, {'step': 13, 'status': 200, 'says': last}, {'step': 14, 'status': 400, 'says': NULL},
+  {'step': 15, 'status': 200, 'says': begins}, {'step': 16, 'status': 201, 'says': n}, {'step': 17, 'status': 201, 'says': n}, {'step': 18, 'status': 409, 'says': NULL}, {'step': 19, 'status': 200, 'says': 'b,a'},
+  {'step': 20, 'status': 200, 'says': n}, {'step': 21, 'status': 200, 'says': NULL}, {'step': 22, 'status': 404, 'says': NULL}, {'step': 23, 'status': 200, 'says': '3600'}, {'step': 24, 'status': 200, 'says': old},
+  {'step': 25, 'status': 200, 'says': n}, {'step': 26, 'status': 200, 'says': '200,404'}, {'step': 27, 'status': 200, 'says': 'ok'}, {'step': 28, 'status': 200, 'says': NULL}, {'step': 29, 'status': 404, 'says': NULL}], recursive := true)
+FROM (SELECT CAST(count(*) AS VARCHAR) AS n, max(CASE WHEN n_nationkey = 3 THEN n_name END) AS third, CAST(count(*) FILTER (n_regionkey = 1) AS VARCHAR) AS ones,
+  array_to_string(list(CAST(n_nationkey AS VARCHAR) ORDER BY n_name DESC)[1:2], ',') AS last, CAST(count(*) FILTER (starts_with(n_name, 'NATION_1')) AS VARCHAR) AS begins, CAST(count(*) FILTER (n_nationkey * 1000 + 3600 <= 13600) AS VARCHAR) AS old FROM nation))""",
         "bulk_last_write_wins": by_order,
         "flush_and_merge": last.replace("KEY", "(o_orderkey % 3) * 1000000000 + o_orderkey"),
         "snapshot_restore": by_order,
