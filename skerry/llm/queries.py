@@ -16,8 +16,11 @@ def _arrow_bytes(spark: SparkSession) -> None:
 
 
 def _banded(spark: SparkSession, folder: str) -> DataFrame:
-    occurrences = term_counts.posting_occurrences(table(spark, folder, "postings"))
-    return term_counts.with_bands(term_counts.ngram_counts(occurrences), term_counts.group_sizes(occurrences))
+    postings = table(spark, folder, "postings")
+    rows = term_counts.posting_rows(postings)
+    # records and hot terms are told by the postings before they are unfolded to positions
+    counts = term_counts.ngram_counts(term_counts.posting_occurrences(postings), hot=term_counts.hot_starts(rows, "t"))
+    return term_counts.with_bands(counts, term_counts.group_sizes(rows))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,6 +37,14 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("index_name", "term", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("records", F.lit(0)).alias("doc_freq"), F.coalesce("band", F.lit("rare")).alias("band"), "suggested_doc_freq")
 
 
+def p1_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The postings' n-grams of up to three terms by position within a record's field, with their counts per index and bands."""
+    postings = table(spark, folder, "postings")
+    placed = term_counts.posting_occurrences(postings).filter("p is not null")
+    counts = term_counts.with_bands(term_counts.ngram_counts(placed, 3), term_counts.group_sizes(placed))
+    return counts.select(F.col("g").alias("index_name"), "t1", "t2", "t3", "n", "occurrences", "records", "band")
+
+
 def _ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
     return term_counts.count_suffixes(term_counts.text_suffixes(table(spark, folder, "documents"), "doc_id", "text", 3), 3)
 
@@ -87,7 +98,7 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_terms, p1_ngrams, p1_ngram_bands, p2_found, p2_scores, p7_ids, p8_containers, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p1_ngrams, p1_ngram_bands, p2_found, p2_scores, p7_ids, p8_containers, p9_pieces)}
 
 
 _TERM = "translate(trim(term, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,6 +118,12 @@ def oracle_sql() -> dict[str, str]:
         "p1_terms": f"""{_BANDS}, sug AS (SELECT index_name, {_TERM} AS term, max(doc_freq) AS suggested_doc_freq FROM suggest_entries WHERE term IS NOT NULL GROUP BY ALL)
 SELECT index_name, term, coalesce(occurrences, 0) AS occurrences, coalesce(doc_freq, 0) AS doc_freq, coalesce(band, 'rare') AS band, suggested_doc_freq
 FROM banded FULL JOIN sug USING (index_name, term)""",
+        "p1_phrases": f"""WITH {_OCCURRENCES},
+x AS (SELECT index_name, doc_id, term AS t1, lead(term, 1) OVER w AS t2, lead(term, 2) OVER w AS t3 FROM occ WHERE p IS NOT NULL WINDOW w AS (PARTITION BY index_name, doc_id, field ORDER BY p, term)),
+g AS (SELECT index_name, doc_id, t1, NULL::VARCHAR AS t2, NULL::VARCHAR AS t3, 1 AS n FROM x UNION ALL SELECT index_name, doc_id, t1, t2, NULL, 2 FROM x WHERE t2 IS NOT NULL UNION ALL SELECT index_name, doc_id, t1, t2, t3, 3 FROM x WHERE t3 IS NOT NULL),
+c AS (SELECT index_name, t1, t2, t3, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY ALL),
+z AS (SELECT index_name, count(DISTINCT doc_id) AS total FROM occ WHERE p IS NOT NULL GROUP BY ALL)
+SELECT c.*, CASE WHEN records <= 2 THEN 'rare' WHEN records * 10 > total * 6 THEN 'common' ELSE 'useful' END AS band FROM c JOIN z USING (index_name)""",
         "p1_ngrams": f"""WITH w AS (SELECT doc_id, list_filter(string_split(translate(text, '{term_counts._UPPER + term_counts._BLANKS}', '{term_counts._LOWER + " " * len(term_counts._BLANKS)}'), ' '), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
 SELECT ngram, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY ALL""",

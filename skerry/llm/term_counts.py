@@ -22,15 +22,20 @@ def normal_term(c: Column) -> Column:
     return F.translate(F.trim(c), _UPPER, _LOWER)
 
 
-def posting_occurrences(postings: DataFrame, group: str = "index_name", record: str = "doc_id", section: str = "field", term: str = "term", positions: str = "positions") -> DataFrame:
-    """(g, r, s, p, t): a row per position of a posting, or one of null position where a posting has none.
+def posting_rows(postings: DataFrame, group: str = "index_name", record: str = "doc_id", section: str = "field", term: str = "term", positions: str = "positions") -> DataFrame:
+    """(g, r, s, t, ps): the postings with their terms in one spelling and their distinct positions.
 
     Rows without a term or record are left out: they say nothing about either.
     """
     rows = postings.select(
         postings[group].alias("g"), postings[record].alias("r"), postings[section].alias("s"), normal_term(postings[term]).alias("t"), F.array_distinct(postings[positions]).alias("ps")
     )
-    return rows.filter("t is not null and r is not null").select("g", "r", "s", "t", F.explode_outer("ps").alias("p"))
+    return rows.filter("t is not null and r is not null")
+
+
+def posting_occurrences(postings: DataFrame, **columns: str) -> DataFrame:
+    """(g, r, s, t, p): a row per position of a posting, or one of null position where a posting has none; ``columns`` as for ``posting_rows``."""
+    return posting_rows(postings, **columns).select("g", "r", "s", "t", F.explode_outer("ps").alias("p"))
 
 
 def text_suffixes(df: DataFrame, key: str, text: str, max_n: int, group: Column | None = None) -> DataFrame:
@@ -102,8 +107,9 @@ class PrefixStack:
                 prefix, count, records = held
                 if prefix == first[: d + 1]:
                     counts[0] += count
-                    records.append(_records(pairs, 0))
-                    distinct[0] = len(records_union(records))
+                    add_records(records, _records(pairs, 0))
+                    if len(starts) > 1:  # it ends in this batch
+                        distinct[0] = len(records_union(records))
                 else:
                     self._pop(d, prefix, count, records)
             end = len(starts) - 1
@@ -142,6 +148,13 @@ def records_union(records: list) -> pa.Array:
     return records[0]
 
 
+def add_records(records: list, more: pa.Array) -> None:
+    """Adds a chunk; they are made distinct once the new ones outgrow the old, so each is looked at a few times in all."""
+    records.append(more)
+    if sum(map(len, records[1:])) > len(records[0]):
+        records_union(records)
+
+
 def _records(pairs: pa.Table, run: int) -> pa.Array:
     got = pairs["r"].filter(pc.equal(pairs["run"], run)).combine_chunks()
     return got.chunk(0) if isinstance(got, pa.ChunkedArray) else got
@@ -155,23 +168,23 @@ def _nulls(column: pa.Array) -> np.ndarray:
     return column.is_null().to_numpy(zero_copy_only=False)
 
 
-def ngram_counts(occurrences: DataFrame, max_n: int = 1, salts: int = SALTS) -> DataFrame:
+def ngram_counts(occurrences: DataFrame, max_n: int = 1, salts: int = SALTS, hot: list[int] | None = None) -> DataFrame:
     """(g, t1..tn, n, occurrences, records) of every n-gram of 1 to ``max_n`` terms of each group; see ``count_suffixes``."""
-    return count_suffixes(suffixes(occurrences, max_n), max_n, salts)
+    return count_suffixes(suffixes(occurrences, max_n), max_n, salts, hot)
 
 
-def hot_starts(rows: DataFrame) -> list[int]:
-    """Hashes of the (group, first term) pairs that hold more than a quarter of a partition's fair share of the suffixes.
+def hot_starts(rows: DataFrame, first: str = "t1") -> list[int]:
+    """Hashes of the (group, first term) pairs that hold more than a quarter of a partition's fair share of the rows.
 
     One pass with a bounded sketch; there are at most four times as many as partitions. It decides only how the work is spread.
     """
     parts = partitions(rows.sparkSession)
     most = min(4 * parts, 2000)
-    got = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(xxhash64(g, t1), {most}, {10 * most})").alias("top")).first()
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(xxhash64(g, {first}), {most}, {10 * most})").alias("top")).first()
     return [x["item"] for x in got["top"] or [] if x["count"] * 4 * parts > got["n"]]
 
 
-def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS) -> DataFrame:
+def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS, hot: list[int] | None = None) -> DataFrame:
     """(g, t1..tn, n, occurrences, records) from suffixes (g, r, s, p, t1..tn).
 
     Suffix-sorted counting: each occurrence gives one suffix of at most ``max_n`` terms; the
@@ -180,7 +193,7 @@ def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS) -> DataFrame
     begin with are routed by record too; record sets of different such salts are disjoint, so their
     counts are added up exactly. A repeated occurrence (same record, section, place) counts once;
     one of null place proves the record but counts as no occurrence of known place. Groups may
-    be null and are then their own group.
+    be null and are then their own group. ``hot`` are the ``hot_starts``, where they are known.
     """
     ship(rows.sparkSession)
     kinds, terms = dict(rows.dtypes), [f"t{j}" for j in range(1, max_n + 1)]
@@ -200,7 +213,7 @@ def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS) -> DataFrame
 
     order = [F.desc_nulls_last(t) for t in terms]
     begins = F.xxhash64("g", "t1")
-    hot = hot_starts(rows)
+    hot = hot_starts(rows) if hot is None else hot
     cold = rows.where(~begins.isin(hot)) if hot else rows
     counts = cold.repartition("g", "t1").sortWithinPartitions("g", *order, "r", "s", "p").select(*columns).mapInArrow(run, schema)
     if not hot:
@@ -210,9 +223,9 @@ def count_suffixes(rows: DataFrame, max_n: int, salts: int = SALTS) -> DataFrame
     return counts.unionByName(parts.groupBy("g", *terms, "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")))
 
 
-def group_sizes(occurrences: DataFrame) -> DataFrame:
+def group_sizes(rows: DataFrame) -> DataFrame:
     """(g, total): distinct records of each group."""
-    return occurrences.select("g", "r").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("total"))
+    return rows.select("g", "r").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("total"))
 
 
 def with_bands(counts: DataFrame, sizes: DataFrame, rare: int = 2, common_tenths: int = 6) -> DataFrame:
