@@ -428,11 +428,11 @@ def _scripts(work: DataFrame) -> DataFrame:
 
 def top_changes(changes: DataFrame) -> DataFrame:
     """(index_name, version, change_kind, field_name, old_name) of the top-level fields alone; one that moves into or out of an object is gone or new there."""
-    own = changes.where("depth = 1 and change_kind <> 'moved'").select("index_name", "version", "change_kind", "field_name", "old_name")
-    moved = changes.where("change_kind = 'moved'")
-    gone = moved.where("size(old_path) = 1").select("index_name", "version", F.lit("removed").alias("change_kind"), F.col("old_name").alias("field_name"), F.lit("").alias("old_name"))
-    come = moved.where("size(path) = 1").select("index_name", "version", F.lit("added").alias("change_kind"), "field_name", F.lit("").alias("old_name"))
-    return own.unionByName(gone).unionByName(come)
+    each = """filter(array(
+        CASE WHEN change_kind <> 'moved' AND depth = 1 THEN struct(change_kind, field_name, old_name) END,
+        CASE WHEN change_kind = 'moved' AND size(old_path) = 1 THEN struct('removed' as change_kind, old_name as field_name, '' as old_name) END,
+        CASE WHEN change_kind = 'moved' AND depth = 1 THEN struct('added' as change_kind, field_name, '' as old_name) END), c -> c IS NOT NULL)"""
+    return changes.select("index_name", "version", F.explode(F.expr(each)).alias("c")).select("index_name", "version", "c.*")
 
 
 # -- documents, log and mappings together -----------------------------------------------------
