@@ -1,23 +1,26 @@
-"""Searching by posting lists instead of texts: the fast path for word queries on a stored index."""
+"""Searching by posting lists instead of texts: the fast path for word queries and phrases on a stored index."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import ast, compile as cp
 from ..plans import mapping as mp
 from ..plans.errors import InvalidRequest
-from ..session import partitions, scratch_path
+from ..session import partitions, scratch_path, ship
 from . import mlt
 from .index import SearchIndex, Statistics
 
 
 @dataclass
 class Postings:
-    """Three tables: postings (term, field, _id, tf, dl) range-partitioned and sorted by term, so a query's
+    """Three tables: postings (term, field, _id, tf, dl, places) range-partitioned and sorted by term, so a query's
     few terms skip all other row groups; frequencies (term, df) likewise; lengths, one row of mean lengths per field."""
 
     index: SearchIndex
@@ -31,9 +34,7 @@ class Postings:
         spark = index.df.sparkSession
         path = path or scratch_path(spark, "postings")
         source = index.with_tokens(index.text_fields).select("_id", *[F.col(f"`_tok_{f}`") for f in index.text_fields])
-        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`_tok_{f}`").alias("tok")) for f in index.text_fields]))
-        rows = source.select("_id", each.alias("x")).select("_id", "x.field", F.size("x.tok").alias("dl"), F.explode("x.tok").alias("term"))
-        counted = rows.groupBy("term", "field", "_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        counted = term_places(source, index.text_fields)
         n = partitions(spark)
         # (term, _id) and not the term alone: a term that every document holds spreads over several ranges
         counted.repartitionByRange(n, "term", "_id").sortWithinPartitions("term", "_id").write.mode("overwrite").parquet(f"{path}/postings")
@@ -51,11 +52,11 @@ class Postings:
         return Postings(index, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), lengths, lengths.first()["_n"])
 
     def search(self, query: ast.Query) -> DataFrame:
-        """(_id, _score) of the matches of a query made of words (term, terms, match, multi_match, bool over them) and typed clauses.
+        """(_id, _score) of the matches of a query made of words (term, terms, match, phrase, multi_match, bool over them) and typed clauses.
 
         Row groups without a word of the query are skipped and texts aren't read. Documents are joined
-        only where typed clauses need their values, or where a match needs no word. Queries that need more of a
-        text (patterns, phrases, fuzzy terms) are refused.
+        only where typed clauses need their values, or where a match needs no word. Phrases go by the places of their words. Queries that need more of a
+        text (patterns, beginnings, fuzzy terms) are refused.
         """
         index, mapping = self.index, self.index.mapping
         exclude = None
@@ -65,7 +66,7 @@ class Postings:
                 return index.df.where("false").select("_id", F.lit(0.0).alias("_score"))
         wanted = cp.words_by_field(query, mapping)
         if wanted is None:
-            raise InvalidRequest("posting lists answer word queries and typed clauses only")
+            raise InvalidRequest("posting lists answer queries of words, phrases and typed clauses only")
         mp.validate_query(query, mapping)
         terms = sorted({w for _, w in wanted} | cp.query_terms(query))
         df = {r["term"]: r["df"] for r in self.frequencies.where(F.col("term").isin(terms)).collect()} if terms else {}
@@ -78,10 +79,21 @@ class Postings:
         for i, f in enumerate(sorted({f for f, _ in wanted})):
             given[("length", f)] = f"_dl{i}"
             columns.append(F.max(F.when(F.col("field") == f, F.col("dl"))).alias(f"_dl{i}"))
+        placed, begun = cp.placed_words(query, mapping)
+        for i, (f, w) in enumerate(sorted(placed)):
+            given[("places", f, w)] = f"_at{i}"
+            columns.append(F.max(F.when((F.col("field") == f) & (F.col("term") == w), F.col("places"))).alias(f"_at{i}"))
+        begins = F.lit(False)
+        for i, (f, w) in enumerate(sorted(begun)):
+            given[("last", f, w)] = f"_last{i}"
+            fits = (F.col("field") == f) & F.col("term").startswith(w)
+            begins = begins | fits
+            columns.append(F.max(F.when(fits, F.element_at("places", -1)["at"])).alias(f"_last{i}"))
         typed, must = cp.plain_fields(query, mapping), cp.needs_word(query, mapping)
         rows = None
         if columns:
             inside = F.col("term").isin(terms) & F.col("field").isin(sorted({f for f, _ in wanted}))
+            inside = inside | begins if begun else inside
             rows = self.postings.where(inside).groupBy("_id").agg(*columns)
         if rows is None or typed or not must:
             docs = index.df.select("_id", *[F.col(f"`{f}`") for f in sorted(typed)])
@@ -97,3 +109,32 @@ class Postings:
         """The best hits with all columns; only their rows of the documents are kept, by a broadcast of at most ``MAX_SIZE`` ids."""
         best = self.search(query).orderBy(F.desc("_score"), "_id").offset(start).limit(min(size, mp.MAX_SIZE))
         return self.index.df.join(F.broadcast(best), "_id").orderBy(F.desc("_score"), "_id")
+
+
+def term_places(source: DataFrame, fields: list[str]) -> DataFrame:
+    """(term, field, _id, dl, tf, places): each word of each field's tokens (``_tok_<field>``) with its places in rising order.
+
+    A place is the token's number from 1 and the byte where it starts if single spaces part the tokens.
+    """
+    ship(source.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for k, name in enumerate(fields, 1):
+                tokens = batch.column(k)
+                words = tokens.flatten()
+                if not len(words):
+                    continue
+                size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                first = (np.cumsum(size) - size)[row]
+                after = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+                before = np.concatenate([[0], after[:-1]])
+                at, byte = np.arange(len(row)) - first + 1, before - before[first]
+                cols = [ids.take(pa.array(row)), pa.array([name] * len(row)), pa.array(size[row], pa.int32()), words, pa.array(at, pa.int32()), pa.array(byte, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["_id", "field", "dl", "term", "at", "byte"])
+
+    rows = source.select("_id", *[F.col(f"`_tok_{f}`") for f in fields]).mapInArrow(run, "_id string, field string, dl int, term string, at int, byte int")
+    held = F.sort_array(F.collect_list(F.struct("at", "byte"))).alias("places")
+    return rows.groupBy("term", "field", "_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), held)

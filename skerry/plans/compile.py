@@ -66,10 +66,12 @@ def words_by_field(q: ast.Query, mapping: mp.Mapping) -> set[tuple[str, str]] |
         parts = [words_by_field(c, mapping) for c in ast.clauses(q)]
         return None if any(p is None for p in parts) else set().union(*parts)
     if isinstance(q, ast.MultiMatch):
-        return {(f, w) for f, _ in q.fields if text(f) for w in tx.tokenize(q.query)} if q.type in (ast.BEST_FIELDS, ast.MOST_FIELDS) else None
+        words = tx.tokenize(q.query)
+        # the last word of a phrase's beginning is one by which others begin
+        return {(f, w) for f, _ in q.fields if text(f) for w in (words[:-1] if q.type == ast.PHRASE_PREFIX else words)}
     if isinstance(q, (ast.MatchAll, ast.Range)) or not text(getattr(q, "field", None)):
         return None if isinstance(q, ast.MoreLikeThis) else set()
-    if isinstance(q, ast.Match):
+    if isinstance(q, (ast.Match, ast.Phrase)):
         return {(q.field, w) for w in tx.tokenize(q.value)}
     if isinstance(q, ast.Term):
         return None if q.fuzziness is not None else {(q.field, q.value.lower())} if isinstance(q.value, str) else set()
@@ -78,13 +80,27 @@ def words_by_field(q: ast.Query, mapping: mp.Mapping) -> set[tuple[str, str]] |
     return None
 
 
+def placed_words(q: ast.Query, mapping: mp.Mapping) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
+    """(field, word) whose places in the text the query looks at, and (field, beginning) of which it needs the last place of a word that begins so."""
+    if isinstance(q, ast.Bool):
+        parts = [placed_words(c, mapping) for c in ast.clauses(q)]
+        return set().union(*(p[0] for p in parts)), set().union(*(p[1] for p in parts))
+    if isinstance(q, ast.Phrase) and mapping.get(q.field) == mp.KEYWORD:
+        return {(q.field, w) for w in tx.tokenize(q.value)}, set()
+    if isinstance(q, ast.MultiMatch) and q.type in (ast.PHRASE, ast.PHRASE_PREFIX) and len(words := tx.tokenize(q.query)) > 1:
+        fields = [f for f, _ in q.fields if mapping.get(f) == mp.KEYWORD]
+        whole = q.type == ast.PHRASE
+        return {(f, w) for f in fields for w in (words if whole else words[:-1])}, set() if whole else {(f, words[-1]) for f in fields}
+    return set(), set()
+
+
 def needs_word(q: ast.Query, mapping: mp.Mapping) -> bool:
     """Every match holds at least one of the query's words."""
     if isinstance(q, ast.Bool):
         return any(needs_word(c, mapping) for c in q.must + q.filter) or _least(q) >= 1 and all(needs_word(c, mapping) for c in q.should)
     if isinstance(q, ast.MultiMatch):
         return True
-    return isinstance(q, (ast.Match, ast.Term, ast.Terms)) and mapping.get(q.field) == mp.KEYWORD
+    return isinstance(q, (ast.Match, ast.Phrase, ast.Term, ast.Terms)) and mapping.get(q.field) == mp.KEYWORD
 
 
 def plain_fields(q: ast.Query, mapping: mp.Mapping) -> set[str]:
@@ -366,6 +382,10 @@ class Compiler:
         there = F.lit(True)
         for w in words:
             total = total + F.coalesce(self._word(q.field, w), F.lit(0.0))
+        if self.given is not None:
+            if q.slop == 0:
+                return F.when(self._adjacent_starts(q.field, words).isNotNull(), total)
+            return self._by_gap(self._placed_gap(q.field, words), total)
         for w in sorted(set(words)):
             there = there & F.array_contains(tok, w)
         if q.slop == 0:
@@ -385,9 +405,42 @@ class Compiler:
 
         starts = F.filter(F.sequence(F.lit(1), F.size(tok)), lambda i: F.get(tok, i - 1) == words[0])
         ends = F.filter(F.transform(starts, follow), lambda s: s["at"].isNotNull())
-        gap = F.array_min(F.transform(ends, lambda s: s["gap"]))
+        return F.when(there, self._by_gap(F.array_min(F.transform(ends, lambda s: s["gap"])), total))
+
+    @staticmethod
+    def _by_gap(gap: Column, total: Column) -> Column:
         cost = F.when(gap > tx.FREE_GAP, F.lit(1.0) + F.lit(tx.GAP_COST) * gap).otherwise(F.lit(1.0))
-        return F.when(there, F.when(gap.isNotNull(), total / cost))
+        return F.when(gap.isNotNull(), total / cost)
+
+    # the same by the places of the words, as posting lists have them
+
+    def _places(self, name: str, word: str) -> Column:
+        return F.coalesce(F.col(f"`{self.given[('places', name, word)]}`"), F.expr("cast(array() as array<struct<at:int,byte:int>>)"))
+
+    def _placed_gap(self, name: str, words: list[str]) -> Column:
+        """The least of the largest distances from each place of the first word on, null where none leads to the last word."""
+
+        def follow(start: Column) -> Column:
+            def step(acc: Column, places: Column) -> Column:
+                ahead = F.get(F.filter(places, lambda p: p["at"] > acc["at"]), F.lit(0))
+                return F.struct(ahead["at"].alias("at"), ahead["byte"].alias("byte"), F.greatest(acc["gap"], ahead["byte"] - acc["byte"]).alias("gap"))
+
+            return F.aggregate(F.array(*[self._places(name, w) for w in words[1:]]), F.struct(start["at"].alias("at"), start["byte"].alias("byte"), F.lit(0).alias("gap")), step)
+
+        ends = F.filter(F.transform(self._places(name, words[0]), follow), lambda s: s["at"].isNotNull())
+        return F.array_min(F.transform(ends, lambda s: s["gap"]))
+
+    def _adjacent_starts(self, name: str, words: list[str]) -> Column:
+        """The first place where the words follow each other, null where they don't."""
+        others = [F.transform(self._places(name, w), lambda p: p["at"]) for w in words[1:]]
+
+        def whole(s: Column) -> Column:
+            ok = F.lit(True)
+            for k, places in enumerate(others, 1):
+                ok = ok & F.array_contains(places, s["at"] + F.lit(k))
+            return ok
+
+        return F.array_min(F.transform(F.filter(self._places(name, words[0]), whole), lambda s: s["at"]))
 
     @staticmethod
     def _adjacent(tok: Column, words: list[str]) -> Column:
@@ -405,7 +458,11 @@ class Compiler:
             scores = []
             for name, w in fields:
                 tok = self._tok(name)
-                if q.type == ast.PHRASE:
+                if self.given is not None:
+                    whole = q.type == ast.PHRASE
+                    start = self._adjacent_starts(name, words if whole else words[:-1])
+                    hit = start.isNotNull() if whole else F.coalesce(F.col(f"`{self.given[('last', name, words[-1])]}`") > start + F.lit(len(words) - 2), F.lit(False))
+                elif q.type == ast.PHRASE:
                     hit = self._adjacent(tok, words)
                 else:
                     # the last word begins some later token, adjacent or not

@@ -356,6 +356,8 @@ def queries() -> dict[str, Q]:
         "postings_match": by_postings({"match": {"text": "merge planner lease"}}),
         "postings_multi_match": by_postings({"multi_match": {"query": "merge planner", "fields": _MM, "tie_breaker": 0.3}}),
         "postings_bool": by_postings(_MIXED),
+        "postings_phrase": by_postings({"phrase": {"text": "merge planner"}}),
+        "postings_phrase_prefix": by_postings({"multi_match": {"query": "merge planner la", "fields": _MM, "type": "phrase_prefix"}}),
         "postings_topk": lambda spark, folder: posting_lists(spark, folder).page(dsl.query({"match": {"text": "merge planner lease"}}), 25).select("_id", "_score", "title"),
     }
 
@@ -392,6 +394,8 @@ SELECT _id, round(avg(s), 6) AS _score FROM q GROUP BY _id ORDER BY _score DESC,
     hist = lambda u: f"SELECT strftime(date_trunc('{u}', ts), '%Y-%m-%dT%H:%M:%SZ') AS key, count(*) AS doc_count FROM events GROUP BY ALL"
     low = f"(' ' || translate(text, '{_FROM}', '{_TO}') || ' ')"
     lang = f"SELECT _id, round(score, 6) AS _score FROM (SELECT d._id, greatest(coalesce({bm(0, 'en', 'lang')}, 0), coalesce({bm(1, 'fr', 'lang')}, 0)) AS score FROM d, st) WHERE score > 0"
+    phrase_ordered = doc_sql(["merge", "planner"], phrase)
+    phrase_begun = doc_sql(["merge", "planner", "la"], hits_sql(f"greatest(CASE WHEN {follows('text')} THEN {idf(0)} + {idf(1)} + {idf(2)} END, CASE WHEN {follows('title')} THEN 2 * ({idf(0)} + {idf(1)} + {idf(2)}) END)"))
     must = some(["merge", "planner"])
     s1, s2 = bm(3, "en", "lang"), bm(2, "lease")
     three = [bm(i, w) for i, w in enumerate(_W)]
@@ -450,13 +454,15 @@ SELECT _id, field, CAST(place AS INTEGER) AS place, substr(v, greatest(pos - 50,
         "score_sort_topk": doc_sql(_W, hits_sql(some(_W)) + " ORDER BY _score DESC, _id LIMIT 25"),
         "fuzzy_exact": one.format(k="r_regionkey", more=", r_name", t="region", where=" WHERE levenshtein(r_name, 'ASIB') <= 1"),
         "fuzzy_auto": one.format(k="p_partkey", more=", p_type", t="part", where=" WHERE levenshtein(p_type, 'PROMOO') <= 2"),
-        "phrase_ordered": doc_sql(["merge", "planner"], phrase).replace("FROM d)\n, w AS", "FROM d), w AS"),
+        "phrase_ordered": phrase_ordered,
+        "postings_phrase": phrase_ordered,
+        "postings_phrase_prefix": phrase_begun,
         "phrase_adjacent": doc_sql(["merge", "planner"], hits_sql(f"CASE WHEN {adjacent('text')} THEN {some(['merge', 'planner'])} END")),
         "multi_match_best_fields": doc_sql(["merge", "planner"], hits_sql(f"greatest({a}, {b})")),
         "multi_match_tie_breaker": doc_sql(["merge"], f"SELECT _id, round(greatest(a, b) + 0.3 * (coalesce(a, 0) + coalesce(b, 0) - greatest(a, b)), 6) AS _score FROM (SELECT _id, 2 * {bm(0, 'merge')} AS a, 4 * {bm(0, 'merge', 'title')} AS b FROM d, st) WHERE a IS NOT NULL OR b IS NOT NULL"),
         "multi_match_most_fields": doc_sql(["merge", "planner"], f"SELECT _id, round(coalesce(a, 0) + coalesce(b, 0), 6) AS _score FROM (SELECT _id, {a} AS a, {b} AS b FROM d, st) WHERE a IS NOT NULL OR b IS NOT NULL"),
         "multi_match_phrase": doc_sql(["merge", "planner"], hits_sql(f"greatest(CASE WHEN {adjacent('text')} THEN {idf(0)} + {idf(1)} END, CASE WHEN {adjacent('title')} THEN 2 * ({idf(0)} + {idf(1)}) END)")),
-        "multi_match_phrase_prefix": doc_sql(["merge", "planner", "la"], hits_sql(f"greatest(CASE WHEN {follows('text')} THEN {idf(0)} + {idf(1)} + {idf(2)} END, CASE WHEN {follows('title')} THEN 2 * ({idf(0)} + {idf(1)} + {idf(2)}) END)")),
+        "multi_match_phrase_prefix": phrase_begun,
         "mlt_doc": doc_sql([], mlt_doc).replace("FROM d)\n, r AS", "FROM d), r AS"),
         "mlt_terms": doc_sql(distinct_words, f"{like} SELECT field, term, round(1 + s / top, 6) AS boost FROM c, m").replace("FROM d)\n, c AS", "FROM d), c AS"),
         "mlt_like": doc_sql(distinct_words, like_hits).replace("FROM d)\n, c AS", "FROM d), c AS"),

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -199,10 +200,26 @@ def test_postings_equal_the_scan(spark):
         assert sorted((r["_id"], r["_score"]) for r in fast.search(q).collect()) == sorted((r["_id"], r["_score"]) for r in matches(index, q).collect()), body
 
 
+def test_phrases_by_postings_equal_the_scan(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["merge", "planner", "lease", "plan", "überlänge", "x"]) + rnd.choice(["", "", "  ", "\n"]) for _ in range(rnd.randint(0, 14))) for _ in range(60)] + [None, "", "Merge Planner", "merge " + "x " * 40 + "planner"]
+    df = spark.createDataFrame([(str(i), t, t and t.upper()) for i, t in enumerate(texts)], "_id string, a string, b string")
+    for profile in ("flushed", "unflushed"):
+        index = SearchIndex(df, {"a": "Keyword", "b": "Keyword"}, profile)
+        fast = Postings.build(index)
+        for body in [
+            {"phrase": {"a": "merge planner"}}, {"phrase": {"a": "merge lease merge"}}, {"phrase": {"a": "merge merge"}}, {"phrase": {"a": "merge"}}, {"phrase": {"a": "merge nowhere"}}, {"phrase": {"field": "a", "value": "merge planner", "slop": 0}}, {"phrase": {"field": "a", "value": "x x x", "slop": 0}},
+            {"multi_match": {"query": "merge planner", "fields": {"a": 1, "b": 2}, "type": "phrase"}}, {"multi_match": {"query": "merge planner pl", "fields": {"a": 1, "b": 2}, "type": "phrase_prefix"}}, {"multi_match": {"query": "merge über", "fields": {"a": 1}, "type": "phrase_prefix"}},
+            {"bool": {"must": [{"phrase": {"a": "lease plan"}}], "should": [{"term": {"b": "x"}}], "must_not": [{"phrase": {"field": "b", "value": "merge merge", "slop": 0}}]}},
+        ]:
+            q = dsl.query(body)
+            assert sorted((r["_id"], r["_score"]) for r in fast.search(q).collect()) == sorted((r["_id"], r["_score"]) for r in matches(index, q).collect()), body
+
+
 def test_postings_refuse_what_they_lack(spark):
     index = SearchIndex(spark.createDataFrame([("1", "a b")], "_id string, a string"), {"a": "Keyword"})
     fast = Postings.build(index)
-    for body in ({"phrase": {"a": "a b"}}, {"prefix": {"a": "a"}}, {"wildcard": {"a": "*"}}, {"term": {"field": "a", "value": "a", "fuzziness": 1}}):
+    for body in ({"prefix": {"a": "a"}}, {"wildcard": {"a": "*"}}, {"term": {"field": "a", "value": "a", "fuzziness": 1}}):
         with pytest.raises(InvalidRequest):
             fast.search(dsl.query(body))
     assert [r["a"] for r in fast.page(dsl.query({"match": {"a": "b"}}), 5).collect()] == ["a b"]
