@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,15 @@ from ..plans import mapping as mp
 class SearchIndex:
     """``df`` has ``_id`` (string, unique) and the mapped columns; text columns may come with their tokens as ``_tok_<field>``.
 
-    ``profile`` is ``flushed`` (idf from the collection) or ``unflushed`` (idf 1 for every term).
+    ``profile`` is ``flushed`` (idf from the collection) or ``unflushed`` (idf 1 for every term). ``stored`` knows the collection's
+    counts from posting lists (``documents``, ``frequencies``, ``averages``), so that no text is read for them.
     """
 
     df: DataFrame
     mapping: mp.Mapping
     profile: str = "flushed"
     _stats: dict = field(default_factory=dict, repr=False)
+    stored: Any = field(default=None, repr=False)
 
     @staticmethod
     def from_table(df: DataFrame, id_column: str | Column, fields: list[str] | None = None, profile: str = "flushed") -> "SearchIndex":
@@ -48,14 +51,19 @@ class SearchIndex:
         return SearchIndex(self.df.sparkSession.read.parquet(path), self.mapping, self.profile)
 
     def statistics(self, terms: set[str], fields: set[str]) -> "Statistics":
-        """Documents, mean lengths and document frequencies, by one aggregation; what is known from earlier calls isn't computed again.
+        """Documents, mean lengths and document frequencies, from stored counts or by one aggregation; what is known from earlier calls isn't computed again.
 
         The document frequency of a term counts the documents that hold it in any text field.
         """
         terms = set() if self.profile == "unflushed" else terms
         new_terms = sorted(t for t in terms if ("df", t) not in self._stats)
         new_fields = sorted(f for f in fields if ("avg", f) not in self._stats)
-        if new_terms or new_fields or ("n",) not in self._stats:
+        if self.stored is not None and (new_terms or new_fields or ("n",) not in self._stats):
+            self._stats[("n",)] = self.stored.documents()
+            known = self.stored.frequencies(new_terms) if new_terms else {}
+            means = self.stored.averages(new_fields) if new_fields else {}
+            self._stats.update({("df", t): known.get(t, 0) for t in new_terms} | {("avg", f): means.get(f) for f in new_fields})
+        elif new_terms or new_fields or ("n",) not in self._stats:
             every = self.text_fields if new_terms else []
             source = self.with_tokens(sorted(set(new_fields) | set(every)))
             aggs = [F.count(F.lit(1)).alias("n")]

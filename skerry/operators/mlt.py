@@ -43,7 +43,9 @@ def rewrite(index: SearchIndex, q: ast.MoreLikeThis) -> ast.Bool | None:
 
 
 def _frequencies(index: SearchIndex, words: list[str]) -> tuple[int, dict[str, int]]:
-    """Documents, and how many hold each word in any text field: one pass, whatever the number of words."""
+    """Documents, and how many hold each word in any text field: from stored counts, or in one pass, whatever the number of words."""
+    if index.stored is not None:
+        return index.stored.documents(), index.stored.frequencies(words)
     fields = index.text_fields
     every = F.array_distinct(F.concat(*[F.coalesce(F.col(f"`_tok_{f}`"), F.array().cast("array<string>")) for f in fields]))
     wanted = F.array_intersect(every, F.array(*[F.lit(w) for w in words]))

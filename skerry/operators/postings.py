@@ -51,6 +51,17 @@ class Postings:
         lengths = spark.read.parquet(f"{path}/lengths")
         return Postings(index, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/frequencies"), lengths, lengths.first()["_n"])
 
+    def documents(self) -> int:
+        return self.n
+
+    def frequencies_of(self, terms: list[str]) -> dict[str, int]:
+        """Documents that hold each term in any field; row groups without them are skipped."""
+        return {r["term"]: r["df"] for r in self.frequencies.where(F.col("term").isin(list(terms))).collect()} if terms else {}
+
+    def statistics(self) -> "StoredCounts":
+        """The lists' counts, for searches that read texts."""
+        return StoredCounts(self)
+
     def search(self, query: ast.Query) -> DataFrame:
         """(_id, _score) of the matches of a query made of words (term, terms, match, phrase, multi_match, bool over them) and typed clauses.
 
@@ -69,7 +80,7 @@ class Postings:
             raise InvalidRequest("posting lists answer queries of words, phrases and typed clauses only")
         mp.validate_query(query, mapping)
         terms = sorted({w for _, w in wanted} | cp.query_terms(query))
-        df = {r["term"]: r["df"] for r in self.frequencies.where(F.col("term").isin(terms)).collect()} if terms else {}
+        df = self.frequencies_of(terms)
         average = {k: v or 1.0 for k, v in self.lengths.first().asDict().items() if k != "_n"}
         stats = Statistics(self.n, {t: df.get(t, 0) for t in terms}, average, index.profile == "unflushed")
         given, columns = {}, []
@@ -111,6 +122,23 @@ class Postings:
         return self.index.df.join(F.broadcast(best), "_id").orderBy(F.desc("_score"), "_id")
 
 
+@dataclass
+class StoredCounts:
+    """What a search needs to know of the whole collection, by posting lists."""
+
+    lists: Postings
+
+    def documents(self) -> int:
+        return self.lists.n
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        return self.lists.frequencies_of(terms)
+
+    def averages(self, fields: list[str]) -> dict[str, float]:
+        row = self.lists.lengths.first().asDict()
+        return {f: row[f] for f in fields if f in row}
+
+
 def term_places(source: DataFrame, fields: list[str]) -> DataFrame:
     """(term, field, _id, dl, tf, places): each word of each field's tokens (``_tok_<field>``) with its places in rising order.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,42 +29,53 @@ _KEPT: dict[tuple, object] = {}
 
 
 def kept(kind: str, spark: SparkSession, folder: str, make: Callable):
-    """An index, opened once per session and folder; its statistics stay valid since the tables don't change."""
-    key = (kind, spark.sparkContext.applicationId, folder)
+    """What a flush leaves of a table (columns with words, posting lists), made once per session and state of the table's folder.
+
+    Nothing that a search finds out is kept: each has an index of its own, which asks for its statistics.
+    """
+    files = sorted((f, os.path.getmtime(f)) for f in glob.glob(f"{folder.removeprefix('file://')}/*.parquet"))
+    key = (kind, spark.sparkContext.applicationId, folder, tuple(files))
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]
 
 
-def docs(spark: SparkSession, folder: str, profile: str = "flushed") -> SearchIndex:
-    """The documents as a flushed index: columns and words stored together."""
-
+def _stored_docs(spark: SparkSession, folder: str) -> SearchIndex:
     def make() -> SearchIndex:
         return SearchIndex.from_table(table(spark, folder, "documents"), "doc_id", DOC_FIELDS).materialized(scratch_path(spark, "documents"))
 
-    index = kept("documents", spark, folder, make)
-    return index if profile == index.profile else SearchIndex(index.df, index.mapping, profile)
+    return kept("documents", spark, folder, make)
+
+
+def posting_lists(spark: SparkSession, folder: str) -> Postings:
+    """The posting lists of the documents, as a flush leaves them."""
+    return kept("postings", spark, folder, lambda: Postings.build(_stored_docs(spark, folder)))
+
+
+def docs(spark: SparkSession, folder: str, profile: str = "flushed") -> SearchIndex:
+    """The documents as a flushed index: columns and words stored together, statistics in posting lists."""
+    index = _stored_docs(spark, folder)
+    return SearchIndex(index.df, index.mapping, profile, stored=posting_lists(spark, folder).statistics())
 
 
 def events(spark: SparkSession, folder: str) -> SearchIndex:
-    return kept("events", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "events"), "event_id", ["event_id", "ts", "user_id", "event_type", "value"]))
+    return SearchIndex.from_table(table(spark, folder, "events"), "event_id", ["event_id", "ts", "user_id", "event_type", "value"])
 
 
 def orders(spark: SparkSession, folder: str) -> SearchIndex:
-    return kept("orders", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "orders"), "o_orderkey"))
+    return SearchIndex.from_table(table(spark, folder, "orders"), "o_orderkey")
 
 
 def parts(spark: SparkSession, folder: str) -> SearchIndex:
-    return kept("parts", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "part"), "p_partkey"))
+    return SearchIndex.from_table(table(spark, folder, "part"), "p_partkey")
 
 
 def lines(spark: SparkSession, folder: str) -> SearchIndex:
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return kept("lines", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "lineitem"), key))
+    return SearchIndex.from_table(table(spark, folder, "lineitem"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 def regions(spark: SparkSession, folder: str) -> SearchIndex:
-    return kept("regions", spark, folder, lambda: SearchIndex.from_table(table(spark, folder, "region"), "r_regionkey"))
+    return SearchIndex.from_table(table(spark, folder, "region"), "r_regionkey")
 
 
 def scored(make: Callable, body: dict, *columns: str) -> Q:
@@ -263,11 +276,6 @@ def _unflushed(spark: SparkSession, folder: str) -> DataFrame:
     return matches(docs(spark, folder, "unflushed"), dsl.query({"match": {"text": "merge planner lease"}})).select("_id", "_score")
 
 
-def posting_lists(spark: SparkSession, folder: str) -> Postings:
-    """The posting lists of the documents, as a flush leaves them."""
-    return kept("postings", spark, folder, lambda: Postings.build(docs(spark, folder)))
-
-
 def by_postings(body: dict) -> Q:
     query = dsl.query(body)
     return lambda spark, folder: posting_lists(spark, folder).search(query)

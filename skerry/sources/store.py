@@ -30,6 +30,7 @@ from ..functions import text as tx
 from ..functions.json_types import type_sql
 from ..functions.once import computed_once
 from ..operators.index import SearchIndex
+from ..operators.postings import term_places
 from ..plans import ast
 from ..plans import mapping as mp
 from ..plans.errors import AlreadyExists, InvalidRequest, LimitExceeded, MappingConflict, NotFound
@@ -363,15 +364,34 @@ class Index:
             else:
                 columns[name] = F.expr(value % mp.SPARK_TYPES[kind])
         typed = doc.withColumns(columns).drop("_v")
-        # the words are stored with a segment, so that searches don't split texts
-        words = {f"_tok_{name}": tx.tokens(F.col(f"`{name}`")) for name, kind in _columns(mapping).items() if kind == mp.KEYWORD}
-        return typed.withColumns(words) if words else typed
+        # the words are stored with a segment, so that searches don't split texts, and their number, so that it can be counted without them
+        texts = _texts(mapping)
+        if not texts:
+            return typed
+        typed = typed.withColumns({f"_tok_{name}": tx.tokens(F.col(f"`{name}`")) for name in texts})
+        return typed.withColumns({f"_len_{name}": F.size(f"`_tok_{name}`") for name in texts})
+
+    def _write_segment(self, rows: DataFrame, number: int) -> dict:
+        """Writes a segment with its posting lists, and gives its line of the manifest."""
+        path, texts = f"{self.path}/segments/{number:08d}", [c.removeprefix("_tok_") for c in rows.columns if c.startswith("_tok_")]
+        rows.write.mode("overwrite").parquet(path)
+        stored = self.spark.read.parquet(path)
+        live = ~F.col("_deleted")
+        sums = [a for f in texts for a in _length_sums(f, live)]
+        got = stored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(live).alias("documents"), F.max("_seq").alias("last_seq"), *sums).first()
+        if texts:
+            lists = term_places(stored.where(live), texts)
+            lists.repartitionByRange("term", "_id").sortWithinPartitions("term", "_id").write.mode("overwrite").parquet(f"{self.path}/terms/{number:08d}")
+        lengths = {f: [got[f"sum_{f}"] or 0, got[f"count_{f}"]] for f in texts}
+        return {"number": number, "documents": got["documents"], "rows": got["rows"], "last_seq": got["last_seq"], "lengths": lengths}
+
+    def _without_deletions(self, rows: DataFrame, s: dict) -> DataFrame:
+        lists = [f"{self.path}/deletions/{n:08d}/segment={s['number']}" for n in s.get("deletions", [])]
+        return rows.join(self.spark.read.schema("_id string").parquet(*lists), "_id", "left_anti") if lists else rows
 
     def _segment(self, s: dict) -> DataFrame:
         """A segment without the documents that newer segments overtake."""
-        rows = self.spark.read.parquet(f"{self.path}/segments/{s['number']:08d}")
-        lists = [f"{self.path}/deletions/{n:08d}/segment={s['number']}" for n in s.get("deletions", [])]
-        return rows.join(self.spark.read.schema("_id string").parquet(*lists), "_id", "left_anti") if lists else rows
+        return self._without_deletions(self.spark.read.parquet(f"{self.path}/segments/{s['number']:08d}"), s)
 
     def _segments(self, manifest: dict) -> list[DataFrame]:
         return [self._segment(s) for s in manifest["segments"]]
@@ -443,34 +463,41 @@ class Index:
             return {"flushed_documents": 0, "seq": upto}
         self.verify_log()
         number = manifest["number"] + 1
-        path = f"{self.path}/segments/{number:08d}"
-        self._typed(_last(log), self.mapping).write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_deleted")).alias("d"), F.max("_seq").alias("s")).first()
+        new = self._write_segment(self._typed(_last(log), self.mapping), number)
         kept = [x for x in manifest["log"] if x["last_seq"] > upto]
         gone = [x for x in manifest["log"] if x["last_seq"] <= upto]
-        segments = manifest["segments"]
-        if stored["n"]:
-            segments = [*self._overtaken(segments, number), {"number": number, "documents": stored["d"], "rows": stored["n"], "last_seq": stored["s"]}]
+        segments = [*self._overtaken(manifest["segments"], number), new] if new["rows"] else manifest["segments"]
         self._save(manifest | {"segments": segments, "log": kept, "number": number})
         for x in gone:
             self.files.delete(f"{self.path}/log/{x['number']:08d}")
         self._search.clear()
         if plan := self.plan_merge():
             self._fold(plan)
-        return {"flushed_documents": stored["d"], "seq": upto}
+        return {"flushed_documents": new["documents"], "seq": upto}
 
     def _overtaken(self, segments: list[dict], number: int) -> list[dict]:
         """``segments`` with the lists of their documents that the new segment ``number`` overtakes; only ids are read."""
         if not segments:
             return []
         ids = self.spark.read.parquet(f"{self.path}/segments/{number:08d}").select("_id")
-        older = _union([self._segment(s).select("_id", "_deleted", F.lit(s["number"]).alias("segment")) for s in segments])
+        narrow = lambda df: df.select("_id", "_deleted", *[F.col(f"`{c}`") for c in df.columns if c.startswith("_len_")])
+        older = _union([narrow(self._segment(s)).withColumn("segment", F.lit(s["number"])) for s in segments])
         path = f"{self.path}/deletions/{number:08d}"
         # sorted by segment, so a segment's list is few files
         older.join(ids, "_id", "left_semi").repartitionByRange("segment", "_id").sortWithinPartitions("segment", "_id").write.mode("overwrite").partitionBy("segment").parquet(path)
-        found = self.spark.read.schema("_id string, _deleted boolean, segment bigint").parquet(path)
-        counts = {r["segment"]: r for r in found.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_deleted")).alias("d")).collect()}
-        return [s if (c := counts.get(s["number"])) is None else s | {"documents": s["documents"] - c["d"], "rows": s["rows"] - c["n"], "deletions": [*s.get("deletions", []), number]} for s in segments]
+        texts, live = [c.removeprefix("_len_") for c in older.columns if c.startswith("_len_")], ~F.col("_deleted")
+        found = self.spark.read.schema(older.schema).parquet(path)
+        sums = [a for f in texts for a in _length_sums(f, live)]
+        gone = {r["segment"]: r for r in found.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.count_if(live).alias("documents"), *sums).collect()}
+
+        def rest(s: dict) -> dict:
+            g = gone.get(s["number"])
+            if g is None:
+                return s
+            lengths = {f: [a - (g[f"sum_{f}"] or 0), b - g[f"count_{f}"]] for f, (a, b) in s["lengths"].items()}
+            return s | {"documents": s["documents"] - g["documents"], "rows": s["rows"] - g["rows"], "lengths": lengths, "deletions": [*s.get("deletions", []), number]}
+
+        return [rest(s) for s in segments]
 
     def plan_merge(self) -> list[int]:
         """Numbers of the segments to fold: all small ones where there are two or more, each of fewer documents than the threshold; else a
@@ -498,18 +525,17 @@ class Index:
         if not chosen:
             return 0
         number = manifest["number"] + 1
-        path = f"{self.path}/segments/{number:08d}"
         rows = _union(self._segments(manifest | {"segments": chosen}))
         if len(chosen) == len(manifest["segments"]):  # no older segment is left that a tombstone could be for
             rows = rows.where("not _deleted")
-        rows.write.mode("overwrite").parquet(path)
-        stored = self.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_deleted")).alias("d"), F.max("_seq").alias("s")).first()
+        new = self._write_segment(rows, number)
         rest = [s for s in manifest["segments"] if s["number"] not in numbers]
-        self._save(manifest | {"segments": [*rest, {"number": number, "documents": stored["d"], "rows": stored["n"], "last_seq": stored["s"]}], "number": number})
+        self._save(manifest | {"segments": [*rest, new], "number": number})
         for s in chosen:
             self.files.delete(f"{self.path}/segments/{s['number']:08d}")
+            self.files.delete(f"{self.path}/terms/{s['number']:08d}")
         self._search.clear()
-        return stored["d"]
+        return new["documents"]
 
     # -- snapshots --------------------------------------------------------------------------
 
@@ -553,8 +579,8 @@ class Index:
         manifest = self.manifest
         self._set_mapping(meta["mappings"])
         number = manifest["number"] + 1
-        self._typed(data, meta["mappings"]).write.mode("overwrite").parquet(f"{self.path}/segments/{number:08d}")
-        self._save(manifest | {"segments": [{"number": number, "documents": meta["documents"], "rows": meta["documents"], "last_seq": meta["seq"]}], "log": [], "refreshed_seq": manifest["next_seq"] - 1, "number": number})
+        new = self._write_segment(self._typed(data, meta["mappings"]), number) | {"last_seq": meta["seq"]}
+        self._save(manifest | {"segments": [new], "log": [], "refreshed_seq": manifest["next_seq"] - 1, "number": number})
         self._search.clear()
         return meta
 
@@ -566,10 +592,16 @@ class Index:
         if key not in self._search:
             self._search.clear()
             mapping = _columns(self.mapping)
-            whole = SearchIndex(self.searchable(), mapping)
+            whole = SearchIndex(self.searchable(), mapping, stored=self._stored_counts())
             self._search[key] = whole
         whole = self._search[key]
-        return SearchIndex(self.alive(whole.df, now), whole.mapping, whole.profile, _Shared(whole))
+        return SearchIndex(self.alive(whole.df, now), whole.mapping, whole.profile, _Shared(whole), whole.stored)
+
+    def _stored_counts(self) -> "SegmentCounts | None":
+        """The segments' counts, where they hold all that can be searched."""
+        manifest = self.manifest
+        pending = any(x["first_seq"] <= manifest["refreshed_seq"] for x in manifest["log"])
+        return None if pending or not manifest["segments"] else SegmentCounts(self, manifest["segments"])
 
     def search(self, body: dict, now: datetime | None = None) -> dict:
         from ..plans import dsl
@@ -593,7 +625,8 @@ class Index:
     def suggest(self, prefix: str, fields: dict[str, float], size: int = 10) -> list[dict]:
         from ..operators import suggest
 
-        words = suggest.vocabulary(self.search_index())
+        index = self.search_index()
+        words = index.stored.vocabulary() if index.stored is not None else suggest.vocabulary(index)
         return [r.asDict() for r in suggest.suggest(words, prefix, fields, size).collect()]
 
     def metrics(self) -> dict[str, int]:
@@ -603,6 +636,47 @@ class Index:
         return own | {"segments": len(manifest["segments"]), "pending_operations": manifest["next_seq"] - 1 - manifest["refreshed_seq"], "last_sequence_number": manifest["next_seq"] - 1}
 
 
+@dataclass
+class SegmentCounts:
+    """What a search needs to know of an index whose documents all lie in segments, without reading texts: documents and
+    lengths stand in the manifest, frequencies in the segments' posting lists."""
+
+    index: Index
+    segments: list[dict]
+
+    def _lists(self) -> DataFrame | None:
+        parts = [s for s in self.segments if s["lengths"] and s["documents"] > 0]
+        read = lambda s: self.index.spark.read.parquet(f"{self.index.path}/terms/{s['number']:08d}").select("term", "field", "_id")
+        # a document's lists go with it
+        return _union([self.index._without_deletions(read(s), s) for s in parts]) if parts else None
+
+    def documents(self) -> int:
+        return sum(s["documents"] for s in self.segments)
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """Documents that hold each term in any field; row groups without the terms are skipped."""
+        lists = self._lists()
+        if lists is None or not terms:
+            return {}
+        held = lists.where(F.col("term").isin(list(terms))).select("term", "_id").distinct()
+        return {r["term"]: r["count"] for r in held.groupBy("term").count().collect()}
+
+    def averages(self, fields: list[str]) -> dict[str, float | None]:
+        out = {}
+        for f in fields:
+            got = [s["lengths"][f] for s in self.segments if f in s["lengths"]]
+            out[f] = sum(a for a, _ in got) / n if (n := sum(b for _, b in got)) else None
+        return out
+
+    def vocabulary(self) -> DataFrame:
+        """(field, term, doc_freq, score): documents that hold a term in a field, and their share of all."""
+        lists, n = self._lists(), self.documents()
+        if lists is None:
+            return self.index.spark.createDataFrame([], "field string, term string, doc_freq bigint, score double")
+        # a document has a term once in a field's list
+        return lists.groupBy("field", "term").agg(F.count(F.lit(1)).alias("doc_freq")).withColumn("score", F.col("doc_freq") / F.lit(max(n, 1)))
+
+
 class _Shared(dict):
     """Statistics of the whole index, used where expired documents are hidden."""
 
@@ -639,6 +713,15 @@ def _row_hash() -> Any:
     return F.xxhash64("_id", "_seq", "_deleted", "_source")
 
 
+def _texts(mapping: mp.Mapping) -> list[str]:
+    return [name for name, kind in _columns(mapping).items() if kind == mp.KEYWORD]
+
+
+def _length_sums(f: str, live: Any) -> list[Any]:
+    length = F.when(live, F.col(f"`_len_{f}`"))
+    return [F.sum(length).alias(f"sum_{f}"), F.count(length).alias(f"count_{f}")]
+
+
 def _columns(mapping: mp.Mapping) -> mp.Mapping:
     out: dict[str, str] = {}
     seen: set[str] = set()

@@ -328,3 +328,36 @@ def test_a_damaged_log_is_noticed(spark, index):
     index.refresh()
     with pytest.raises(InvalidRequest):
         index.flush()
+
+
+def test_statistics_from_segments_equal_those_of_a_scan(store):
+    """After flushes, overtaken documents and a merge, scores and suggestions without reading texts are those of reading them."""
+    from skerry.operators import suggest
+    from skerry.operators.index import SearchIndex
+    from skerry.operators.search import matches
+    from skerry.plans import dsl
+
+    store.create_index("t", Settings(merge_threshold_docs=1))
+    index = store.open("t")
+    doc = lambda k, t, **more: {"index": {"id": str(k), "source": {"t": t} | more}}
+    parts = [[doc(1, "merge planner"), doc(2, "merge lease lease"), doc(3, "other")], [doc(2, "planner only", b="merge"), {"delete": {"id": "3"}}, doc(4, "")], [doc(5, "Merge words", b="lease"), doc(1, "merge merge merge")]]
+
+    def compare():
+        found = index.search_index()
+        assert found.stored is not None
+        scan = SearchIndex(index.searchable(), found.mapping)
+        for body in ({"match": {"t": "merge planner lease"}}, {"term": {"b": "lease"}}, {"mlt": {"like": {"t": "merge lease words"}, "min_term_freq": 1}}, {"multi_match": {"query": "merge lease", "fields": {"t": 1, "b": 2}}}):
+            got, want = (sorted((r["_id"], r["_score"]) for r in matches(x, dsl.query(body)).collect()) for x in (found, scan))
+            assert got == want, body
+        words = lambda df: sorted(tuple(r) for r in df.collect())
+        assert words(found.stored.vocabulary()) == words(suggest.vocabulary(scan))
+
+    for part in parts:
+        index.bulk(part)
+        index.refresh()
+        assert index.search_index().stored is None  # the log holds words that no list has yet
+        index.flush()
+        compare()
+    index.merge()
+    compare()
+    assert [s["text"] for s in index.suggest("me", {"t": 1.0})] == ["merge"]
