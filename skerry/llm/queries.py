@@ -75,8 +75,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """The score of each term of each record."""
-    return _scored(spark, folder).select(F.col("g").alias("index_name"), F.col("r").alias("doc_id"), F.col("t").alias("term"), "tf", "df", F.round("score", 6).alias("score"))
+    """The score of each term of each record, to 6 digits; what is within 1e-9 of a half goes up."""
+    return _scored(spark, folder).select(F.col("g").alias("index_name"), F.col("r").alias("doc_id"), F.col("t").alias("term"), "tf", "df", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,5 +146,5 @@ x AS (SELECT index_name, doc_id, term, tf, df, df / size * least({1 / distinctiv
   FROM tf JOIN df USING (index_name, term) JOIN size USING (index_name) JOIN len USING (index_name, doc_id)),
 m AS (SELECT *, sum(tf) OVER w / (1 + sum(cb) OVER w) AS m FROM x WINDOW w AS (PARTITION BY index_name, doc_id ORDER BY tf / df DESC)),
 last AS (SELECT index_name, doc_id, arg_min(m, tf / df) AS m FROM m WHERE tf > cb * m GROUP BY ALL)
-SELECT index_name, doc_id, term, tf, df, round(greatest(tf / last.m - cb, 0), 6) AS score FROM x JOIN last USING (index_name, doc_id)""",
+SELECT index_name, doc_id, term, tf, df, round(greatest(tf / last.m - cb, 0) + 1e-9, 6) AS score FROM x JOIN last USING (index_name, doc_id)""",
     }
