@@ -129,17 +129,19 @@ def aggregate(found: DataFrame, agg: Any, mapping: mp.Mapping) -> DataFrame:
 def search(index: SearchIndex, request: ast.Request, highlight: bool = False, share: bool = True) -> SearchResult:
     """Matches, page and aggregations of a request.
 
-    With ``share`` the narrow columns the aggregations need are persisted, so scores are
-    computed once for all of them; the caller unpersists ``matches`` when done.
+    With ``share`` and several aggregations the columns these need are persisted, so they all read one pass over the matches; ``matches``
+    is that narrow table then, which the caller unpersists when done.
     """
     mp.validate(request, index.mapping)
     found = matches(index, request.query)
+    narrow = found
     if share and len(request.aggregations) > 1:
-        found = found.persist()
+        fields = sorted({a.field for _, a in request.aggregations if a.field in index.mapping})
+        narrow = found.select("_id", "_score", *[F.col(f"`{f}`") for f in fields]).persist()
     hits = page(found, request, index.mapping).withColumn("_sort", sort_values(request, index.mapping))
     if highlight:
         hits = hits.withColumn("_highlight", highlights(index, request.query))
-    return SearchResult(found, hits, {name: aggregate(found, a, index.mapping) for name, a in request.aggregations})
+    return SearchResult(narrow, hits, {name: aggregate(narrow, a, index.mapping) for name, a in request.aggregations})
 
 
 # -- highlighting -----------------------------------------------------------------------------

@@ -23,7 +23,8 @@ def search_response(index: Any, request: ast.Request, source: str | None = None,
     result = search(index, request, highlight)
     fields = list(index.mapping)
     hits = []
-    for r in result.hits.collect():  # a page, at most MAX_SIZE hits unless size is left open
+    # at most MAX_SIZE hits unless size is left open; then as many as the response is asked to hold, a partition at a time
+    for r in result.hits.toLocalIterator() if request.size is None else result.hits.collect():
         row = r.asDict(recursive=True)
         body = json.loads(row[source]) if source else {f: value(row[f]) for f in fields if row.get(f) is not None}
         hit = {"_id": row["_id"], "_score": row["_score"], "_source": body}
@@ -34,8 +35,9 @@ def search_response(index: Any, request: ast.Request, source: str | None = None,
         hits.append(hit)
     aggs = {}
     for (name, agg), df in zip(request.aggregations, result.aggregations.values()):
-        rows = df.collect()
-        aggs[name] = rows[0].asDict() if isinstance(agg, ast.StatsAgg) else {"buckets": [r.asDict() for r in rows]}
+        # the buckets are the response's own size; they come a partition at a time
+        rows = [r.asDict() for r in df.toLocalIterator()]
+        aggs[name] = rows[0] if isinstance(agg, ast.StatsAgg) else {"buckets": rows}
     total = result.total()
     result.matches.unpersist()
     out = {"hits": {"total": {"value": total, "relation": "eq"}, "hits": hits}}

@@ -178,7 +178,7 @@ def _search_after(spark: SparkSession, folder: str) -> DataFrame:
 
 def _multi_agg(spark: SparkSession, folder: str) -> DataFrame:
     body = {"query": {"range": {"value": {"gte": 50}}}, "aggs": {"types": {"terms": {"field": "event_type"}}, "hours": {"date_histogram": {"field": "ts", "interval": "day"}}}}
-    result = search(events(spark, folder), dsl.request(body))
+    result = search(events(spark, folder), dsl.request(body), share=False)
     rows = [a.select(F.lit(name).alias("agg"), F.col("key"), "doc_count") for name, a in result.aggregations.items()]
     return rows[0].unionByName(rows[1])
 
