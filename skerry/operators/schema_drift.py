@@ -541,7 +541,7 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
     quote = lambda n: "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'"
     # each value is looked up once
     doc = doc.withColumns({f"_x{i}": F.expr(f"_n[{quote(name)}]") for i, name in enumerate(kinds_of)}) if kinds_of else doc
-    columns, strays = {}, []
+    columns, strays, strayed = {}, [], []
     for i, (name, kinds) in enumerate(kinds_of.items()):
         sql, value = _column_type(set(kinds)), f"_x{i}"
         there = f"{value} IS NOT NULL AND NOT is_variant_null({value})"
@@ -553,10 +553,13 @@ def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
             # a cast alone would change values of other types: 1.5 and true to 1
             columns[f"_c{i}"] = F.expr(f"CASE WHEN {_FITS[sql].format(f'schema_of_variant({value})')} THEN try_variant_get({value}, '$', '{sql}') END")
             strays.append(f"struct({quote(name)} as key, CASE WHEN _c{i} IS NULL AND {there} THEN to_json({value}) END as value)")
+            strayed.append(f"(_c{i} IS NULL AND {there})")
     known = "array(" + ", ".join(map(quote, kinds_of)) + ")" if kinds_of else "cast(array() as array<string>)"
     empty = "cast(map() as map<string, string>)"
-    stray = F.expr(f"map_from_entries(filter(array({', '.join(strays)}), e -> e.value IS NOT NULL))" if strays else empty)
-    rest = F.expr(f"transform_values(map_filter(_n, (k, v) -> NOT array_contains({known}, k)), (k, v) -> to_json(v))")
+    # few documents have a stray or a field beyond the columns, and only theirs are gathered
+    stray = F.expr(f"CASE WHEN {' OR '.join(strayed)} THEN map_from_entries(filter(array({', '.join(strays)}), e -> e.value IS NOT NULL)) ELSE {empty} END" if strays else empty)
+    held = " + ".join(f"cast(_x{i} IS NOT NULL AS int)" for i in range(len(kinds_of))) or "0"
+    rest = F.expr(f"CASE WHEN size(_n) = {held} THEN {empty} ELSE transform_values(map_filter(_n, (k, v) -> NOT array_contains({known}, k)), (k, v) -> to_json(v)) END")
     # a source that is no object is kept whole, under the empty name
     rest = F.when(F.col("_m").isNull() & F.col("source").isNotNull(), F.create_map(F.lit(""), F.col("source"))).otherwise(rest)
     made = doc.withColumns(columns) if columns else doc
