@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -91,14 +91,40 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on ``p8_containers``: the texts and keys placed, containers above the capacity, texts divided though they fit, and
+    texts whose stretches aren't one whole."""
+    placed = p8_containers(spark, folder)
+    texts = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("stretches"), F.sum("n_tokens").alias("tokens"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.min("token_start").alias("start"))
+    full = placed.groupBy("container").agg(F.sum("n_tokens").alias("tokens")).agg(F.count_if(F.col("tokens") > packing.CAPACITY).alias("overfull"))
+    divided = F.count_if((F.col("stretches") > 1) & (F.col("tokens") <= packing.CAPACITY)).alias("divided")
+    broken = F.count_if((F.col("start") != 0) | (F.col("end") != F.col("tokens"))).alias("broken")
+    one = texts.agg(F.count(F.lit(1)).alias("texts"), divided, broken).unionByName(full, allowMissingColumns=True)
+    return one.agg(*[F.sum(c).alias(c) for c in ("texts", "divided", "broken", "overfull")])
+
+
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of at most 512 tokens that share at least 64 with the one before."""
     _arrow_bytes(spark)
     return splitting.split(table(spark, folder, "documents"))
 
 
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on ``p9_pieces``: texts and pieces that begin them, pieces above the limit, pieces that don't say what the text says there, gaps
+    between neighbours, and pieces that end no further than the one before."""
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = p9_pieces(spark, folder).join(texts, "doc_id")
+    own = F.substr("text", F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int"))
+    before = Window.partitionBy("doc_id").orderBy("piece")
+    each = pieces.select("piece", "n_pieces", "n_tokens", "char_start", "char_end", (F.col("piece_text").eqNullSafe(own)).alias("same"), F.lag("char_end").over(before).alias("last"), F.length("text").alias("size"))
+    return each.agg(
+        F.count_if(F.col("piece") == 0).alias("texts"), F.count_if(F.col("n_tokens") > splitting.LIMIT).alias("too_long"), F.count_if(~F.col("same")).alias("changed"), F.count_if(F.col("char_start") > F.col("last")).alias("gaps"),
+        F.count_if(F.col("char_end") <= F.col("last")).alias("no_progress"), F.count_if((F.col("piece") == F.col("n_pieces") - 1) & (F.col("char_end") != F.coalesce("size", F.lit(0)))).alias("unfinished"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p1_ngrams, p1_ngram_bands, p2_found, p2_scores, p7_ids, p8_containers, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p1_ngrams, p1_ngram_bands, p2_found, p2_scores, p7_ids, p8_containers, p8_checks, p9_pieces, p9_checks)}
 
 
 _TERM = "translate(trim(term, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,6 +162,8 @@ SELECT c.*, total, CASE WHEN records <= 2 THEN 'rare' WHEN records * 10 > total
 tf AS (SELECT index_name, doc_id, term, count(p) AS tf FROM occ GROUP BY ALL),
 df AS (SELECT index_name, term, count(*) AS df FROM tf GROUP BY ALL)
 SELECT index_name, doc_id, term FROM tf JOIN df USING (index_name, term) WHERE tf >= 4 AND df BETWEEN 2 AND 12""",
+        "p8_checks": "SELECT count(*) AS texts, 0 AS divided, 0 AS broken, 0 AS overfull FROM documents",
+        "p9_checks": "SELECT count(*) AS texts, 0 AS too_long, 0 AS changed, 0 AS gaps, 0 AS no_progress, 0 AS unfinished FROM documents",
         # the fixed point of EM: of the terms by falling tf/df the longest stretch whose last still has a probability keeps one
         "p2_scores": f"""WITH {_OCCURRENCES},
 tf AS (SELECT index_name, doc_id, term, greatest(count(p), 1) AS tf FROM occ GROUP BY ALL),
