@@ -31,6 +31,12 @@ PLANS, JOURNALS = "plans made", "journals taken over"
 LEASE_SECONDS = 3600
 #: Length of the time slices into which a log is cut for the look-up of covering runs, so that a log with a large share of all rows is many tasks' work.
 SLICE_SECONDS = 6 * 3600
+#: Large slices up to which their list is broadcast (a few MB); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 50_000
+#: Rows of a slice that one task looks up; a slice with more is spread over several, each with the slice's runs.
+SLICE_ROWS = 2_000_000
+#: Slices of rows without arrival, which no run covers: below any time, and many, so that they spread.
+NO_TIME, NO_TIME_SLICES = -(2**40), 1009
 #: Reach of a live lease without a number: it holds every entry that had arrived.
 EVERYTHING = 2**63 - 1
 
@@ -247,7 +253,7 @@ def readable_entries(wal: DataFrame) -> DataFrame:
     return cr.parsed(wal, "record", "_parsed").where("_parsed is not null").drop("_parsed")
 
 
-def unprocessed(wal: DataFrame, states: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def unprocessed(wal: DataFrame, states: DataFrame, slice_seconds: int = SLICE_SECONDS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(index_name, sequence_number, generation, rows) of the entries of which no row is covered; generation is the last one seen.
 
     ``states`` (index_name, generation, started_at, state, last_sequence_number) are runs; those done have processed and those
@@ -255,32 +261,49 @@ def unprocessed(wal: DataFrame, states: DataFrame, slice_seconds: int = SLICE_SE
     reached its number: that is, if the highest number among the log's later runs is at least
     its own. That running maximum is taken in two steps: by time slice over the runs alone, then within
     each slice over its rows and runs, with the later slices' maximum carried in as one more
-    run. A log of any size is thus spread over its slices. A row of null arrival is covered
+    run. A log of any size is thus spread over its slices, and a slice of more than ``slice_rows`` rows over parts that each have all its runs. A row of null arrival is covered
     by no run, nor is one whose generation is null; null log names or numbers name no entry and are left out.
     """
     slice_of = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / slice_seconds)
     done = states.where(F.col("state").isin(DONE, LEASED)).where("last_sequence_number is not null and started_at is not null and index_name is not null and generation is not null")
     runs = done.select("index_name", "generation", slice_of(F.col("started_at")).alias("slice"), F.col("started_at").alias("at"), F.col("last_sequence_number").alias("reach"))
     named = wal.where("index_name is not null and sequence_number is not null")
-    slices = named.select("index_name", "generation", slice_of(F.col("received_at")).alias("slice")).distinct()
+    path = scratch_path(wal.sparkSession, "slices")
+    named.where("received_at is not null").groupBy("index_name", "generation", slice_of(F.col("received_at")).alias("slice")).agg(F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    slices = wal.sparkSession.read.parquet(path)
     by_slice = runs.groupBy("index_name", "generation", "slice").agg(F.max("reach").alias("reach"))
-    steps = by_slice.unionByName(slices.withColumn("reach", F.lit(None).cast("bigint"))).groupBy("index_name", "generation", "slice").agg(F.max("reach").alias("reach"))
+    nothing = F.lit(None).cast("bigint")
+    steps = by_slice.unionByName(slices.drop("rows").withColumn("reach", nothing)).groupBy("index_name", "generation", "slice").agg(F.max("reach").alias("reach"))
     later = Window.partitionBy("index_name", "generation").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     carried = steps.select("index_name", "generation", "slice", F.max("reach").over(later).alias("reach")).where("reach is not null and slice is not null")
-    nothing = F.lit(None).cast("bigint")
     # kind 0 comes first at equal times: a run that started just then counts
     points = carried.select("index_name", "generation", "slice", F.lit(None).cast("timestamp_ntz").alias("at"), "reach", F.lit(0).alias("kind"), nothing.alias("seq"))
     points = points.unionByName(runs.select("index_name", "generation", "slice", F.col("at").cast("timestamp_ntz").alias("at"), "reach", F.lit(0).alias("kind"), nothing.alias("seq")))
+    untimed = F.lit(NO_TIME) - F.pmod(F.hash("sequence_number"), F.lit(NO_TIME_SLICES))
     rows = readable_entries(named).select(
-        "index_name", "generation", slice_of(F.col("received_at")).alias("slice"), F.col("received_at").cast("timestamp_ntz").alias("at"), nothing.alias("reach"), F.lit(1).alias("kind"), F.col("sequence_number").alias("seq")
+        "index_name", "generation", F.coalesce(slice_of(F.col("received_at")), untimed).alias("slice"), F.col("received_at").cast("timestamp_ntz").alias("at"), nothing.alias("reach"), F.lit(1).alias("kind"), F.col("sequence_number").alias("seq")
     )
-    before = Window.partitionBy("index_name", "generation", "slice").orderBy(F.desc_nulls_first("at"), "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    points, rows = _spread(points, rows, slices.where(F.col("rows") > slice_rows).withColumn("parts", F.ceil(F.col("rows") / slice_rows)).drop("rows"))
+    before = Window.partitionBy("index_name", "generation", "slice", "part").orderBy(F.desc_nulls_first("at"), "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = rows.unionByName(points).withColumn("reach", F.max("reach").over(before)).where("kind = 1")
     processed = F.coalesce((F.col("reach") >= F.col("seq")) & F.col("at").isNotNull(), F.lit(False))
     entries = seen.groupBy("index_name", F.col("seq").alias("sequence_number")).agg(F.max(processed).alias("processed"), F.max("generation").alias("generation"), F.count(F.lit(1)).alias("rows"))
     return entries.where("not processed").drop("processed")
 
 
+def _spread(points: DataFrame, rows: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``part``: the rows of ``large`` slices (index_name, generation, slice, parts) drawn into one of the parts, the points repeated in each."""
+    n = large.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return points.withColumn("part", F.lit(0)), rows.withColumn("part", F.lit(0))
+    large = large.select(F.col("index_name").alias("_i"), F.col("generation").alias("_g"), F.col("slice").alias("_s"), "parts")
+    large = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    same = lambda df: df.join(large, F.expr("index_name = _i and generation <=> _g and slice = _s"), "left").drop("_i", "_g", "_s")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts").cast("int"), F.lit(1)) - 1)).alias("part")
+    drawn = F.coalesce(F.pmod(F.hash("seq", "at"), F.col("parts")).cast("int"), F.lit(0))
+    return same(points).select(*points.columns, each), same(rows).withColumn("part", drawn).drop("parts")
+
+
 def named_items(entries: DataFrame, item_entries: int = 10_000) -> DataFrame:
     """``entries`` (index_name, sequence_number, …; distinct) with ``item``, named by exactly the entries it holds.
 

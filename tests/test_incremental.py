@@ -47,6 +47,16 @@ def test_equals_brute_force(spark, seed, slice_seconds):
     assert {(r["index_name"], r["sequence_number"]) for r in got.collect()} == brute(wal, runs)
 
 
+@pytest.mark.parametrize("slice_rows", [1, 7])
+def test_large_slices_and_untimed_rows_are_spread(spark, slice_rows):
+    """A third of the rows at one time, a third without a time: parts of a slice have all its runs."""
+    rnd = random.Random(11)
+    wal = [("i", 1, k, rnd.choice([at(5), None, at(rnd.randint(0, 20) / 2)]), "{}") for k in range(1, 121)] + [("i", None, 200, at(5), "{}")]
+    runs = [(k, "i", 1, at(h), "committed", n) for k, (h, n) in enumerate([(4, 110), (5, 60), (7, 30), (9.5, 10)])]
+    got = unprocessed(spark.createDataFrame(wal, WAL), run_states(spark.createDataFrame(runs, RUN)), slice_rows=slice_rows)
+    assert {(r["index_name"], r["sequence_number"]) for r in got.collect()} == brute(wal, runs)
+
+
 def test_nulls_ties_and_clashing_columns(spark):
     wal = [("i", 1, 5, at(1), "{}"), ("i", 1, 5, at(9), "{}"), ("i", 1, 6, None, "{}"), (None, 1, 7, at(1), "{}"), ("i", None, 8, at(1), "{}"), ("i", 1, None, at(1), "{}"), ("i", 1, 9, at(2), "{}")]
     runs = [(1, "i", 1, at(1), "committed", 5), (2, "i", 1, at(2), "Committed", 9), (None, "i", 1, at(3), "committed", 99), (3, "i", 1, at(3), "committed", None), (4, "i", None, at(5), "committed", 99)]
