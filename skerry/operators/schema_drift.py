@@ -445,7 +445,7 @@ def all_drift(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> Drift:
     """
     found = drift(docs)
     writes = _kept(log_writes(found.rows, wal, metadata)[0], "log-writes")
-    return Drift(found.rows.unionByName(writes), found.types.unionByName(field_types(writes).where("version is not null and index_name is not null")), found.changes, declared_types(metadata), found.levels)
+    return Drift(found.rows.unionByName(writes), found.types.unionByName(most_types(type_counts(writes, found.levels)).where("version is not null and index_name is not null")), found.changes, declared_types(metadata), found.levels)
 
 
 def all_changes(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -483,61 +483,183 @@ def all_changes(docs: DataFrame, wal: DataFrame, metadata: DataFrame) -> DataFra
 # -- one table --------------------------------------------------------------------------------
 
 
+Rules = dict[Path, Path]
+
+
+def place(rules: Rules, path: Path) -> Path:
+    """Where ``path`` goes: the longest old path that begins it becomes the new one, what follows stays."""
+    for n in range(len(path), 0, -1):
+        if path[:n] in rules:
+            return (*rules[path[:n]], *path[n:])
+    return path
+
+
+def compose(step: Rules, later: Rules) -> Rules:
+    """The rules that do what ``step`` does and then what ``later`` does. A path a step has no rule for is the same after it."""
+    came = {new: old for old, new in step.items()}
+    out = {old: place(later, new) for old, new in step.items()}
+    for old, new in later.items():
+        # the paths before the step that it makes this one: below a field it changes, or the same
+        for n in range(1, len(old)):
+            before = (*came.get(old[:n], ()), *old[n:])
+            if old[:n] in came and place(step, before) == old:
+                out[before] = new
+        if not any(old[:n] in step for n in range(1, len(old) + 1)):
+            out[old] = new
+    # a field that goes along with its parent needs no rule
+    return {old: new for old, new in out.items() if (*place(out, old[:-1]), old[-1]) != new}
+
+
+def projection(rules: Rules) -> tuple[dict[str, str], list[str] | None, list[dict] | None, list[Path] | None, int | None]:
+    """The rules as columns (names, heads, paths, opened, depth).
+
+    ``heads`` are the top-level fields that rules within objects, moves, or renames to a name that is itself renamed have to do
+    with; ``paths`` has their rules, longest old path first, ``opened`` the objects whose fields go different ways, the
+    deepest at ``depth``. ``names`` has all other renames. Without such fields the last four are null.
+    """
+    hard = [r for r in rules.items() if len(r[0]) > 1 or len(r[1]) > 1 or r[1] in rules]
+    heads = {path[0] for r in hard for path in r}
+    while more := {path[0] for r in rules.items() if not heads.isdisjoint((r[0][0], r[1][0])) for path in r} - heads:
+        heads |= more
+    names = {old[0]: new[0] for old, new in rules.items() if old[0] not in heads}
+    if not heads:
+        return names, None, None, None, None
+    paths = {old: new for old, new in rules.items() if old[0] in heads}
+    targets = {new[:n] for new in paths.values() for n in range(1, len(new))}
+    opened = targets | {old[:n] for old in paths for n in range(1, len(old))}
+    opened |= {(*old, *t[len(new):]) for t in targets for old, new in paths.items() if t[: len(new)] == new}
+    longest = sorted(paths.items(), key=lambda r: (-len(r[0]), r))
+    return names, sorted(heads), [{"old": list(o), "new": list(n)} for o, n in longest], [list(x) for x in sorted(opened)], max(map(len, opened), default=0)
+
+
+_PROJECTION = "names map<string, string>, heads array<string>, paths array<struct<old: array<string>, new: array<string>>>, opened array<array<string>>, depth int"
+
+
 def final_names(change: DataFrame) -> DataFrame:
-    """(index_name, version, names): for each version with later renames the map from its names to the last ones."""
+    """(index_name, version, names, heads, paths, opened, depth): for each version with later renames or moves the ``projection`` from its paths to the last ones."""
 
     def run(batches):
         for part in batches:
             out = []
-            for index, steps_of in zip(part["index_name"], part["renames"]):
-                now: dict[str, str] = {}
-                by_version: dict[int, dict[str, str]] = {}
+            for index, steps_of in zip(part["index_name"], part["changed"]):
+                now: Rules = {}
+                by_version: dict[int, Rules] = {}
                 for r in steps_of:
-                    by_version.setdefault(r["version"], {})[r["old_name"]] = r["field_name"]
+                    by_version.setdefault(r["version"], {})[tuple(r["old_path"])] = tuple(r["path"])
                 for v in sorted(by_version, reverse=True):
-                    now = now | {old: now.get(new, new) for old, new in by_version[v].items()}
-                    out.append((index, v, now))
-            yield pd.DataFrame(out, columns=["index_name", "version", "names"])
+                    now = compose(by_version[v], now)
+                    out.append((index, v, *projection(now)))
+            df = pd.DataFrame(out, columns=["index_name", "version", "names", "heads", "paths", "opened", "depth"])
+            yield df.assign(depth=df["depth"].astype("Int32"))
 
-    renamed = change.where("change_kind = 'renamed' and depth = 1").groupBy("index_name").agg(F.collect_list(F.struct("version", "field_name", "old_name")).alias("renames"))
-    return renamed.mapInPandas(run, "index_name string, version int, names map<string, string>")
+    changed = change.where("change_kind in ('renamed', 'moved')").groupBy("index_name").agg(F.collect_list(F.struct("version", "path", "old_path")).alias("changed"))
+    return changed.mapInPandas(run, f"index_name string, version int, {_PROJECTION}")
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _rule(path: str) -> str:
+    """SQL for the rule of ``paths`` that holds for a path, null where none does."""
+    return f"get(filter(paths, r -> slice({path}, 1, size(r.old)) = r.old), 0)"
+
+
+def _begins(a: str, b: str) -> str:
+    return f"slice({b}, 1, size({a})) = {a}"
+
+
+def _renamed(doc: str) -> str:
+    """SQL for a map of fields with the renames of ``names``; values that would end under one name keep their own, a null gives way."""
+    held = f"map_filter({doc}, (k, v) -> NOT (is_variant_null(v) AND array_contains(map_values(names), k)))"
+    name = "names[e.key] IS NOT NULL AND NOT map_contains_key(held, names[e.key]) AND size(filter(map_keys(held), k -> names[k] = names[e.key])) = 1"
+    return _let("held", held, f"map_from_entries(transform(map_entries(held), e -> struct(CASE WHEN {name} THEN names[e.key] ELSE e.key END as key, e.value as value)))")
+
+
+def _projected(doc: str) -> str:
+    """SQL for a map with the ``heads`` of the map ``doc``, everything in them at its last path by ``paths``.
+
+    The objects in ``opened`` are unfolded to nodes, other values stay whole. A node's rule is blocked, and it keeps its path, where another value
+    lies at the new one, above it, or (of a value) below it, or where the rule of a field that it would go into is blocked; a null
+    blocks nothing and gives way. The rows that are left, in the order of their paths, are written as one JSON text.
+    """
+    start = f"transform(map_entries(map_filter({doc}, (k, v) -> array_contains(heads, k))), e -> struct(array(e.key) as path, e.value as value))"
+    fields_ = "transform(map_entries(cast(n.value as map<string, variant>)), e -> struct(concat(n.path, array(e.key)) as path, e.value as value))"
+    unfold = f"flatten(transform(h, n -> CASE WHEN size(n.path) = l AND array_contains(opened, n.path) AND schema_of_variant(n.value) LIKE 'OBJECT%' THEN concat(array(n), {fields_}) ELSE array(n) END))"
+    # kind: 0 null, 1 object whose fields are nodes of their own, 2 any other value
+    kind = "CASE WHEN is_variant_null(n.value) THEN 0 WHEN schema_of_variant(n.value) = 'OBJECT<>' OR array_contains(opened, n.path) AND schema_of_variant(n.value) LIKE 'OBJECT%' THEN 1 ELSE 2 END"
+    nodes = f"transform(aggregate(sequence(1, depth), {start}, (h, l) -> {unfold}), n -> " + _let(
+        "u", _rule("n.path"), f"struct(n.path as path, {kind} as kind, u.old as by, concat(u.new, slice(n.path, size(u.old) + 1, size(n.path))) as to, n.value as value)"
+    ) + ")"
+    own = "n.by IS NULL OR array_contains(keep, n.by)"
+    placed = f"array_sort(transform(filter(nodes, n -> n.kind > 0), n -> struct(IF({own}, n.path, n.to) as place, n.kind as kind, IF({own}, null, n.by) as by)))"
+    # in this order, if anything lies at or below a place, the next row does
+    clash = f"x.place IS NOT NULL AND y.place IS NOT NULL AND {_begins('x.place', 'y.place')} AND (x.kind = 2 OR size(x.place) = size(y.place))"
+    clashing = f"flatten(transform(at, (x, j) -> {_let('y', 'get(at, j + 1)', f'IF({clash}, filter(array(x.by, y.by), b -> b IS NOT NULL), cast(array() as array<array<string>>))')}))"
+    into = f"transform(filter(paths, r -> exists(paths, b -> array_contains(keep, b.old) AND {_begins('b.new', 'r.new')})), r -> r.old)"
+    keep = f"aggregate(sequence(1, size(paths)), cast(array() as array<array<string>>), (keep, i) -> IF(i > 1 AND size(keep) = 0, keep, array_union(keep, concat({_let('at', placed, clashing)}, IF(size(keep) = 0, keep, {into})))))"
+    rows = f"array_sort(transform(nodes, n -> struct(IF({own}, n.path, n.to) as place, n.kind as kind, n.path as path, IF(n.kind = 1, '{{}}', to_json(n.value)) as text)))"
+    other = f"m.path <> n.path AND ({_begins('m.place', 'n.place')} OR {_begins('n.place', 'm.place')}) AND NOT (m.kind = 1 AND size(m.place) < size(n.place)) AND (m.kind > 0 OR m.path < n.path)"
+    # few documents have a null where something else goes, and only theirs are compared with all rows
+    meet = "exists(transform(rows, (x, j) -> " + _let("y", "get(rows, j + 1)", f"coalesce({_begins('x.place', 'y.place')} AND NOT (x.kind = 1 AND size(x.place) < size(y.place)), false)") + "), c -> c)"
+    whole = f"IF({meet}, filter(rows, n -> n.kind > 0 OR NOT exists(rows, m -> {other})), rows)"
+    # an object is a row of its own only if nothing is in it
+    last = f"filter(whole, (n, j) -> coalesce(NOT ({_begins('n.place', 'get(whole, j + 1).place')}), true))"
+    above = "get(last, j - 1).place"
+    shared = f"CASE WHEN j = 0 THEN 0 ELSE size(filter(sequence(1, least(size({above}), size(n.place))), i -> slice({above}, 1, i) = slice(n.place, 1, i))) END"
+    close = f"CASE WHEN j = 0 THEN '' ELSE concat(repeat('}}', size({above}) - 1 - c), ',') END"
+    names = "array_join(transform(slice(n.place, c + 1, size(n.place)), k -> concat(to_json(cast(k as variant)), ':')), '{')"
+    pieces = f"transform(last, (n, j) -> {_let('c', shared, f'concat({close}, {names}, n.text)')})"
+    text = f"concat('{{', array_join({pieces}, ''), repeat('}}', greatest(1, size(get(last, size(last) - 1).place))))"
+    written = _let("rows", rows, _let("whole", whole, _let("last", last, text)))
+    return f"cast(parse_json({_let('nodes', nodes, _let('keep', keep, written))}) as map<string, variant>)"
 
 
 def unify(found: Drift, max_columns: int = 1000) -> DataFrame:
     """All documents with one set of columns: index_name, document_id, version, seq, f_<field>…, strays, rest.
 
-    A document of a version before a rename has its value under the last name. Columns are the final names (a prefix keeps them
+    A document of a version before a rename or move has its value under the last name, and at the last place within objects or outside them; an object
+    all of whose fields have moved out is empty. Columns are the final names of top-level fields (a prefix keeps them
     from clashing) up to ``max_columns`` by name; their type is the one that holds every field's type: Integer and Long give bigint,
     with Double double, one type alone itself, any mixture string. A value of another type
     is in ``strays`` (name -> JSON), fields beyond the columns and, under the empty name, sources that are no objects in ``rest``; so no value is lost. Where a document holds
-    several fields that end under one name, each keeps its own (its column, or ``rest`` where it has none). A field that only a
+    several fields that end under one name, each keeps its own (its column, or ``rest`` where it has none, and its place within an object). A field that only a
     mapping declares has a column too, of the declared type.
     """
     rows, spark = found.rows, found.rows.sparkSession
     names = final_names(found.changes)
-    # a version has the renames of the steps after it
+    # a version has the renames and moves of the steps after it
     versions = rows.select("index_name", "version").where("version is not null")
     if found.declared is not None:
         versions = versions.unionByName(found.declared.select("index_name", "version"))
     later = versions.distinct().alias("v").join(names.alias("n"), F.expr("v.index_name = n.index_name and n.version > v.version"))
-    maps = later.groupBy("v.index_name", "v.version").agg(F.min_by("n.names", "n.version").alias("names"))
+    own = F.struct("n.names", "n.heads", "n.paths", "n.opened", "n.depth")
+    maps = later.groupBy("v.index_name", "v.version").agg(F.min_by(own, "n.version").alias("m")).select("index_name", "version", "m.*")
     path = scratch_path(spark, "final-names")
     maps.write.parquet(path)
     maps = spark.read.parquet(path)
-    types = found.types.where("inner is null").select("index_name", "version", "field", "type", F.lit(False).alias("declared"))
+    types = found.types.select("index_name", "version", "field", "inner", "type", F.lit(False).alias("declared"))
     if found.declared is not None:
-        types = types.unionByName(found.declared.select("index_name", "version", "field", "type", F.lit(True).alias("declared")))
-    named = types.join(maps, ["index_name", "version"], "left").select(F.coalesce(F.expr("names[field]"), "field").alias("field"), "type", "declared")
+        types = types.unionByName(found.declared.select("index_name", "version", "field", "inner", "type", F.lit(True).alias("declared")))
+    # a field within an object counts if it is a top-level one at last, a top-level one if it is still
+    at = "concat(array(field), coalesce(inner, cast(array() as array<string>)))"
+    last = _let("p", at, _let("u", _rule("p"), "coalesce(concat(u.new, slice(p, size(u.old) + 1, size(p))), p)"))
+    last = F.expr(f"CASE WHEN array_contains(heads, field) THEN {last} WHEN inner IS NULL THEN array(coalesce(names[field], field)) END")
+    named = types.join(maps, ["index_name", "version"], "left").select(last.alias("at"), "type", "declared").where("size(at) = 1").select(F.col("at")[0].alias("field"), "type", "declared")
     kinds = F.collect_set(F.when(~F.col("declared"), F.col("type")))
     # what mappings declare decides only where no document has the field
     kinds = F.when(F.size(kinds) > 0, kinds).otherwise(F.collect_set("type"))
     kinds_of = {r["field"]: r["types"] for r in named.groupBy("field").agg(kinds.alias("types")).orderBy("field").limit(max_columns).collect()}
-    small = maps.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(maps) if small else maps, ["index_name", "version"], "left")
+    versions_renamed, unfolded = maps.agg(F.count(F.lit(1)), F.count("heads")).first()
+    maps = maps if unfolded else maps.select("index_name", "version", "names")
+    joined = rows.join(F.broadcast(maps) if versions_renamed <= BROADCAST_ROWS else maps, ["index_name", "version"], "left")
     doc = joined.withColumn("_v", F.expr("try_parse_json(source)")).withColumn("_m", F.expr("CASE WHEN schema_of_variant(_v) LIKE 'OBJECT%' THEN cast(_v as map<string, variant>) END"))
-    # versions without later renames keep their map as it is
-    doc = doc.withColumn("_n", F.expr("""CASE WHEN names IS NULL THEN _m ELSE map_from_entries(transform(map_entries(_m), e -> struct(
-        CASE WHEN names[e.key] IS NOT NULL AND NOT map_contains_key(_m, names[e.key]) AND size(filter(map_keys(_m), k -> names[k] = names[e.key])) = 1 THEN names[e.key] ELSE e.key END as key, e.value as value))) END"""))
+    # versions without later renames keep their map as it is, those with renames of top-level fields alone don't unfold it
+    ways = _renamed("_m")
+    if unfolded:
+        whole = _let("plain", "map_filter(_m, (k, v) -> NOT array_contains(heads, k))", f"map_concat({_renamed('plain')}, {_projected('_m')})")
+        ways = f"CASE WHEN heads IS NULL THEN {ways} ELSE {whole} END"
+    doc = doc.withColumn("_n", F.expr(f"CASE WHEN names IS NULL OR _m IS NULL THEN _m ELSE {ways} END"))
     quote = lambda n: "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'"
     # each value is looked up once
     doc = doc.withColumns({f"_x{i}": F.expr(f"_n[{quote(name)}]") for i, name in enumerate(kinds_of)}) if kinds_of else doc

@@ -214,3 +214,98 @@ def test_narrow_join_finds_nested_agreements_too(spark, monkeypatch):
     monkeypatch.setattr(sd, "BROADCAST_ROWS", -1)
     test_changes_at_any_depth(spark)
     test_moves_and_top_level_changes(spark)
+
+
+def table_of(spark, *versions, docs_each=3):
+    """Rows of the unified table of documents that each version writes anew, by (version, id)."""
+    rows = [("i", v, v, str(k), 10 * v + k, doc(k)) for v, doc in enumerate(versions, 1) for k in range(docs_each)]
+    return {(r["version"], r["document_id"]): r.asDict() for r in sd.unify(sd.drift(docs(spark, rows))).collect()}
+
+
+def objects(row, *names):
+    return [json.loads(row[f"f_{n}"]) if row[f"f_{n}"] is not None else None for n in names]
+
+
+def test_renames_within_objects_are_projected(spark):
+    inner = lambda k, x, p: {x: f"x{k}", "d": {p: k, "q": [{"x": 1}]}}
+    got = table_of(spark, lambda k: {"o": inner(k, "x", "p"), "n": 1}, lambda k: {"o": inner(k, "y", "p"), "n": 1}, lambda k: {"oo": inner(k, "y", "p"), "n": 1}, lambda k: {"oo": inner(k, "y", "r"), "n": 1})
+    for (_, k), row in got.items():
+        assert row["f_n"] == 1 and row["rest"] == {} and row["strays"] == {} and "f_o" not in row
+        assert objects(row, "oo") == [inner(int(k), "y", "r")]
+
+
+def test_moves_are_projected(spark):
+    old, new = (lambda k: {"zone": f"z{k}", "meta": {"host": k, "id": 1}, "s": {"rev": k + 5}, "o": {}}), (lambda k: {"meta": {"area": f"z{k}", "id": 1}, "host": k, "s": {}, "o": {"rev": k + 5}})
+    got = table_of(spark, old, new)
+    for (_, k), row in got.items():
+        # what moves to the top gives its column its type, what moves into an object has no column
+        assert row["f_host"] == int(k) and "f_zone" not in row and row["rest"] == {}
+        assert objects(row, "meta", "s", "o") == [{"area": f"z{k}", "id": 1}, {}, {"rev": int(k) + 5}]
+    # moved, then renamed with its new parent, then back out
+    steps = (lambda k: {"a": f"v{k}", "p": {"c": 1}}), (lambda k: {"p": {"a": f"v{k}", "c": 1}}), (lambda k: {"q": {"a": f"v{k}", "c": 1}}), (lambda k: {"q": {"c": 1}, "b": f"v{k}"})
+    assert {(r["f_b"], r["f_q"], tuple(r["rest"])) for r in table_of(spark, *steps).values()} == {(f"v{k}", '{"c":1}', ()) for k in range(3)}
+
+
+def test_a_null_under_the_last_name_gives_way(spark):
+    got = table_of(spark, lambda k: {"a": f"x{k}", "b": None}, lambda k: {"b": f"x{k}"})
+    assert {(r["f_b"], tuple(r["rest"])) for r in got.values()} == {(f"x{k}", ()) for k in range(3)}
+
+
+def test_a_name_that_passes_on_is_projected(spark):
+    got = table_of(spark, lambda k: {"a": f"x{k}", "z": k}, lambda k: {"b": f"x{k}", "z": k}, lambda k: {"b": f"x{k}", "a": k})
+    assert {(r["f_b"], r["f_a"]) for r in got.values()} == {(f"x{k}", k) for k in range(3)}
+
+
+def test_composed_rules_do_both_steps():
+    rnd = random.Random(1)
+    path = lambda: tuple(rnd.choice("abc") for _ in range(rnd.randint(1, 3)))
+    for _ in range(3000):
+        step, later = ({path(): new for new in {path() for _ in range(rnd.randint(0, 3))}} for _ in range(2))
+        both = sd.compose(step, later)
+        for p in itertools.chain(*(itertools.product("abc", repeat=n) for n in range(5))):
+            assert sd.place(both, p) == sd.place(later, sd.place(step, p)), (step, later, p)
+
+
+def projected(spark, rules, *sources):
+    """What ``_projected`` makes of the heads of documents, with what it left out of each."""
+    names, heads, *more = sd.projection(rules)
+    df = spark.createDataFrame([(s if isinstance(s, str) else json.dumps(s), names, heads, *more) for s in sources], f"source string, {sd._PROJECTION}")
+    df = df.selectExpr("*", "cast(parse_json(source) as map<string, variant>) as _m")
+    return [json.loads(r[0]) for r in df.selectExpr(f"to_json({sd._projected('_m')})").collect()]
+
+
+def test_fields_that_end_at_one_place_keep_theirs(spark):
+    rules = {("o", "x"): ("o", "y"), ("s", "v"): ("o", "v"), ("s",): ("t",)}
+    cases = [
+        ({"o": {"x": 1, "y": 2}, "s": {"v": 3}}, {"o": {"x": 1, "y": 2, "v": 3}, "t": {}}),
+        ({"o": 5, "s": {"v": 3, "w": 4}}, {"o": 5, "s": {"v": 3}, "t": {"w": 4}}),
+        ({"o": {"v": {"q": 1}}, "s": {"v": 3}}, {"o": {"v": {"q": 1}}, "s": {"v": 3}, "t": {}}),
+        ({"s": {"v": 3, "w": {"k": {}}}, "t": {"w": 1}}, {"s": {"w": {"k": {}}}, "t": {"w": 1}, "o": {"v": 3}}),
+        ({"o": {"x": 1, "y": None}, "s": {"v": None}}, {"o": {"y": 1, "v": None}, "t": {}}),
+        ({"o": None, "s": {"v": 3}}, {"o": {"v": 3}, "t": {}}), ({"s": []}, {"t": []}), ({"s": "v"}, {"t": "v"}), ({"other": 1}, {}),
+    ]
+    assert projected(spark, rules, *(c[0] for c in cases)) == [c[1] for c in cases]
+    # the name a blocked field keeps blocks the one that would have taken it
+    assert projected(spark, {("a",): ("b",), ("z",): ("a",), ("y", "q"): ("a", "q")}, {"a": 1, "b": 2, "z": 3, "y": {"q": 4}}, {"a": 1, "z": 3}) == [{"a": 1, "b": 2, "z": 3, "y": {"q": 4}}, {"b": 1, "a": 3}]
+    # names and numbers are kept as they are
+    odd = '{"o": {"x\\"{\\u0001": 1.50, "x": 12345678901234567890123456789012, "a.b": {"é": [1e3, {"x": null}]}}}'
+    assert projected(spark, {("o", "x"): ("o", "a.b", "x")}, odd) == [{"o": {'x"{\x01': 1.5, "a.b": {"é": [1e3, {"x": None}], "x": 12345678901234567890123456789012}}}]
+
+
+def test_no_value_is_lost_by_a_projection(spark):
+    rnd = random.Random(2)
+
+    def leaves(v):
+        return [x for w in v.values() for x in leaves(w)] if isinstance(v, dict) else [v]
+
+    def doc(depth=0):
+        return {n: doc(depth + 1) if depth < 3 and rnd.random() < 0.6 else rnd.randint(0, 10**9) for n in rnd.sample("abcd", rnd.randint(1 - (depth > 0), 3))}
+
+    path = lambda: tuple(rnd.choice("abcd") for _ in range(rnd.randint(1, 3)))
+    for _ in range(12):
+        rules = {}
+        while sd.projection(rules)[1] != list("abcd"):
+            rules = sd.compose({path(): path() for _ in range(3)}, {path(): path()})
+        some = [doc() for _ in range(60)]
+        for before, after in zip(some, projected(spark, rules, *some)):
+            assert sorted(leaves(before)) == sorted(leaves(after)), (rules, before, after)
